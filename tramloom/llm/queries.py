@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tramloom.llm import lookalike
+from tramloom.llm import gazetteer, lookalike
 from tramloom.sources.tables import table
 
 FORM_FIELDS = [("ocr_lines", "line_id", "text"), ("product_candidates", "candidate_id", "clean_text"), ("gazetteer_entries", "entry_id", "canonical_key")]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry that each candidate names, or ``unmatched``."""
+    return gazetteer.link_values(table(spark, d, "product_candidates", ["candidate_id", "clean_text"]), table(spark, d, "gazetteer_entries"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no entry, with how often each occurs."""
+    c = table(spark, d, "product_candidates", ["candidate_id", "clean_text"])
+    un = gazetteer.link_values(c, table(spark, d, "gazetteer_entries")).where(F.col("entry_id") == gazetteer.UNMATCHED)
+    return c.join(un, "candidate_id", "left_semi").groupBy("clean_text").agg(F.count("*").alias("n_rows"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose text differs from its form."""
     return reduce(DataFrame.unionByName, [lookalike.changed(table(spark, d, t, [i, c]), i, c, t) for t, i, c in FORM_FIELDS])
@@ -22,5 +34,5 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "product_candidates", ["clean_text"]), "clean_text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
