@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tramloom.llm import gazetteer, lookalike
+from tramloom.llm import gazetteer, leakage, lookalike, spans
 from tramloom.sources.tables import table
 
 FORM_FIELDS = [("ocr_lines", "line_id", "text"), ("product_candidates", "candidate_id", "clean_text"), ("gazetteer_entries", "entry_id", "canonical_key")]
@@ -34,5 +34,20 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "product_candidates", ["clean_text"]), "clean_text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_groups": p4_groups}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items with which they share a run of 12 words."""
+    return leakage.find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items", ["item_id", "text"]))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each leaked item."""
+    return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands verbatim in others."""
+    return spans.shared_spans(table(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "shared_chars")
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
