@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tramloom.llm import gazetteer, leakage, lookalike, spans
+from tramloom.llm import gazetteer, leakage, lookalike, mixing, quality, spans
 from tramloom.sources.tables import table
 
 FORM_FIELDS = [("ocr_lines", "line_id", "text"), ("product_candidates", "candidate_id", "clean_text"), ("gazetteer_entries", "entry_id", "canonical_key")]
@@ -34,6 +34,41 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.groups(table(spark, d, "product_candidates", ["clean_text"]), "clean_text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that aren't prose, with what they are."""
+    return p5_kinds(spark, d).where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of prose, list, table and junk in each document."""
+    return quality.kinds(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "common_words", ["word"]))
+
+
+def p5_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of words, lines and characters of each document."""
+    return quality.statistics(table(spark, d, "documents", ["doc_id", "text"]))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual share of each source."""
+    return mixing.shares(_tokens(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    t = _tokens(spark, d)
+    return mixing.repeats(t, mixing.plan(t, table(spark, d, "mix_targets"))).select("doc_id", "source", "tokens", "repeats")
+
+
+def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of the mix with the documents that begin in them."""
+    return mixing.schedule(_tokens(spark, d), table(spark, d, "mix_targets"))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.token_table(table(spark, d, "documents", ["doc_id", "source", "text"]))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items with which they share a run of 12 words."""
     return leakage.find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items", ["item_id", "text"]))
@@ -49,5 +84,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "shared_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_items, p7_plan, p7_shares, p7_schedule, p8_found)}
 SQL: dict[str, str] = {}
