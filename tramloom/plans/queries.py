@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tramloom.operators import nested, packed
+from tramloom.plans import reference_queries as reference
 from tramloom.sources.tables import table
 
 
@@ -27,5 +28,5 @@ def p3_child(child: str):
     return query
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c}s": p3_child(c) for c in nested.CHILDREN}}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c.rstrip('s')}s": p3_child(c) for c in nested.CHILDREN}, **reference.QUERIES}
+SQL: dict[str, str] = {**reference.SQL}
