@@ -85,4 +85,25 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_items, p7_plan, p7_shares, p7_schedule, p8_found)}
-SQL: dict[str, str] = {}
+# ---- SQL twins ----
+
+_FOLDED = "replace(lower(strip_accents(regexp_replace(nfc_normalize(text), '[\\p{Cf}]', '', 'g'))), 'đ', 'd')"
+
+
+def _grams(table_: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, regexp_extract_all({_FOLDED}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_} WHERE text IS NOT NULL), unnest(range(1, greatest(len(w) - 10, 1))) AS u(i) WHERE len(w) >= 12"""
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+SQL: dict[str, str] = {
+    "p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (g)",
+    "p6_items": f"SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (g) GROUP BY 1",
+    "p8_found": """WITH w AS (SELECT doc_id, i, md5(substring(text, i, 200)) AS h FROM documents, unnest(range(1, length(text) - 198)) AS u(i) WHERE length(text) >= 200), r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(DISTINCT i + k)::INT AS shared_chars FROM w JOIN r USING (h), unnest(range(0, 200)) AS v(k) GROUP BY 1""",
+    "p5_stats": f"""SELECT doc_id, length(text) AS n_chars, {_count('[\\p{L}\\p{N}]+')} AS n_words, round({_count('[\\p{L}\\p{N}]')} / greatest({_count('[\\p{L}\\p{N}]+')}, 1)::DOUBLE, 6) AS mean_word_length,
+ {_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')} AS n_lines, round({_count('(?m)[.!?…:;][ \\t\\r\\f\\v]*$')} / greatest({_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')}, 1)::DOUBLE, 6) AS punctuated_lines, round({_count('[\\p{L}\\p{N}]')} / greatest(length(text), 1)::DOUBLE, 6) AS alnum_ratio,
+ round({_count(quality.SYMBOL)} / greatest(length(text), 1)::DOUBLE, 6) AS symbol_ratio, round({_count(f'{quality.CJK}|{quality.KANA}|{quality.HANGUL}|{quality.EMOJI}|{quality.SYMBOL}')} / greatest(length(text), 1)::DOUBLE, 6) AS junk_ratio FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')""",
+}
