@@ -34,21 +34,20 @@ def _span_pattern() -> str:
 
 SPAN = _span_pattern()
 
+#: List marks and numbers before a value.
+LEADING = rf"^[{BLANK}]*(?:{MARKS}[{BLANK}]+|{MARKS}(?={OPEN}|$))+"
+
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
-def _unquote(c: Column) -> Column:
+def _unquote(x: Column) -> Column:
     """Without the quotes around the value; doubled quotes inside become one."""
-    out = c
-    for a, b in QUOTES:
-        body = F.substring(c, 2, F.length(c) - 2)
-        out = F.when(
-            (F.length(c) >= 2) & c.startswith(a) & c.endswith(b),
-            F.replace(body, F.lit(b + b), F.lit(b)),
-        ).otherwise(out)
-    return out
+    closing = F.create_map(*[F.lit(q) for pair in QUOTES for q in pair])
+    last = F.substring(x, -1, 1)
+    quoted = (F.length(x) >= 2) & F.coalesce(F.try_element_at(closing, F.substring(x, 1, 1)) == last, F.lit(False))
+    return F.when(quoted, F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.concat(last, last), last)).otherwise(x)
 
 
 def _restore(piece: Column, spans: Column) -> Column:
@@ -87,27 +86,29 @@ def _array_items(field: Column) -> Column:
     return F.transform(raw, value)
 
 
-def split_values(field: Column) -> Column:
-    """Array of the values of ``field`` in their order; empty for NULL, blank and null-word fields."""
-    stripped = _strip(field)
-    spans = F.regexp_extract_all(field, F.lit(f"({SPAN})"), 1)
-    parts = F.split(field, SPAN)
-    held = F.array_join(
-        F.transform(
-            parts,
-            lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p),
-        ),
-        "",
-    )
-    pieces = F.split(held, DELIMITER)
-    unmarked = F.transform(pieces, lambda p: _strip(F.regexp_replace(p, rf"^[{BLANK}]*(?:{MARKS}[{BLANK}]+|{MARKS}(?={OPEN}|$))+", "")))
-    items = F.transform(unmarked, lambda p: _strip(_unquote(_strip(_restore(p, spans)))))
-    is_array = stripped.rlike(r"^\[\s*(?:[\"'].*[\"']|(?i:none|null|nan))?\s*,?\s*\]$") | (stripped == "[]")
-    values = F.when(is_array, F.transform(_array_items(stripped), _strip)).otherwise(items)
-    empty = F.array().cast("array<string>")
-    return F.when(
-        field.isNull() | (stripped == "") | F.lower(stripped).isin(*NULL_WORDS), empty
-    ).otherwise(F.filter(values, lambda x: x.isNotNull() & (x != "")))
+def _hold(parts: Column, spans: Column) -> Column:
+    """The text between spans, with a placeholder of its number for each span."""
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)), "")
+
+
+def with_values(df: DataFrame, column: str, to: str = "__values") -> DataFrame:
+    """``df`` with the array of the values of ``column`` in their order; empty for NULL, blank and null-word fields.
+
+    The steps are projections of their own, so that what several later steps use is worked out once; inside a
+    ``transform`` a step uses its own variable only."""
+    field = F.col(f"`{column}`")
+    df = df.withColumn("__text", _strip(field))
+    df = df.withColumn("__null", F.coalesce((F.col("__text") == "") | F.lower("__text").isin(*NULL_WORDS), F.lit(True)))
+    df = df.withColumn("__array", ~F.col("__null") & F.col("__text").rlike(r"^\[\s*(?:[\"'].*[\"']|(?i:none|null|nan))?\s*,?\s*\]$"))
+    plain = ~F.col("__null") & ~F.col("__array")
+    df = df.withColumn("__spans", F.when(plain, F.regexp_extract_all("__text", F.lit(f"({SPAN})"), 1)))
+    df = df.withColumn("__held", F.when(F.size("__spans") > 0, _hold(F.split("__text", SPAN), F.col("__spans"))).when(plain, F.col("__text")))
+    df = df.withColumn("__pieces", F.transform(F.split("__held", DELIMITER), lambda p: _strip(F.regexp_replace(p, LEADING, ""))))
+    df = df.withColumn("__pieces", F.when(F.size("__spans") > 0, F.transform("__pieces", lambda p: F.when(p.contains(OPEN), _strip(_restore(p, F.col("__spans")))).otherwise(p))).otherwise(F.col("__pieces")))
+    df = df.withColumn("__items", F.when(F.col("__array"), _array_items(F.col("__text"))).otherwise(F.transform("__pieces", _unquote)))
+    values = F.filter(F.transform("__items", _strip), lambda x: x.isNotNull() & (x != ""))
+    out = df.withColumn(to, F.coalesce(values, F.array().cast("array<string>")))
+    return out.drop("__text", "__null", "__array", "__spans", "__held", "__pieces", "__items")
 
 
 def explode_values(df: DataFrame, column: str, pos: str = "item_pos", item: str = "item") -> DataFrame:
@@ -118,7 +119,7 @@ def explode_values(df: DataFrame, column: str, pos: str = "item_pos", item: str
     called like ``pos`` or ``item`` are replaced.
     """
     rest = [c for c in df.columns if c not in (pos, item)]
-    keep = df.select(*[F.col(f"`{c}`") for c in rest], split_values(F.col(f"`{column}`")).alias("__values"))
+    keep = with_values(df.select(*[F.col(f"`{c}`") for c in rest]) if column in rest else df, column)
     return keep.select(*[F.col(f"`{c}`") for c in rest], F.posexplode("__values").alias("__pos", item)).select(
         *[F.col(f"`{c}`") for c in rest], (F.col("__pos") + 1).cast("int").alias(pos), item
     )
