@@ -25,11 +25,13 @@ DELIMITER = rf"(?:{HARD}|(?<![0-9])[,，]|[,，](?![0-9])|(?:(?<=[{BLANK}])|^|(?
 
 
 def _span_pattern() -> str:
-    """A quoted span opens where a value may begin and closes where one may end; a doubled quote stays inside."""
-    before = rf"(?<=^|[{BLANK};；|｜,，、•·‣◦●+＋/／\[])"
-    after = rf"(?=[{BLANK}]*(?:$|[\r\n\t;；|｜,，、•·‣◦●+＋/／\]]))"
-    quoted = "|".join(rf"{a}(?:[^{b}]|{b}{b})*{b}" for a, b in QUOTES)
-    return rf"{before}(?:{quoted}){after}|\([^()\r\n]*\)|[{OPEN}{CLOSE}]"
+    """A quoted span opens where a value may begin and closes where one may end.
+
+    Text with doubled quotes is a chain of spans that touch; each is lifted out by itself, and they come back side by
+    side. The pattern repeats single characters only, so that it needs no stack however long the span."""
+    end = r"[\r\n\t;；|｜,，、•·‣◦●+＋/／\]]"
+    spans = [rf"(?<=^|[{BLANK};；|｜,，、•·‣◦●+＋/／\[{b}]){a}[^{b}]*+{b}(?={a}|[{BLANK}]*(?:$|{end}))" for a, b in QUOTES]
+    return "|".join([*spans, r"\([^()\r\n]*+\)", f"[{OPEN}{CLOSE}]"])
 
 
 SPAN = _span_pattern()
@@ -68,22 +70,17 @@ def _restore(piece: Column, spans: Column) -> Column:
 
 
 def _array_items(field: Column) -> Column:
-    """Elements of a written-out array (JSON or with single quotes); null elements hold no value."""
-    inner = F.regexp_replace(_strip(field), r"^\[|\]$", "")
-    element = r'"(?:[^"\\]|\\.)*"' + "|" + r"'(?:[^'\\]|\\.)*'" + r"|[^,\[\]\s\"'][^,\[\]]*"
+    """Elements of a written-out array: as JSON, or else with single quotes; null elements hold no value."""
+    inner = F.regexp_replace(field, r"^\[|\]$", "")
+    element = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + "|" + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'" + r"|[^,\[\]\s\"'][^,\[\]]*"
     raw = F.transform(F.regexp_extract_all(inner, F.lit(f"({element})"), 1), _strip)
 
     def value(x: Column) -> Column:
-        json = F.from_json(F.concat(F.lit('{"v":'), x, F.lit("}")), "v string")["v"]
-        single = F.regexp_replace(F.substring(x, 2, F.length(x) - 2), r"\\(.)", "$1")
-        return (
-            F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), json)
-            .when(x.startswith("'") & x.endswith("'") & (F.length(x) >= 2), single)
-            .when(F.lower(x).isin(*NULL_WORDS), F.lit(""))
-            .otherwise(x)
-        )
+        quoted = (F.length(x) >= 2) & (x.startswith('"') & x.endswith('"') | x.startswith("'") & x.endswith("'"))
+        bare = F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+        return F.when(quoted, bare).when(F.lower(x).isin(*NULL_WORDS), F.lit("")).otherwise(x)
 
-    return F.transform(raw, value)
+    return F.coalesce(F.from_json(field, "array<string>"), F.transform(raw, value))
 
 
 def _hold(parts: Column, spans: Column) -> Column:
@@ -112,14 +109,14 @@ def with_values(df: DataFrame, column: str, to: str = "__values") -> DataFrame:
 
 
 def explode_values(df: DataFrame, column: str, pos: str = "item_pos", item: str = "item") -> DataFrame:
-    """One row per value of ``column`` with its place from 1; the other columns are kept.
+    """One row per value of ``column`` with its place from 1. The other columns are kept; the packed field isn't, since
+    each of its values would carry the whole of it.
 
     Defined results: NULL, blank and null-word fields and fields of delimiters only give no row; repeated values each
     keep their row; very long fields are split whole; a quote that never closes is ordinary text; columns of ``df``
-    called like ``pos`` or ``item`` are replaced.
+    called like ``pos`` or ``item`` are replaced; names that begin with two underscores are the operator's own.
     """
-    rest = [c for c in df.columns if c not in (pos, item)]
-    keep = with_values(df.select(*[F.col(f"`{c}`") for c in rest]) if column in rest else df, column)
-    return keep.select(*[F.col(f"`{c}`") for c in rest], F.posexplode("__values").alias("__pos", item)).select(
-        *[F.col(f"`{c}`") for c in rest], (F.col("__pos") + 1).cast("int").alias(pos), item
-    )
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (pos, item, column)]
+    # an inner explode would have its non-empty check pushed down, and with it a second run of all the steps
+    rows = with_values(df.select(*rest, F.col(f"`{column}`")), column).select(*rest, F.posexplode_outer("__values").alias("__pos", item))
+    return rows.where(F.col(item).isNotNull()).select(*rest, (F.col("__pos") + 1).cast("int").alias(pos), item)

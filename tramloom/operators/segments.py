@@ -1,4 +1,8 @@
-"""Lines, segments and n-grams of read text, as array expressions and explodes without shuffles."""
+"""Lines, segments and n-grams of read text, as array expressions and explodes without shuffles.
+
+Explodes of costly arrays are outer ones with a filter behind them: of an inner one the optimiser derives a filter on
+the array's size, which works the array out twice.
+"""
 
 from __future__ import annotations
 
@@ -66,7 +70,7 @@ def cross_line_ngrams(lines: DataFrame, by: list[str], low: int = 2, high: int =
     w = Window.partitionBy(*by).orderBy("line_index")
     a = lines.withColumn("__t", X.tokens(F.col("text"))).withColumn("__next", F.lead("__t").over(w))
     a = a.where(F.col("__next").isNotNull() & (F.size("__t") > 0) & (F.size("__next") > 0)).withColumn("__b", F.size("__t")).withColumn("__all", F.concat("__t", "__next")).where(F.size("__all") <= most_tokens)
-    g = a.select(*by, "line_index", "__b", F.explode(ngrams(F.col("__all"), low, high)).alias("g")).where("g.start < __b and g.start + g.n > __b")
+    g = a.select(*by, "line_index", "__b", F.explode_outer(ngrams(F.col("__all"), low, high)).alias("g")).where("g.start < __b and g.start + g.n > __b")
     g = g.select(*by, "line_index", F.col("g.start").alias("start"), F.col("g.n").alias("n"), F.col("g.text").alias("text")).withColumn("__key", X.key(F.col("text")))
     first = Window.partitionBy(*by, "__key").orderBy("line_index", "n", "start")
     return g.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", "__key")
@@ -88,7 +92,7 @@ def product_surfaces(df: DataFrame, name: str) -> DataFrame:
 def best_windows(lines: DataFrame, key: str, column: str, widths: tuple[int, int]) -> DataFrame:
     """All windows of ``widths[0]`` to ``widths[1]`` tokens of a text: (key, start, n, text)."""
     g = ngrams(X.tokens(F.col(column)), *widths)
-    return lines.select(key, F.explode(g).alias("g")).select(key, "g.*")
+    return lines.select(key, F.explode_outer(g).alias("g")).where("g is not null").select(key, "g.*")
 
 
 def assemble_lines(words: DataFrame, by: list[str], line: list[str], order: str, text: str, conf: str) -> DataFrame:
