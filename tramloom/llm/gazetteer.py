@@ -28,6 +28,7 @@ SALES = ["xa kho", "gia soc", "moi", "dac biet", "chinh hang", "new", "combo", "
 UNITS = "ml|lit|l|kg|g|gr|gram|mg|cai|goi|chai|hop|loc|tui|vi|thung|hu|lon|vien|mieng|bich|cay|in1"
 PACKS = "hop|loc|chai|tui|vi|goi|thung|hu|lon|bich|cay"
 MARKERS = ("", "vi", "huong")
+MOST_LEFT = 3
 DIGIT_LETTERS = str.maketrans("01345689", "oieasbbg")
 
 PACK_SIZE = re.compile(rf"(?:^| )(?:(?:{PACKS}) )?\d+(?:[ x]\d+)*(?: ?(?:{UNITS}))?(?: (?:goi|cai|hop|chai|tui))?(?= |$)")
@@ -121,6 +122,7 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.post = form[order]
         self.post_at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=self.A**3))])
+        self.longest = max((sum(map(len, p)) for p in self.parts), default=0) + max(map(len, MARKERS)) + MOST_LEFT
         self.norm = np.sqrt(np.bincount(form, weights=self.weight[flat] ** 2, minlength=len(grams))).clip(1e-9)
         self.exact: dict[str, int] = {}
         for f, (b, k, v) in enumerate(self.parts):
@@ -184,7 +186,7 @@ class Index:
             d, g, s = doc[lo:hi] - a, flat[lo:hi], size[lo:hi]
             where = np.repeat(self.post_at[g] - (np.cumsum(s) - s), s) + np.arange(s.sum())
             cell = np.repeat(d, s) * forms + self.post[where]
-            dots = np.bincount(cell, weights=np.repeat(self.weight[g] ** 2, s), minlength=(b - a) * forms).reshape(b - a, forms)
+            dots = np.bincount(cell, weights=np.repeat(self.weight[g] ** 2, s), minlength=(b - a) * forms).astype(float).reshape(b - a, forms)
             dots /= self.norm * norm[a:b, None]
             pick = np.argpartition(-dots, top - 1, axis=1)[:, :top] if forms > top else np.tile(np.arange(forms), (b - a, 1))
             best[a:b], score[a:b] = pick, np.take_along_axis(dots, pick, 1)
@@ -214,6 +216,12 @@ class Index:
         """Index of each core text's entry and its rank (edits less cosine: lower is closer), or -1."""
         if not self.parts or not texts:
             return [(-1, 0.0)] * len(texts)
+        fits = [i for i, x in enumerate(texts) if len(x) <= self.longest]  # a longer text has more left over than any form allows
+        if len(fits) < len(texts):
+            out = [(-1, 0.0)] * len(texts)
+            for i, e in zip(fits, self.match([texts[i] for i in fits], cfg)):
+                out[i] = e
+            return out
         best, cos = self.retrieve(texts, cfg.top)
         t, k = np.nonzero(cos >= cfg.threshold)
         form, cos = best[t, k], cos[t, k]
@@ -241,7 +249,7 @@ class Index:
             e, p = found(rows, column)
             left = lengths[t[rows]] - covered[rows] - self.length[p]
             sum_ = total[rows] + e
-            good = (e <= self.allowed[p]) & (np.abs(left) <= 1 + np.minimum(sum_, 2)) & (sum_ <= np.maximum(2, lengths[t[rows]] // 6))
+            good = (e <= self.allowed[p]) & (np.abs(left) <= np.minimum(1 + sum_, MOST_LEFT)) & (sum_ <= np.maximum(2, lengths[t[rows]] // 6))
             # letters beyond the parts and letters missing from them weigh as edits
             cost[rows] = np.where(good, np.minimum(cost[rows], 2 * sum_ + np.abs(left)), cost[rows])
         out = [(-1, 0.0)] * len(texts)
