@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramloom.operators import nested, packed
-from tramloom.plans import reference_queries as reference
+from tramloom.operators import nested, packed, rules, surfaces
+from tramloom.plans import pipeline, reference_queries as reference
 from tramloom.sources.tables import table
 
 
@@ -30,3 +30,22 @@ def p3_child(child: str):
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c.rstrip('s')}s": p3_child(c) for c in nested.CHILDREN}, **reference.QUERIES}
 SQL: dict[str, str] = {**reference.SQL}
+
+
+def generated_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate phrases of all read lines."""
+    c = pipeline.generate_candidates(pipeline.lines_of(spark, d))
+    return c.select("image_id", "normalized_key", "source", "support", "available", "agreement", "structure_score", "token_count")
+
+
+def predicted_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all images, from their read lines to the gate's decision."""
+    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, reference.RULES))
+
+
+def surface_mining(spark: SparkSession, d: str) -> DataFrame:
+    """How the listed names are written in the labelled texts."""
+    return surfaces.mine(table(spark, d, "train_labels", ["ocr_text", "product_name"]), table(spark, d, "gazetteer_entries"), "ocr_text", "product_name")
+
+
+QUERIES |= {f.__name__: f for f in (generated_candidates, predicted_names, surface_mining)}
