@@ -27,8 +27,6 @@ def best_part(a: str, b: str) -> float:
     for block in SequenceMatcher(None, short, long_).get_matching_blocks():
         at = min(max(0, block.b - block.a), len(long_) - n)
         best = max(best, block_ratio(short, long_[at : at + n]))
-        if best > 99.5:
-            return 100.0
     return best
 
 
