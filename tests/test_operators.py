@@ -155,3 +155,20 @@ def test_incremental(spark, tmp_path):
         spark.createDataFrame(batch, "id string, n int").coalesce(1).write.mode("append").parquet(src)
         follow(spark, src, "id string, n int", to, "id", lambda df: df.where("n > 0"), check).awaitTermination(60)
     assert sorted((r.id, r.n) for r in spark.read.parquet(to).collect()) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_blocks_are_those_of_the_standard_library():
+    import random
+    from difflib import SequenceMatcher
+
+    from tramloom.functions import similarity as N
+
+    r = random.Random(3)
+    for size in (12, 40, 260):
+        for _ in range(300):
+            a, b = ("".join(r.choices(r.choice(["ab", "abc ", "kem đánh răng"]), k=r.randrange(size))) for _ in "ab")
+            assert sum(n for _, _, n in N.blocks(a, b)) == sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
+            values = [f(x, y) for x, y in ((a, b), (b, a)) for f in (N.word_sets, N.best_part, N.sorted_words, N.block_ratio)]
+            scores = [min(v, c) for v, c in zip(values, N.CAPS.values())]
+            if a and b:
+                assert N.best_kind(a, b, b, a) == (max(scores), list(N.CAPS)[scores.index(max(scores))])

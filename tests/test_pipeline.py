@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 
 from tramloom.operators import rules as U, surfaces as SV, variants as V
@@ -51,3 +53,13 @@ def test_variants(spark):
     out = V.make_variants(df).collect()
     assert {r.variant for r in out if r.image_id == "ok"} == {"raw_resized", "soft_enhanced", "hard_fallback"} and [r.error for r in out if r.image_id == "bad"][0]
     assert V.make_variants(df.where("image_id = 'ok'"), V.configs()).count() == 19
+
+
+def test_predict_scores_entries_beyond_the_closest(spark):
+    # the misread word is no entry's, so all eight tie on the kind's words and the true one comes last by frequency
+    names = ["Vàng Sao", "Bạc Lá", "Biển Xanh", "Đồi Mây", "Gió Núi", "Sông Quê", "Làng Tre"]
+    rows = [(str(i), f"Mứt Trái Cây {n}", 50 - i) for i, n in enumerate(names)] + [("9", "Mứt Trái Cây Sunshinefarmvietnam", 1)]
+    fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c)).replace("đ", "d")
+    e = spark.createDataFrame([(i, n, n.lower(), fold(n), sorted(n.lower().split()), sorted(fold(n).split()), f, 1, None, None) for i, n, f in rows], ENTRIES)
+    read = spark.createDataFrame([("a", "hard", 0, "mứt trái cây sunshlnefarmvietnam", 0.9, None), ("a", "raw", 0, "mứt trái cây sunshlnefarmvietnam", 0.9, None)], LINES)
+    assert [r.product_name for r in PL.predict(read, e).collect()] == ["Mứt Trái Cây Sunshinefarmvietnam"]

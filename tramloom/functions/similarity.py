@@ -3,46 +3,89 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+#: From this length of its second text on, ``SequenceMatcher`` leaves out frequent characters.
+AUTOJUNK = 200
+
+
+def blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """(start in ``a``, start in ``b``, length) of the common blocks that ``SequenceMatcher`` finds, in any order and
+    not joined: the longest one (of equals the first in ``a``, then in ``b``), then the same on either side of it."""
+    if len(b) >= AUTOJUNK:
+        return [tuple(x) for x in SequenceMatcher(None, a, b).get_matching_blocks()[:-1]]
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        part, n, at, i = b[blo:bhi], 0, alo, alo
+        while i + n < ahi:
+            if a[i : i + n + 1] in part:
+                n, at = n + 1, i
+            else:
+                i += 1
+        if n:
+            j = blo + part.find(a[at : at + n])
+            out.append((at, j, n))
+            if alo < at and blo < j:
+                todo.append((alo, at, blo, j))
+            if at + n < ahi and j + n < bhi:
+                todo.append((at + n, ahi, j + n, bhi))
+    return out
+
 
 def block_ratio(a: str, b: str) -> float:
     """Share of both texts in common blocks; 0 if one is blank."""
     if not a.strip() or not b.strip():
         return 0.0
-    return 100.0 if a == b else 100.0 * SequenceMatcher(None, a, b).ratio()
+    return 100.0 if a == b else 100.0 * (2.0 * sum(n for _, _, n in blocks(a, b)) / (len(a) + len(b)))
 
 
-def best_part(a: str, b: str) -> float:
-    """Best ``block_ratio`` of the shorter text with a stretch of the longer one of its length, aligned at a common block."""
+def best_part(a: str, b: str, enough: float = 100.0) -> float:
+    """Best ``block_ratio`` of the shorter text with a stretch of the longer one of its length, aligned at a common block;
+    once ``enough`` is reached, no better stretch is looked for."""
     short, long_ = sorted((a, b), key=len)
     if not short.strip():
         return 0.0
     if len(short) == len(long_):
         return block_ratio(a, b)
     n, best = len(short), 0.0
-    for block in SequenceMatcher(None, short, long_).get_matching_blocks():
-        at = min(max(0, block.b - block.a), len(long_) - n)
+    last = len(long_) - n
+    for at in {last, *(min(max(0, j - i), last) for i, j, _ in blocks(short, long_))}:
         best = max(best, block_ratio(short, long_[at : at + n]))
+        if best >= enough:
+            break
     return best
 
 
+@lru_cache(100_000)
+def _sorted(a: str) -> str:
+    return " ".join(sorted(a.split()))
+
+
+@lru_cache(100_000)
+def _set(a: str) -> frozenset[str]:
+    return frozenset(a.split())
+
+
 def sorted_words(a: str, b: str) -> float:
-    return block_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return block_ratio(_sorted(a), _sorted(b))
 
 
-def word_sets(a: str, b: str) -> float:
-    """Best ratio among the common words and the common words with either text's own."""
-    x, y = set(a.split()), set(b.split())
+def word_sets(a: str, b: str, enough: float = 100.0) -> float:
+    """Best ratio among the common words and the common words with either text's own; once ``enough`` is reached, the
+    last isn't worked out."""
+    x, y = _set(a), _set(b)
     if not x or not y:
         return 0.0
     both = " ".join(sorted(x & y))
     left = " ".join(filter(None, [both, " ".join(sorted(x - y))]))
     right = " ".join(filter(None, [both, " ".join(sorted(y - x))]))
-    return max(block_ratio(both, left), block_ratio(both, right), block_ratio(left, right))
+    best = max(block_ratio(both, left), block_ratio(both, right)) if both else 0.0
+    return best if best >= enough else max(best, block_ratio(left, right))
 
 
 def _udf(f):
@@ -58,6 +101,24 @@ ratio, partial_ratio, token_sort_ratio, token_set_ratio = _udf(block_ratio), _ud
 # The kinds of fuzzy score in the order in which ties are settled, and the most that each may give.
 CAPS = {"fuzzy_token_set": 96.0, "fuzzy_partial": 95.0, "fuzzy_token_sort": 94.0, "fuzzy_ratio": 94.0, "folded_token_set": 94.0, "folded_partial": 93.0, "folded_token_sort": 92.0, "folded_ratio": 92.0}
 SINGLE_TOKEN_CAP = 84.0
+_STEPS = [(kind, CAPS[kind], i >= 4, i % 4) for i, kind in enumerate(CAPS)]
+
+
+def best_kind(a: str, b: str, fa: str, fb: str) -> tuple[float, str]:
+    """The highest capped score and its kind, the first of equals. A kind is skipped where its cap, or for whole texts
+    the bound by their lengths, can't exceed the score so far; so are folded texts equal to the plain ones, whose caps
+    are no higher."""
+    best, found, same = -1.0, "", (a, b) == (fa, fb)
+    for kind, cap, folded, f in _STEPS:
+        if cap <= best or (folded and same):
+            continue
+        x, y = (fa, fb) if folded else (a, b)
+        if f == 3 and x and y and 100.0 * (2.0 * min(len(x), len(y)) / (len(x) + len(y))) <= best:
+            continue
+        value = min(cap, word_sets(x, y, cap) if f == 0 else best_part(x, y, cap) if f == 1 else sorted_words(x, y) if f == 2 else block_ratio(x, y))
+        if value > best:
+            best, found = value, kind
+    return best, found
 
 
 @pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("match_type", T.StringType())]))
@@ -67,13 +128,8 @@ def _fuzzy(key: pd.Series, other: pd.Series, folded: pd.Series, other_folded: pd
         if not a or not b:
             out.append((0.0, "no_score"))
             continue
-        plain = [f(a, b) for f in (word_sets, best_part, sorted_words, block_ratio)]
-        values = plain + (plain if (a, b) == (fa, fb) else [f(fa or "", fb or "") for f in (word_sets, best_part, sorted_words, block_ratio)])
-        kinds = list(CAPS)
-        scores = [min(v, CAPS[k]) for k, v in zip(kinds, values)]
-        best = max(range(len(kinds)), key=lambda i: (scores[i], -i))
-        score = min(scores[best], SINGLE_TOKEN_CAP) if len(a.split()) == 1 else scores[best]
-        out.append((round(score, 4), kinds[best]))
+        score, kind = best_kind(a, b, fa or "", fb or "")
+        out.append((round(min(score, SINGLE_TOKEN_CAP) if len(a.split()) == 1 else score, 4), kind))
     return pd.DataFrame(out, columns=["score", "match_type"])
 
 

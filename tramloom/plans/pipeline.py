@@ -55,7 +55,7 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     return best.withColumn("structure_score", C.structure_score(F.col("clean_text"), F.col("source"))).withColumn("token_count", F.size(X.tokens(F.col("clean_text"))))
 
 
-def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(pool=5), gate: G.GateConfig = G.GateConfig()) -> DataFrame:
+def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig()) -> DataFrame:
     """(image_id, emit, reason, product_name) of read lines: candidates, links, evidence, gate, final names."""
     c = checkpointed(generate_candidates(lines))  # read by the distinct phrases and by the join with their matches
     linked = L.link(c, entries, "clean_text", link).where("matched")
