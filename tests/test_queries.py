@@ -19,6 +19,12 @@ def test_runs(spark, small, name):
     assert core.QUERIES[name](spark, small).count() > 0
 
 
+def test_link_best_compares_the_whole_pool(spark, small):
+    want = {r.key: r.n for r in core.QUERIES["retrieve_topk"](spark, small).groupBy("key").count().withColumnRenamed("count", "n").collect()}
+    got = {r.key: r.pool for r in core.QUERIES["link_best"](spark, small).collect()}
+    assert got == want and 10 < max(got.values()) <= 80
+
+
 def test_entry(spark, small):
     import __spark_entry__ as entry
 

@@ -304,7 +304,7 @@ def link_best(spark: SparkSession, d: str) -> DataFrame:
     """Best entry, second score and margin of each distinct phrase."""
     p = L.phrases(table(spark, d, "product_candidates", ["clean_text"]), "clean_text")
     g = table(spark, d, "gazetteer_entries")
-    return L.best_match(L.score_pairs(L.retrieve(p, g, L.LinkConfig(pool=10)), p, g), L.LinkConfig(pool=10))
+    return L.best_match(L.score_pairs(L.retrieve(p, g), p, g))
 
 
 @query()
