@@ -40,3 +40,12 @@ def test_changed(spark):
 def test_groups(spark):
     df = spark.createDataFrame([("КЕМ",), ("KEM",), ("KEM",), ("a",), (None,)], "text string")
     assert [tuple(r) for r in groups(df, "text").collect()] == [("KEM", 2, 3)]
+
+
+def test_groups_over_all_tables(spark, tmp_path):
+    from tramloom.llm.queries import FORM_FIELDS, p4_groups
+
+    texts = {"ocr_lines": ["КЕМ", "n\u0103m", "na\u0306m"], "product_candidates": ["KEM", "a"], "gazetteer_entries": ["ＷＩＫＡ", "a"]}
+    for name, _, column in FORM_FIELDS:
+        spark.createDataFrame([(x,) for x in texts[name]], f"{column} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(tuple(r) for r in p4_groups(spark, str(tmp_path)).collect()) == [("KEM", 2, 2), ("năm", 2, 2)]

@@ -30,8 +30,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate texts grouped by equal form, where a form has more than one spelling."""
-    return lookalike.groups(table(spark, d, "product_candidates", ["clean_text"]), "clean_text")
+    """Texts of the three tables grouped by equal form, where a form has more than one spelling."""
+    return lookalike.groups(reduce(DataFrame.unionByName, [table(spark, d, t, [c]).withColumnRenamed(c, "text") for t, _, c in FORM_FIELDS]), "text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
