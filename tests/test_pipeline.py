@@ -63,3 +63,19 @@ def test_predict_scores_entries_beyond_the_closest(spark):
     e = spark.createDataFrame([(i, n, n.lower(), fold(n), sorted(n.lower().split()), sorted(fold(n).split()), f, 1, None, None) for i, n, f in rows], ENTRIES)
     read = spark.createDataFrame([("a", "hard", 0, "mứt trái cây sunshlnefarmvietnam", 0.9, None), ("a", "raw", 0, "mứt trái cây sunshlnefarmvietnam", 0.9, None)], LINES)
     assert [r.product_name for r in PL.predict(read, e).collect()] == ["Mứt Trái Cây Sunshinefarmvietnam"]
+
+
+def test_queries_strip_mined_fillers(spark, tmp_path):
+    from tramloom.plans import queries
+
+    # "giảm" is a filler; "BUN" and "sen" belong to names; "chung" is as common where there are products
+    labels = [("giảm BUN sen chung", None)] * 9 + [("bún gạo chung", "Bún Gạo")] * 20 + [("", "Bún Gạo")] * 2
+    spark.createDataFrame(labels, "ocr_text string, product_name string").write.parquet(f"{tmp_path}/train_labels.parquet")
+    entries(spark).write.parquet(f"{tmp_path}/gazetteer_entries.parquet")
+    rows = [("f", "hard", 0, "Giảm Bún Gạo Mè Đen"), ("g", "hard", 0, "giảm bún gạo / giảm mè đen"), ("g", "raw", 0, "GIẢM"), ("h", "hard", 0, "bún gạo"), ("h", "hard", 1, "giảm"), ("h", "hard", 2, "mè đen")]
+    spark.createDataFrame([(*r, 0.9, None) for r in rows], "image_id string, variant_name string, line_index int, text string, conf double, box array<int>").write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    assert [r.token for r in queries._fillers(spark, str(tmp_path)).collect()] == ["giảm"]
+    got = {(r.image_id, r.normalized_key): r for r in queries.generated_candidates(spark, str(tmp_path)).collect()}
+    assert not [k for k in got if "giảm" in k[1]] and ("f", "bún gạo mè đen") in got and ("h", "gạo mè") in got
+    assert got["g", "bún gạo"].source == got["g", "mè đen"].source == "segment" and got["g", "bún gạo"].available == 2
+    assert {r.image_id: r.product_name for r in queries.predicted_names(spark, str(tmp_path)).collect()}["f"] == "Bún Gạo Mè Đen"

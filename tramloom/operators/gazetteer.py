@@ -67,15 +67,18 @@ def label_class(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn("label_class", F.when(named & ~blank, "text_with_product").when(blank & ~named, "blank").when(named, "product_only").otherwise("text_no_product"))
 
 
-def fillers(texts: DataFrame, has_product: str, text: str, protected: DataFrame, least_df: int = 8, most_ratio: float = 0.02, top: int = 300) -> DataFrame:
+def fillers(texts: DataFrame, has_product: str, text: str, protected: DataFrame, least_df: int = 8, most_ratio: float = 0.02, top: int = 300, folded: bool = False) -> DataFrame:
     """(token, df_without, ratio_with): words common where there is no product and rare where there is one.
 
-    ``protected`` (token) is left out; the ``top`` of the report are by frequency, ratio, then text order."""
+    ``protected`` (token) is left out, with ``folded`` also the words whose key or accent-free key it holds; the ``top`` of
+    the report are by frequency, ratio, then text order."""
     t = texts.select(F.col(has_product).alias("p"), F.explode(F.array_distinct(F.transform(X.tokens(X.light(F.col(text))), F.lower))).alias("token"))
     t = t.where(F.col("token").rlike(r"\p{L}") & (F.length("token") >= 2))
     n = texts.agg(F.sum(F.col(has_product).cast("long")).alias("n_with"))
     d = t.groupBy("token").agg(F.sum((~F.col("p")).cast("long")).alias("df_without"), F.sum(F.col("p").cast("long")).alias("df_with"))
     d = d.where(F.col("df_without") >= least_df).join(protected, "token", "left_anti").join(F.broadcast(n))
+    for key in (X.key, X.fold_key) if folded else ():
+        d = d.withColumn("__k", key(F.col("token"))).where("__k <> ''").join(protected.select(F.col("token").alias("__k")), "__k", "left_anti").drop("__k")
     d = d.withColumn("ratio_with", F.round(F.col("df_with") / F.greatest(F.col("n_with"), F.lit(1)), 6)).where(F.col("ratio_with") <= most_ratio)
     return d.orderBy(F.desc("df_without"), "ratio_with", F.desc("token")).limit(top).select("token", "df_without", "ratio_with")
 

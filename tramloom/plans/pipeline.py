@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tramloom.functions import text as X
-from tramloom.operators import candidates as C, gate as G, linker as L, predict as P, rules as U, segments as S
+from tramloom.operators import candidates as C, gate as G, gazetteer as Z, linker as L, predict as P, rules as U, segments as S
 from tramloom.sources.tables import checkpointed, table
 
 FIELDS = ["image_id", "variant", "source", "line_index", "clean_text", "conf", "box"]
@@ -30,16 +30,20 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     segments, and n-grams across line breaks; filtered, scored, one row for each key of an image.
 
     The only wide steps are by image: the window over a variant's lines and the two aggregates."""
-    base = lines.withColumn("text", X.light(F.col("text"))).where("text <> ''")
+    base = lines.withColumn("text", X.light(F.col("text"))).where("text <> ''").withColumn("__fillers", F.array().cast("array<string>"))
     if fillers is not None:
         words = F.broadcast(fillers.agg(F.collect_set("token").alias("__fillers")))  # one row; the miner keeps 300 words
-        base = base.crossJoin(words).withColumn("text", F.when(F.size("__fillers") > 0, X.detokenize(X.strip_fillers(X.tokens(F.col("text")), F.col("__fillers")))).otherwise(F.col("text"))).drop("__fillers").where("text <> ''")
-    whole = base.select("image_id", "variant", F.lit("line").alias("source"), "line_index", F.col("text").alias("clean_text"), "conf", "box")
-    parts = base.select("image_id", "variant", "line_index", "text", "conf", "box", F.explode_outer(S.split_segments(F.col("text"))).alias("segment")).where("segment is not null and segment <> text")
-    segments = parts.select("image_id", "variant", F.lit("segment").alias("source"), "line_index", F.col("segment").alias("clean_text"), "conf", "box")
-    tokens = parts.withColumn("t", X.tokens(F.col("segment"))).where(F.size("t") <= cfg.segment_tokens)
+        base = base.drop("__fillers").crossJoin(words)
+    # segments are cut from the text as read, since their separators are no tokens
+    left = lambda c: X.strip_fillers(X.tokens(F.col(c)), F.col("__fillers"))
+    bare = lambda c: F.when(F.size("__fillers") > 0, X.detokenize(left(c))).otherwise(F.col(c))
+    stripped = base.withColumn("text", bare("text")).where("text <> ''")
+    whole = stripped.select("image_id", "variant", F.lit("line").alias("source"), "line_index", F.col("text").alias("clean_text"), "conf", "box")
+    parts = base.select("image_id", "variant", "line_index", "text", "conf", "box", "__fillers", F.explode_outer(S.split_segments(F.col("text"))).alias("segment")).where("segment is not null and segment <> text")
+    segments = parts.select("image_id", "variant", F.lit("segment").alias("source"), "line_index", bare("segment").alias("clean_text"), "conf", "box")
+    tokens = parts.withColumn("t", left("segment")).where(F.size("t") <= cfg.segment_tokens)
     grams = tokens.select("image_id", "variant", F.lit("ngram").alias("source"), "line_index", F.explode_outer(F.transform(S.ngrams(F.col("t"), 1, cfg.max_ngram), lambda g: g["text"])).alias("clean_text"), "conf", "box").where("clean_text is not null")
-    cross = S.cross_line_ngrams(base.select("image_id", "variant", "line_index", "text"), ["image_id", "variant"], cfg.cross_low, cfg.cross_high, cfg.cross_tokens)
+    cross = S.cross_line_ngrams(stripped.select("image_id", "variant", "line_index", "text"), ["image_id", "variant"], cfg.cross_low, cfg.cross_high, cfg.cross_tokens)
     cross = cross.select("image_id", "variant", F.lit("ngram").alias("source"), "line_index", F.col("text").alias("clean_text"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("array<int>").alias("box"))
     every = whole.unionByName(segments).unionByName(grams).unionByName(cross)
     kept = every.where(C.filter_reason(F.col("clean_text"), most_tokens=cfg.line_tokens).isNull() & ~U.rejected(F.col("clean_text")))
@@ -55,9 +59,10 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     return best.withColumn("structure_score", C.structure_score(F.col("clean_text"), F.col("source"))).withColumn("token_count", F.size(X.tokens(F.col("clean_text"))))
 
 
-def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig()) -> DataFrame:
-    """(image_id, emit, reason, product_name) of read lines: candidates, links, evidence, gate, final names."""
-    c = checkpointed(generate_candidates(lines))  # read by the distinct phrases and by the join with their matches
+def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig(), fillers: DataFrame | None = None) -> DataFrame:
+    """(image_id, emit, reason, product_name) of read lines: candidates without ``fillers``, links, evidence, gate, final
+    names."""
+    c = checkpointed(generate_candidates(lines, fillers))  # read by the distinct phrases and by the join with their matches
     linked = L.link(c, entries, "clean_text", link).where("matched")
     top = entries.agg(F.max("frequency_prior").alias("most"))
     linked = linked.join(F.broadcast(top)).withColumnRenamed("score", "match_score")  # one row
@@ -82,3 +87,19 @@ def lines_of(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "ocr_lines", ["image_id", "variant_name", "line_index", "text", "conf", "box"])
     first = t.where("text is not null").groupBy("image_id", F.col("variant_name").alias("variant"), "line_index").agg(F.max_by(F.struct("text", "conf", "box"), F.struct(F.coalesce("conf", F.lit(0.0)), "text")).alias("l"))
     return first.select("image_id", "variant", "line_index", "l.text", X.confidence(F.col("l.conf")).alias("conf"), "l.box")
+
+
+# Words of brands and kinds that are never fillers, beside those of the listed names.
+PROTECTED = ["pate", "patê", "cot", "cột", "den", "đèn", "ha", "hạ", "long", "halong", "canfoco", "nan", "nestle", "nestlé", "optipro", "infinipro", "a2", "highland", "highlands", "coffee", "tra", "trà", "sen", "vang", "vàng", "sua", "sữa", "banh", "bánh", "mi", "mì", "que"]
+
+
+def fillers_of(labels: DataFrame, entries: DataFrame) -> DataFrame:
+    """(token, df_without, ratio_with) of labels (ocr_text, product_name): filler words by the miner's default thresholds.
+    Words of the listed names and their surface variants, with and without accents, are none."""
+    none = F.array().cast("array<string>")
+    surfaces = X.tokens(X.light(F.array_join(F.coalesce("surface_variants", none), "\n")))
+    words = F.concat(F.coalesce("token_keys", none), F.coalesce("folded_token_keys", none), surfaces, F.array(*map(F.lit, PROTECTED)))
+    listed = entries.select(F.explode(words).alias("w")).distinct()
+    protected = listed.select(F.explode(F.array(X.key(F.col("w")), X.fold_key(F.col("w")))).alias("token")).distinct()
+    read = labels.where(F.trim("ocr_text") != "").select("ocr_text", (F.trim(X.safe_text(F.col("product_name"))) != "").alias("named"))
+    return checkpointed(Z.fillers(read, "named", "ocr_text", protected, folded=True))  # at most 300 rows, read by each kind of candidate

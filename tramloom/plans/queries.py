@@ -32,15 +32,19 @@ QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c.rstrip('s')}s"
 SQL: dict[str, str] = {**reference.SQL}
 
 
+def _fillers(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.fillers_of(table(spark, d, "train_labels", ["ocr_text", "product_name"]), table(spark, d, "gazetteer_entries"))
+
+
 def generated_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidate phrases of all read lines."""
-    c = pipeline.generate_candidates(pipeline.lines_of(spark, d))
+    c = pipeline.generate_candidates(pipeline.lines_of(spark, d), _fillers(spark, d))
     return c.select("image_id", "normalized_key", "source", "support", "available", "agreement", "structure_score", "token_count")
 
 
 def predicted_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of all images, from their read lines to the gate's decision."""
-    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, reference.RULES))
+    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, reference.RULES), fillers=_fillers(spark, d))
 
 
 def surface_mining(spark: SparkSession, d: str) -> DataFrame:
