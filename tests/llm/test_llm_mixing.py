@@ -64,3 +64,11 @@ def test_tokens(spark):
     assert got == {1: len(enc.encode_ordinary("Đồ hộp Hạ Long")), 2: 0, 3: 0}
     long_ = "Đồ hộp  Hạ Long, 12 hộp.\n" * 3000
     assert count_tokens(long_, enc) == len(enc.encode_ordinary(long_))
+
+
+@pytest.mark.parametrize("total, block", [(24000, 8), (10**6, 64), (700, 64)])
+def test_schedule_of_a_given_total_places_every_copy(spark, total, block):
+    t, _ = tokens(spark, {"a": 500, "b": 40, "c_c": 200})
+    used = {(r.doc_id, k) for r in mixing.repeats(t, mixing.plan(t, mix(spark), total, block)).collect() for k in range(r.repeats)}
+    rows = mixing.schedule(t, mix(spark), total, block).collect()
+    assert len(rows) == len(used) and {(r.doc_id, r["round"]) for r in rows} == used

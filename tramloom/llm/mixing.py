@@ -100,8 +100,12 @@ def schedule(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None,
     planned = plan(tokens, mix, total_tokens, block)
     rows = Window.partitionBy().orderBy("source")  # one row a target
     edges = planned.where("blocks > 0").select("source", "blocks", F.floor(F.sum("share").over(rows.rowsBetween(Window.unboundedPreceding, 0)) * RING).cast("decimal(20,0)").alias("hi"), F.floor(F.coalesce(F.sum("share").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) * RING).cast("decimal(20,0)").alias("lo"), F.row_number().over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("k"), F.count("*").over(Window.partitionBy()).alias("m"))
-    # a source's count of points strays from its share by the logarithm of their number; the spare slots make up for that
-    count = planned.agg((F.sum("blocks") + F.ceil(F.sum("blocks") / 50) + 64).cast("long").alias("slots"))
+    # Among the first n points, those on a stretch stray from its share of n by 3 + 3.53 ln n at most (Kuipers and
+    # Niederreiter, theorem 2.3.4, for a continued fraction of ones), so each source has its blocks where
+    # n >= blocks / share + (5 + 3.53 ln n) / share. ``most`` is above the least such n: ln n <= ln c + n / c - 1 with c = 7.06 / share.
+    wide = planned.where("blocks > 0").agg(F.max(F.col("blocks") / F.col("share")).alias("even"), F.min("share").alias("least"))
+    most = 2 * (F.col("even") + (5 + 3.53 * F.greatest(F.log(7.06 / F.col("least")) - 1, F.lit(0.0))) / F.col("least"))
+    count = wide.select(F.ceil(F.col("even") + (5 + 3.53 * F.log(most)) / F.col("least")).cast("long").alias("slots"))
     chunks = count.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("slots") / chunk).cast("long") - 1, F.lit(0)))).alias("__chunk"), "slots")
     slots = chunks.repartition("__chunk").select("__chunk", "slots", F.explode(F.sequence(F.col("__chunk") * chunk, F.least(F.col("slots"), (F.col("__chunk") + 1) * chunk) - 1)).alias("slot")).where("slot >= 0 and slot < slots")
     point = F.expr(f"cast(pmod(cast(slot as decimal(20,0)) * cast({GOLDEN} as decimal(20,0)), cast({RING} as decimal(20,0))) as decimal(20,0))")
