@@ -83,11 +83,14 @@ def test_link(spark):
 
 
 def test_rules(spark):
-    t = spark.createDataFrame([(1, "PATE Cột Đèn, Hải Phòng"), (2, "pate cột đèn"), (3, "không"), (4, None), (5, "")], "id int, text string")
-    found = U.hits(t, "id", "text", U.registry(spark, U.EXAMPLE))
-    assert {(r.id, r.rule) for r in found.collect()} == {(1, "pate_cot_den_hai_phong"), (1, "pate_cot_den"), (2, "pate_cot_den")}
-    assert {r.id: r.canonical for r in U.resolve(found, "id").collect()} == {1: "Pate Cột Đèn Hải Phòng", 2: "Pate Cột Đèn"}
-    assert list(one(spark, U.rejected(F.lit("Công Ty")), U.rejected(F.lit("")), U.rejected(F.lit("kem")))) == [True, True, False]
+    own = [("tea_green_mint", 100, 1.0, "Trà Xanh Bạc Hà", ["tra|xanh|bac ha"]), ("tea_green", 95, 0.9, "Trà Xanh", ["tra|xanh", "green tea"]), ("tea", 50, 0.5, "Trà", ["tra"])]
+    t = spark.createDataFrame([(1, "TRÀ  xanh thơm Bạc-Hà"), (2, "Green tea"), (3, "xanh trà"), (4, "tranh"), (5, None), (6, "")], "id int, text string")
+    found = U.hits(t, "id", "text", U.registry(spark, own))
+    assert {(r.id, r.rule) for r in found.collect()} == {(1, "tea_green_mint"), (1, "tea_green"), (1, "tea"), (2, "tea_green"), (3, "tea")}
+    assert {r.id: r.canonical for r in U.resolve(found, "id").collect()} == {1: "Trà Xanh Bạc Hà", 2: "Trà Xanh", 3: "Trà"}
+    assert U.hits(t, "id", "text", U.registry(spark, [])).count() == 0
+    words = ("xem them",)
+    assert list(one(spark, U.rejected(F.lit("Xem Thêm"), words), U.rejected(F.lit("")), U.rejected(F.lit("kem"), words), U.rejected(F.lit("Xem Thêm")))) == [True, True, False, False]
 
 
 def test_gate(spark):

@@ -17,7 +17,7 @@ def entries(spark):
 
 
 def lines(spark):
-    rows = [("a", "hard", 0, "KEM ĐÁNH RĂNG", 0.9, [0, 0, 9, 9]), ("a", "hard", 1, "BÒ HẦM", 0.9, None), ("a", "raw", 0, "Kem Đánh Răng Bò Hầm", 0.8, None), ("b", "hard", 0, "bun gao me den / giá 5", None, None), ("c", "hard", 0, "xin chào", 0.9, None), ("d", "hard", 0, None, None, None), ("e", "hard", 0, "Pate Cột Đèn Hải Phòng", 0.9, None)]
+    rows = [("a", "hard", 0, "KEM ĐÁNH RĂNG", 0.9, [0, 0, 9, 9]), ("a", "hard", 1, "BÒ HẦM", 0.9, None), ("a", "raw", 0, "Kem Đánh Răng Bò Hầm", 0.8, None), ("b", "hard", 0, "bun gao me den / giá 5", None, None), ("c", "hard", 0, "xin chào", 0.9, None), ("d", "hard", 0, None, None, None), ("e", "hard", 0, "Bánh ngọt Rồng Xanh", 0.9, None)]
     return spark.createDataFrame(rows, LINES)
 
 
@@ -32,9 +32,9 @@ def test_candidates(spark):
 
 
 def test_predict(spark):
-    got = {r.image_id: (r.emit, r.reason, r.product_name) for r in PL.predict(lines(spark), entries(spark), U.registry(spark, U.EXAMPLE)).collect()}
+    got = {r.image_id: (r.emit, r.reason, r.product_name) for r in PL.predict(lines(spark), entries(spark), U.registry(spark, [("dragon", 95, 1.0, "Bánh Rồng Xanh", ["banh|rong xanh"])])).collect()}
     assert got["a"] == (True, "single", "Kem Đánh Răng Bò Hầm") and got["b"] == (True, "single", "Bún Gạo Mè Đen")
-    assert got["c"] == got["d"] == (False, "no_match", "") and got["e"] == (True, "rule", "Pate Cột Đèn Hải Phòng")
+    assert got["c"] == got["d"] == (False, "no_match", "") and got["e"] == (True, "rule", "Bánh Rồng Xanh")
 
 
 def test_surface_mining(spark):

@@ -1,7 +1,8 @@
 """A rule engine over texts: a registry of patterns given as a table, hits, resolution by priority, short-word rejection.
 
-A rule names words in order, with anything between them; its alternatives are tried in order and the first that fits
-is the hit. The registry is data: a caller brings its own.
+The registry is data of the caller; none is shipped. Each rule is (name, priority, score, canonical name, alternatives).
+An alternative gives folded words with ``|`` between them, which must stand in the text in that order with anything
+between them; alternatives are tried in order and the first that fits is the hit.
 """
 
 from __future__ import annotations
@@ -12,21 +13,6 @@ from tramloom.functions import text as X
 
 MAX_RULES = 10_000
 
-# An example registry of (rule, priority, score, canonical name, alternatives of words in order).
-EXAMPLE = [
-    ("pate_cot_den_hai_phong", 100, 1.00, "Pate Cột Đèn Hải Phòng", ["pate|cot|den|hai phong"]),
-    ("pate_cot_den", 98, 0.98, "Pate Cột Đèn", ["pate|cot|den"]),
-    ("nan_infinipro_a2", 100, 1.00, "Nestlé NAN INFINIPRO A2", ["nan|infinipro|a2"]),
-    ("nan_optipro_plus", 99, 0.99, "Nestlé NAN OPTIPRO PLUS", ["nan|optipro|plus"]),
-    ("tuong_ot_chinsu", 90, 0.90, "tương ớt Chinsu", ["chin su|tuong ot", "tuong ot|chin su"]),
-    ("do_hop_ha_long", 92, 0.92, "Đồ hộp Hạ Long", ["do hop|ha long", "hp|ha long"]),
-    ("sua_nan", 75, 0.75, "sữa NAN", ["sua|nan", "nan|sua"]),
-]
-
-# Short company words that are never a product.
-COMPANY_WORDS = ["ctcp", "jsc", "tnhh", "cong ty", "congty", "co phan", "nha may", "tong giam doc", "giam doc"]
-
-
 def pattern(words: str) -> str:
     """Pattern of words in order on a text of a-z, 0-9 and blanks."""
     return r".*".join(rf"\b{w}\b" for w in words.split("|"))
@@ -59,10 +45,10 @@ def resolve(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def rejected(c: Column, words: list[str] = COMPANY_WORDS) -> Column:
-    """True for a phrase that is blank or one of ``words``."""
+def rejected(c: Column, words: tuple[str, ...] = ()) -> Column:
+    """True for a phrase that is blank or, folded, one of ``words``, a list of the caller's."""
     t = X.rule_text(c)
-    return (t == "") | t.isin(*words)
+    return (t == "") | t.isin(*words) if words else t == ""
 
 
 def lexicon_hits(texts: DataFrame, key: str, column: str, lexicon: list[str]) -> DataFrame:

@@ -317,7 +317,8 @@ def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- rules and context ------------------------------------------------------------------------------------------
 
-RULES = [("toothpaste", 90, 0.9, "Kem Đánh Răng", ["kem danh|rang", "toothpaste"]), ("pate", 80, 0.8, "Pate Gan", ["pate|gan", "gan|pate"]), ("corn_snack", 95, 0.95, "Snack Bắp", ["snack|bap", "bim|bap"]), *U.EXAMPLE]
+RULES = [("toothpaste", 90, 0.9, "Kem Đánh Răng", ["kem danh|rang", "toothpaste"]), ("pate", 80, 0.8, "Pate Gan", ["pate|gan", "gan|pate"]), ("corn_snack", 95, 0.95, "Snack Bắp", ["snack|bap", "bim|bap"])]
+STOP_PHRASES = ("giao hang", "khuyen mai", "mua ngay", "xem them")
 LEXICON = ["khuyen mai", "giao hang", "cong ty", "gia", "tang ban", "thanh phan", "bao quan", "han dung"]
 _VALUES = ", ".join(f"('{r}', {p}, {s}::DOUBLE, '{c}', {i}, {Y.rx(U.pattern(a))})" for r, p, s, c, alts in RULES for i, a in enumerate(alts))
 _HITS = f"""SELECT doc_id, rule, canonical, priority, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY seq) AS k FROM (SELECT doc_id, {Y.rule_text('text')} AS norm FROM documents) t JOIN (VALUES {_VALUES}) r(rule, priority, score, canonical, seq, pattern) ON norm <> '' AND regexp_matches(norm, pattern)) WHERE k = 1"""
@@ -337,9 +338,9 @@ def rule_resolve(spark: SparkSession, d: str) -> DataFrame:
     return U.resolve(_hits(spark, d), "doc_id").select("doc_id", "rule", "canonical", "priority", "score")
 
 
-@query(f"SELECT rejected, count(*) AS n FROM (SELECT (r = '' OR r IN ({', '.join(Y.rx(w) for w in U.COMPANY_WORDS)})) AS rejected FROM (SELECT {Y.rule_text('clean_text')} AS r FROM product_candidates)) GROUP BY 1")
+@query(f"SELECT rejected, count(*) AS n FROM (SELECT (r = '' OR r IN ({', '.join(Y.rx(w) for w in STOP_PHRASES)})) AS rejected FROM (SELECT {Y.rule_text('clean_text')} AS r FROM product_candidates)) GROUP BY 1")
 def short_reject(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "product_candidates", ["clean_text"]).groupBy(U.rejected(F.col("clean_text")).alias("rejected")).agg(F.count("*").alias("n"))
+    return table(spark, d, "product_candidates", ["clean_text"]).groupBy(U.rejected(F.col("clean_text"), STOP_PHRASES).alias("rejected")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, array_to_string(h, '|') AS hits, len(h)::INT AS n_hits FROM (SELECT doc_id, list_sort(list_filter([{', '.join(Y.rx(w) for w in LEXICON)}], lambda p: contains(norm, p))) AS h FROM (SELECT doc_id, {Y.rule_text('text')} AS norm FROM documents))")

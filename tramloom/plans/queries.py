@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tramloom.operators import nested, packed, rules, surfaces
-from tramloom.plans import pipeline, reference_queries as reference
+from tramloom.plans import catalogue, pipeline
 from tramloom.sources.tables import table
 
 
@@ -28,8 +28,8 @@ def p3_child(child: str):
     return query
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c.rstrip('s')}s": p3_child(c) for c in nested.CHILDREN}, **reference.QUERIES}
-SQL: dict[str, str] = {**reference.SQL}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, **{f"p3_{c.rstrip('s')}s": p3_child(c) for c in nested.CHILDREN}, **catalogue.QUERIES}
+SQL: dict[str, str] = {**catalogue.SQL}
 
 
 def _fillers(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def generated_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def predicted_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of all images, from their read lines to the gate's decision."""
-    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, reference.RULES), fillers=_fillers(spark, d))
+    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, catalogue.RULES), fillers=_fillers(spark, d))
 
 
 def surface_mining(spark: SparkSession, d: str) -> DataFrame:

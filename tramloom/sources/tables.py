@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,8 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if shared is None:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
             shared = tempfile.mkdtemp(prefix="tramloom-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
