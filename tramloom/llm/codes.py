@@ -87,8 +87,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: Odd multipliers of two independent hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -101,11 +101,12 @@ def powers(base: int, n: int) -> np.ndarray:
 class Rolling:
     """Rabin-Karp hashes of any span of a sequence of numbers: one running sum, then O(1) a span."""
 
-    def __init__(self, numbers: np.ndarray):
+    def __init__(self, numbers: np.ndarray, which: int = 0):
         n = len(numbers)
+        base = BASES[which]
         self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(numbers.astype(np.uint64) + np.uint64(0x51ED270B)) * powers(BASE_INV, n)[:n], out=self.sum[1:])
-        self.up = powers(BASE, n + 1)
+        np.cumsum(mixed(numbers.astype(np.uint64) + np.uint64(0x51ED270B + which)) * powers(pow(base, -1, 1 << 64), n)[:n], out=self.sum[1:])
+        self.up = powers(base, n + 1)
 
     def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of each span; equal spans have equal hashes wherever they stand."""

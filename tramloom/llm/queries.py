@@ -84,7 +84,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "shared_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_items, p7_plan, p7_shares, p7_schedule, p8_found)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal stretches of each document that stand verbatim in others."""
+    s = spans.shared_spans(table(spark, d, "documents", ["doc_id", "text"]))
+    return s.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_items, p7_plan, p7_shares, p7_schedule, p8_found, p8_spans)}
 # ---- SQL twins ----
 
 _FOLDED = "replace(lower(strip_accents(regexp_replace(nfc_normalize(text), '[\\p{Cf}]', '', 'g'))), 'đ', 'd')"
@@ -103,6 +109,9 @@ SQL: dict[str, str] = {
     "p6_items": f"SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (g) GROUP BY 1",
     "p8_found": """WITH w AS (SELECT doc_id, i, md5(substring(text, i, 200)) AS h FROM documents, unnest(range(1, length(text) - 198)) AS u(i) WHERE length(text) >= 200), r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)
 SELECT doc_id, count(DISTINCT i + k)::INT AS shared_chars FROM w JOIN r USING (h), unnest(range(0, 200)) AS v(k) GROUP BY 1""",
+    "p8_spans": """WITH w AS (SELECT doc_id, i, md5(substring(text, i, 200)) AS h FROM documents, unnest(range(1, length(text) - 198)) AS u(i) WHERE length(text) >= 200), r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, i, i >= coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 200 AS first FROM w JOIN r USING (h)), g AS (SELECT *, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s)
+SELECT doc_id, (min(i) - 1)::INT AS start, (max(i) + 199)::INT AS stop FROM g GROUP BY doc_id, k""",
     "p5_stats": f"""SELECT doc_id, length(text) AS n_chars, {_count('[\\p{L}\\p{N}]+')} AS n_words, round({_count('[\\p{L}\\p{N}]')} / greatest({_count('[\\p{L}\\p{N}]+')}, 1)::DOUBLE, 6) AS mean_word_length,
  {_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')} AS n_lines, round({_count('(?m)[.!?…:;][ \\t\\r\\f\\v]*$')} / greatest({_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')}, 1)::DOUBLE, 6) AS punctuated_lines, round({_count('[\\p{L}\\p{N}]')} / greatest(length(text), 1)::DOUBLE, 6) AS alnum_ratio,
  round({_count(quality.SYMBOL)} / greatest(length(text), 1)::DOUBLE, 6) AS symbol_ratio, round({_count(f'{quality.CJK}|{quality.KANA}|{quality.HANGUL}|{quality.EMOJI}|{quality.SYMBOL}')} / greatest(length(text), 1)::DOUBLE, 6) AS junk_ratio FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')""",

@@ -1,12 +1,16 @@
 """Long exact spans shared between documents.
 
-Rabin-Karp hashes of every window of ``span`` characters are counted in Spark; windows that stand in more than one
-document merge into maximal intervals. Two things keep the count small without changing its result:
+Rabin-Karp hashes of windows of ``span`` characters are counted in Spark; windows that stand in more than one document
+merge into maximal intervals. Three things keep the count small without changing its result:
 
 * copies of a whole text are one text in the count, and are shared from end to end;
-* a window can only be repeated if the least of the ``gram``-hashes inside it is repeated (winnowing), so the hashes
-  that are least somewhere, about one position in fifty, are counted first, and only windows around repeated ones
-  are counted themselves.
+* a window can only be repeated if the least of the ``gram``-hashes inside it is repeated (winnowing); the windows that
+  a gram leads are one stretch, and one gram a stretch, about one for fifty characters, is counted first;
+* where the whole text under a stretch is repeated, so are all its windows; only the windows of the other stretches of
+  repeated grams, those at the ends of shared spans, are counted one by one, against those of the repeated stretches
+  that the same gram leads, which two of their documents give.
+
+Stretches and windows are counted by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tramloom.llm.codes import Codes, Rolling
+from tramloom.sources.tables import checkpointed
 
-#: Parts of a hot hash or text in joins; documents spread over them by their id.
-SALT = 8
+#: So many stretches at most travel to all tasks; more are joined to the texts by a shuffle.
+BROADCAST_STRETCHES = 2_000_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -42,115 +47,158 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterato
 
 
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the least of each run of ``width`` numbers, each position once for each stretch of runs it leads."""
-    n = len(h)
-    if n < width:
+    """Position of the least of each run of ``width`` numbers, the first of equal ones."""
+    if len(h) < width:
         return np.empty(0, np.int64)
-    bits = np.uint64(n.bit_length())
-    key = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
+    least, at = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64)
+
+    def halves(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = least[: len(least) - shift], least[shift:]
+        take = right < left
+        return np.where(take, right, left), np.where(take, at[shift:], at[: len(at) - shift])
+
     have = 1
     while have * 2 <= width:
-        key = np.minimum(key[: len(key) - have], key[have:])
+        least, at = halves(have)
         have *= 2
-    rest = width - have
-    if rest:
-        key = np.minimum(key[: len(key) - rest], key[rest:])
-    return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if width > have:
+        least, at = halves(width - have)
+    return at.astype(np.int64)
 
 
-def fingerprints(texts: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of the grams that are least in some window of ``span`` characters."""
+def stretches(texts: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, hash) of the stretches of windows that one gram leads."""
     codes = Codes(texts)
     n = len(codes.cp)
     if n < span:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
     at = np.arange(n - gram + 1)
     h = Rolling(codes.cp).spans(at, at + gram)
-    least = least_positions(h, span - gram + 1)  # of the window that starts at each position
-    doc = np.repeat(np.arange(len(codes.start)), codes.stop - codes.start)
-    inside = doc[: n - span + 1] == doc[span - 1 :]
-    pos = np.unique(least[inside])
-    return doc[pos], pos - codes.start[doc[pos]], h[pos]
-
-
-def windows_around(texts: pa.Array, marks: pa.ListArray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, hash) of the windows of ``span`` characters that hold a marked gram."""
+    lead = least_positions(h, span - gram + 1)  # of the window that starts at each position
+    doc = np.repeat(np.arange(len(codes.start), dtype=np.int32), codes.stop - codes.start)
+    inside = np.flatnonzero(doc[: n - span + 1] == doc[span - 1 :])
+    own, led = doc[inside], lead[inside]
+    new = np.ones(len(inside), bool)
+    new[1:] = (own[1:] != own[:-1]) | (led[1:] != led[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(inside)) - 1
+    d = own[first].astype(np.int64)
+    return d, inside[first] - codes.start[d], inside[last] - codes.start[d], h[led[first]]
+
+
+def span_hashes(texts: pa.Array, lists: pa.ListArray, step: int, span: int, windows: bool) -> tuple[np.ndarray, ...]:
+    """(text, place, gram, hash, second hash) of the listed stretches' texts, or of each of their ``windows``."""
     codes = Codes(texts)
-    values, owner = marks.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(marks).to_numpy(zero_copy_only=False)
-    first = np.maximum(codes.start[owner], codes.start[owner] + values - (span - gram))
-    last = np.minimum(codes.stop[owner] - span, codes.start[owner] + values)
-    ok = first <= last
-    edge = np.zeros(len(codes.cp) + 1, np.int32)
-    np.add.at(edge, first[ok], 1)
-    np.add.at(edge, last[ok] + 1, -1)
-    start = np.flatnonzero(np.cumsum(edge)[:-1])
-    doc = np.searchsorted(codes.stop, start, "right")
-    return doc, start - codes.start[doc], Rolling(codes.cp).spans(start, start + span)
-
-
-def _repeated(occ: DataFrame, doc: str) -> DataFrame:
-    """Rows of (h, doc, pos) whose ``h`` occurs in more than one document.
-
-    Rows lie by (h, part of the documents), so that a hot hash fills several tasks; both the count and the semi-join
-    read that one exchange.
+    rows, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    place, lead = (pc.struct_field(rows, [i]).to_numpy(zero_copy_only=False) for i in (0, 1))
+    fits = place // step + place % step + span <= (codes.stop - codes.start)[doc]
+    place, lead, doc = place[fits], lead[fits], doc[fits]
+    first, more = place // step, place % step
+    if windows:
+        count = more + 1
+        doc, lead = np.repeat(doc, count), np.repeat(lead, count)
+        first = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        place, more = first * step, np.zeros(len(first), np.int64)
+    start = codes.start[doc] + first
+    stop = start + more + span
+    return doc, place, lead, Rolling(codes.cp).spans(start, stop), Rolling(codes.cp, 1).spans(start, stop)
+
+
+def _flagged(occ: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """``occ`` with ``repeated``: do the keys occur in more than one document?
+
+    Rows lie by keys and part of the documents, with as many parts as the session has shuffle partitions, so that a hot
+    key fills all tasks. A part is one row in the count over all parts, and only the parts that a repeated key really
+    has go back to its rows. Rows, count and way back read one exchange.
     """
-    laid = occ.withColumn("__salt", F.pmod(F.col(doc), F.lit(SALT)).cast("int")).repartition("h", "__salt")
-    each = laid.groupBy("h", "__salt").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.max("pos").alias("pos"))
-    twice = each.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("pos").alias("pos")).where("lo < hi")
-    keys = twice.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    return laid.join(keys.hint("shuffle_hash"), ["h", "__salt"], "left_semi").select("h", doc, "pos")
+    parts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = occ.withColumn("__part", F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int")).repartition(*keys, "__part")
+    each = laid.groupBy(*keys, "__part").agg((F.min(doc) < F.max(doc)).alias("__many")).repartition(*keys)
+    twice = each.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__many").alias("m")).where("n > 1 or m").select(*keys)
+    back = each.join(twice.hint("shuffle_hash"), keys, "left_semi").select(*keys, "__part", F.lit(True).alias("repeated"))
+    return laid.join(back.hint("shuffle_hash"), [*keys, "__part"], "left").drop("__part").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
 
 
-def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100) -> DataFrame:
+def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: int = BROADCAST_STRETCHES) -> DataFrame:
     """(doc_id, shared_chars, spans): documents with a span of at least ``span`` characters that stands in another
-    document too, the number of their characters inside such spans, and the maximal intervals (start, stop).
+    document too, the number of their characters inside such spans, and the maximal intervals (start, stop); intervals
+    that only touch stay apart.
+
+    No text is shuffled while the stretches of repeated grams number at most ``most_sent``; beyond, the texts are joined
+    to them. A list of stretches is never longer than the text that it belongs to.
 
     Defined results: NULL texts and texts shorter than ``span`` share nothing; repeats inside one document don't
     count; copies of a text are shared from end to end; ``doc_id`` must be unique; other columns don't matter.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span).withColumn("k", F.md5("text"))
-    reps = keyed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("text").alias("text"))
-    found = T.StructType([T.StructField("h", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("pos", T.IntegerType())])
+    step = span - gram + 1
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span)
+    keyed = long_.select("doc_id", "text", F.length("text").alias("len"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(7), "text").alias("u"))
+    own = keyed.select("doc_id", "len", "t", "u", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("__part")).repartition("t", "u", "__part")
+    each = own.groupBy("t", "u", "__part").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).repartition("t", "u")
+    texts = each.groupBy("t", "u").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task tells the stretches of a text once, however many copies it reads
         for b in _pieces(batches):
-            doc, pos, h = fingerprints(b.column(1), span, gram)
-            yield pa.RecordBatch.from_arrays([_signed(h), b.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32))], names=found.names)
-
-    marks = _repeated(reps.select("rep", "text").mapInArrow(prints, found), "rep").groupBy("rep").agg(F.collect_list("pos").alias("marks"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, 1_000_000):
-            doc, pos, h = windows_around(b.column(1), b.column(2), span, gram)
-            yield pa.RecordBatch.from_arrays([_signed(h), b.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32))], names=found.names)
-
-    around = reps.select("rep", "text").join(marks, "rep").select("rep", "text", "marks").mapInArrow(windows, found)
-    starts = _repeated(around, "rep").groupBy("rep").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
-    merged = starts.mapInArrow(_merge(span), "rep long, spans array<struct<start:int,stop:int>>")
-    shared = reps.select("k", "rep", "n").join(merged, "rep", "left").where("n > 1 or spans is not null")
-    salted = shared.select("k", "n", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    own = keyed.select("doc_id", "k", F.length("text").alias("len"), F.pmod("doc_id", F.lit(SALT)).cast("int").alias("__salt"))
+            ids = b.column(0).to_pylist()
+            new = []
+            for t in ids:
+                new.append(t not in seen)
+                seen.add(t)
+            b = b.filter(pa.array(new))
+            doc, first, last, h = stretches(b.column(1), span, gram)
+            yield pa.RecordBatch.from_arrays([_signed(h), b.column(0).take(pa.array(doc)), pa.array(first * step + last - first)], names=["h", "t", "place"])
+
+    led = keyed.select("t", "text").mapInArrow(prints, "h long, t long, place long")
+    spot = F.struct("place", F.col("h").alias("lead"))
+    marks = _flagged(led, ["h"], "t").where("repeated").groupBy("t").agg(F.collect_set(spot).alias("places"))
+    marks = checkpointed(marks.join(texts.select("t", "rep"), "t").select("rep", "places"))
+
+    def hashed(rows: DataFrame, windows: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _pieces(batches, 1_000_000):
+                doc, place, lead, h, g = span_hashes(b.column(1), b.column(2), step, span, windows)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(g), b.column(0).take(pa.array(doc)), pa.array(place), *([] if windows else [pa.array(lead)])], names=["h", "g", "rep", "place", "lead"][: 4 if windows else 5])
+
+        n = rows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        sent = F.broadcast(rows) if n <= most_sent else rows
+        return long_.withColumnRenamed("doc_id", "rep").join(sent, "rep").select("rep", "text", "places").mapInArrow(run, "h long, g long, rep long, place long" + ("" if windows else ", lead long"))
+
+    told = checkpointed(_flagged(hashed(marks, False), ["h", "g"], "rep"))
+    left = told.where("not repeated").select("rep", "place", "lead")
+    pair = F.explode(F.array(F.col("a"), F.col("b"))).alias("x")
+    known = told.where("repeated").groupBy("h", "g", "lead").agg(F.min(F.struct("rep", "place")).alias("a"), F.max(F.struct("rep", "place")).alias("b"))
+    known = known.join(left.select("lead").distinct(), "lead", "left_semi").select(pair, "lead").select("x.rep", "x.place", "lead")
+    rest = checkpointed(left.unionByName(known).groupBy("rep").agg(F.collect_list(F.struct("place", "lead")).alias("places")))
+    ends = _flagged(hashed(rest, True), ["h", "g"], "rep")
+    found = told.where("repeated").select("rep", "place").unionByName(ends.where("repeated").select("rep", "place"))
+    merged = found.groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places")).mapInArrow(_merge(span, step), "rep long, spans array<struct<start:int,stop:int>>")
+    shared = texts.join(merged, "rep", "left").where("n > 1 or spans is not null").select("t", "u", "n", "spans")
+    there = each.select("t", "u", "__part").join(shared, ["t", "u"])
+    out = own.join(there, ["t", "u", "__part"])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("len").alias("stop")))
-    out = own.join(salted, ["k", "__salt"]).select("doc_id", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    out = out.select("doc_id", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans"))
     chars = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
     return out.select("doc_id", chars.cast("int").alias("shared_chars"), "spans")
 
 
-def _merge(span: int):
-    """Starts of repeated windows as maximal intervals, by list offsets."""
+def _merge(span: int, step: int):
+    """Sorted stretches of repeated windows as maximal intervals, by list offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         for b in batches:
             lists = b.column(1)
-            s = lists.flatten().to_numpy(zero_copy_only=False)
+            place = lists.flatten().to_numpy(zero_copy_only=False)
             owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            new = np.ones(len(s), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (s[1:] > s[:-1] + span)
+            start, stop = place // step, place // step + place % step + span
+            new = np.ones(len(start), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (start[1:] >= stop[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(s)) - 1
+            last = np.append(first[1:], len(start)) - 1
             offsets = np.searchsorted(owner[first], np.arange(b.num_rows + 1)).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(s[first].astype(np.int32)), pa.array((s[last] + span).astype(np.int32))], fields=list(kind))
+            values = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array(stop[last].astype(np.int32))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["rep", "spans"])
 
     return run
