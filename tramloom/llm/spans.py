@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tramloom.llm.codes import Codes, Rolling
+from tramloom.llm.codes import Codes, Rolling, mixed
 from tramloom.sources.tables import checkpointed
 
 #: So many stretches at most travel to all tasks; more are joined to the texts by a shuffle.
@@ -33,6 +33,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _packed(*numbers: np.ndarray) -> pa.Array:
+    """The numbers of each row as one binary value: what can't be pruned apart lets all readers share an exchange."""
+    n, width = len(numbers[0]), 8 * len(numbers)
+    data = np.stack(numbers, 1).astype(">i8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(data)])
+
+
+def _number(i: int) -> Column:
+    """Number ``i`` of the binary value ``v``."""
+    return F.conv(F.hex(F.substring("v", 8 * i + 1, 8)), 16, -10).cast("long")
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each (a longer text alone)."""
     for batch in batches:
@@ -104,19 +116,19 @@ def span_hashes(texts: pa.Array, lists: pa.ListArray, step: int, span: int, wind
     return doc, place, lead, Rolling(codes.cp).spans(start, stop), Rolling(codes.cp, 1).spans(start, stop)
 
 
-def _flagged(occ: DataFrame, keys: list[str], doc: str) -> DataFrame:
-    """``occ`` with ``repeated``: do the keys occur in more than one document?
+def _flagged(occ: DataFrame, keys: list[str]) -> DataFrame:
+    """``occ`` (keys, part, v) with ``repeated``: do the keys occur in more than one document, the first number of ``v``?
 
     Rows lie by keys and part of the documents, with as many parts as the session has shuffle partitions, so that a hot
     key fills all tasks. A part is one row in the count over all parts, and only the parts that a repeated key really
     has go back to its rows. Rows, count and way back read one exchange.
     """
-    parts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = occ.withColumn("__part", F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int")).repartition(*keys, "__part")
-    each = laid.groupBy(*keys, "__part").agg((F.min(doc) < F.max(doc)).alias("__many")).repartition(*keys)
-    twice = each.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__many").alias("m")).where("n > 1 or m").select(*keys)
-    back = each.join(twice.hint("shuffle_hash"), keys, "left_semi").select(*keys, "__part", F.lit(True).alias("repeated"))
-    return laid.join(back.hint("shuffle_hash"), [*keys, "__part"], "left").drop("__part").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    laid = occ.repartition(*keys, "part")
+    doc = F.xxhash64(F.substring("v", 1, 8))
+    each = laid.groupBy(*keys, "part").agg((F.min(doc) < F.max(doc)).alias("many")).repartition(*keys)
+    twice = each.groupBy(*keys).agg(F.count("*").alias("n"), F.max("many").alias("m")).where("n > 1 or m").select(*keys)
+    back = each.join(twice.hint("shuffle_hash"), keys, "left_semi").select(*keys, "part", F.lit(True).alias("repeated"))
+    return laid.join(back.hint("shuffle_hash"), [*keys, "part"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
 
 
 def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: int = BROADCAST_STRETCHES) -> DataFrame:
@@ -134,9 +146,12 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span)
     keyed = long_.select("doc_id", "text", F.length("text").alias("len"), F.xxhash64("text").alias("t"), F.xxhash64(F.lit(7), "text").alias("u"))
-    own = keyed.select("doc_id", "len", "t", "u", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("__part")).repartition("t", "u", "__part")
-    each = own.groupBy("t", "u", "__part").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).repartition("t", "u")
-    texts = each.groupBy("t", "u").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    own = checkpointed(keyed.select("doc_id", "len", "t", "u"))
+    texts = own.groupBy("t", "u").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+
+    def rows(hashes: list[np.ndarray], doc: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+        part = (mixed(doc) % np.uint64(parts)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*map(_signed, hashes), pa.array(part), _packed(doc, *numbers)], names=["h", "g"][: len(hashes)] + ["part", "v"])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task tells the stretches of a text once, however many copies it reads
@@ -148,37 +163,39 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
                 seen.add(t)
             b = b.filter(pa.array(new))
             doc, first, last, h = stretches(b.column(1), span, gram)
-            yield pa.RecordBatch.from_arrays([_signed(h), b.column(0).take(pa.array(doc)), pa.array(first * step + last - first)], names=["h", "t", "place"])
+            yield rows([h], b.column(0).to_numpy()[doc], first * step + last - first)
 
-    led = keyed.select("t", "text").mapInArrow(prints, "h long, t long, place long")
-    spot = F.struct("place", F.col("h").alias("lead"))
-    marks = _flagged(led, ["h"], "t").where("repeated").groupBy("t").agg(F.collect_set(spot).alias("places"))
+    led = keyed.select("t", "text").mapInArrow(prints, "h long, part int, v binary")
+    spot = F.struct(_number(1).alias("place"), F.col("h").alias("lead"))
+    marks = _flagged(led, ["h"]).where("repeated").groupBy(_number(0).alias("t")).agg(F.collect_set(spot).alias("places"))
     marks = checkpointed(marks.join(texts.select("t", "rep"), "t").select("rep", "places"))
 
-    def hashed(rows: DataFrame, windows: bool) -> DataFrame:
+    def hashed(spots: DataFrame, windows: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _pieces(batches, 1_000_000):
                 doc, place, lead, h, g = span_hashes(b.column(1), b.column(2), step, span, windows)
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(g), b.column(0).take(pa.array(doc)), pa.array(place), *([] if windows else [pa.array(lead)])], names=["h", "g", "rep", "place", "lead"][: 4 if windows else 5])
+                yield rows([h, g], b.column(0).to_numpy()[doc], place, lead)
 
-        n = rows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-        sent = F.broadcast(rows) if n <= most_sent else rows
-        return long_.withColumnRenamed("doc_id", "rep").join(sent, "rep").select("rep", "text", "places").mapInArrow(run, "h long, g long, rep long, place long" + ("" if windows else ", lead long"))
+        n = spots.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        sent = F.broadcast(spots) if n <= most_sent else spots
+        return long_.withColumnRenamed("doc_id", "rep").join(sent, "rep").select("rep", "text", "places").mapInArrow(run, "h long, g long, part int, v binary")
 
-    told = checkpointed(_flagged(hashed(marks, False), ["h", "g"], "rep"))
+    told = _flagged(hashed(marks, False), ["h", "g"])
+    told = checkpointed(told.select("h", "g", _number(0).alias("rep"), _number(1).alias("place"), _number(2).alias("lead"), "repeated"))
     left = told.where("not repeated").select("rep", "place", "lead")
     pair = F.explode(F.array(F.col("a"), F.col("b"))).alias("x")
     known = told.where("repeated").groupBy("h", "g", "lead").agg(F.min(F.struct("rep", "place")).alias("a"), F.max(F.struct("rep", "place")).alias("b"))
     known = known.join(left.select("lead").distinct(), "lead", "left_semi").select(pair, "lead").select("x.rep", "x.place", "lead")
     rest = checkpointed(left.unionByName(known).groupBy("rep").agg(F.collect_list(F.struct("place", "lead")).alias("places")))
-    ends = _flagged(hashed(rest, True), ["h", "g"], "rep")
-    found = told.where("repeated").select("rep", "place").unionByName(ends.where("repeated").select("rep", "place"))
+    ends = _flagged(hashed(rest, True), ["h", "g"]).where("repeated").select(_number(0).alias("rep"), _number(1).alias("place"))
+    found = told.where("repeated").select("rep", "place").unionByName(ends)
     merged = found.groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places")).mapInArrow(_merge(span, step), "rep long, spans array<struct<start:int,stop:int>>")
-    shared = texts.join(merged, "rep", "left").where("n > 1 or spans is not null").select("t", "u", "n", "spans")
-    there = each.select("t", "u", "__part").join(shared, ["t", "u"])
-    out = own.join(there, ["t", "u", "__part"])
+    shared = texts.where("n = 1").join(merged, "rep").select("t", "u", "spans")
+    copied = texts.where("n > 1").select("t", "u", "n")
+    hot = F.broadcast(copied.where(F.col("n") > own.count() / 1000).select("t", "u"))  # fewer than 1000 texts
+    copies = own.join(hot, ["t", "u"], "left_semi").unionByName(own.join(hot, ["t", "u"], "left_anti").join(copied, ["t", "u"], "left_semi"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("len").alias("stop")))
-    out = out.select("doc_id", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    out = copies.select("doc_id", whole.alias("spans")).unionByName(own.join(shared, ["t", "u"]).select("doc_id", "spans"))
     chars = F.aggregate("spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
     return out.select("doc_id", chars.cast("int").alias("shared_chars"), "spans")
 
