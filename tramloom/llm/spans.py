@@ -20,31 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tramloom.llm.codes import Codes, Rolling, mixed
-from tramloom.sources.tables import checkpointed
+from tramloom.llm.codes import Codes, Rolling
+from tramloom.sources.tables import checkpointed, written
 
-#: So many stretches at most travel to all tasks; more are joined to the texts by a shuffle.
-BROADCAST_STRETCHES = 2_000_000
+#: So many stretches or hashes at most travel to all tasks; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _packed(*numbers: np.ndarray) -> pa.Array:
-    """The numbers of each row as one binary value: what can't be pruned apart lets all readers share an exchange."""
-    n, width = len(numbers[0]), 8 * len(numbers)
-    data = np.stack(numbers, 1).astype(">i8").tobytes()
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(data)])
-
-
-def _number(i: int) -> Column:
-    """Number ``i`` of the binary value ``v``."""
-    return F.conv(F.hex(F.substring("v", 8 * i + 1, 8)), 16, -10).cast("long")
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each (a longer text alone)."""
     for batch in batches:
@@ -116,22 +104,24 @@ def span_hashes(texts: pa.Array, lists: pa.ListArray, step: int, span: int, wind
     return doc, place, lead, Rolling(codes.cp).spans(start, stop), Rolling(codes.cp, 1).spans(start, stop)
 
 
-def _flagged(occ: DataFrame, keys: list[str]) -> DataFrame:
-    """``occ`` (keys, part, v) with ``repeated``: do the keys occur in more than one document, the first number of ``v``?
+def _repeated(occ: DataFrame, keys: list[str], doc: str, most_sent: int) -> DataFrame:
+    """Rows of ``occ`` whose keys occur in more than one document.
 
-    Rows lie by keys and part of the documents, with as many parts as the session has shuffle partitions, so that a hot
-    key fills all tasks. A part is one row in the count over all parts, and only the parts that a repeated key really
-    has go back to its rows. Rows, count and way back read one exchange.
+    The count combines before its shuffle. Repeated keys travel to the rows while there are at most ``most_sent``; beyond,
+    the rows are joined to them, those of a hot key (more than a thousandth of all rows) in as many parts as the session
+    has shuffle partitions.
     """
-    laid = occ.repartition(*keys, "part")
-    doc = F.xxhash64(F.substring("v", 1, 8))
-    each = laid.groupBy(*keys, "part").agg((F.min(doc) < F.max(doc)).alias("many")).repartition(*keys)
-    twice = each.groupBy(*keys).agg(F.count("*").alias("n"), F.max("many").alias("m")).where("n > 1 or m").select(*keys)
-    back = each.join(twice.hint("shuffle_hash"), keys, "left_semi").select(*keys, "part", F.lit(True).alias("repeated"))
-    return laid.join(back.hint("shuffle_hash"), [*keys, "part"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    counted = checkpointed(occ.groupBy(*keys).agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*keys, "n"))
+    if counted.count() <= most_sent:
+        return occ.join(F.broadcast(counted.select(*keys)), keys, "left_semi")
+    parts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(counted.where(F.col("n") > occ.count() / 1000).select(*keys, F.lit(True).alias("hot")))  # fewer than 1000
+    split = lambda df, part: df.join(hot, keys, "left").withColumn("part", F.explode(F.when(F.col("hot"), part).otherwise(F.array(F.lit(0)))))
+    own = split(occ, F.array(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int")))
+    return own.join(split(counted, F.sequence(F.lit(0), F.lit(parts - 1))).select(*keys, "part"), [*keys, "part"], "left_semi").drop("hot", "part")
 
 
-def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: int = BROADCAST_STRETCHES) -> DataFrame:
+def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, shared_chars, spans): documents with a span of at least ``span`` characters that stands in another
     document too, the number of their characters inside such spans, and the maximal intervals (start, stop); intervals
     that only touch stay apart.
@@ -149,10 +139,6 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
     own = checkpointed(keyed.select("doc_id", "len", "t", "u"))
     texts = own.groupBy("t", "u").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
 
-    def rows(hashes: list[np.ndarray], doc: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
-        part = (mixed(doc) % np.uint64(parts)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*map(_signed, hashes), pa.array(part), _packed(doc, *numbers)], names=["h", "g"][: len(hashes)] + ["part", "v"])
-
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task tells the stretches of a text once, however many copies it reads
         for b in _pieces(batches):
@@ -163,32 +149,31 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
                 seen.add(t)
             b = b.filter(pa.array(new))
             doc, first, last, h = stretches(b.column(1), span, gram)
-            yield rows([h], b.column(0).to_numpy()[doc], first * step + last - first)
+            yield pa.RecordBatch.from_arrays([_signed(h), b.column(0).take(pa.array(doc)), pa.array(first * step + last - first)], names=["h", "t", "place"])
 
-    led = keyed.select("t", "text").mapInArrow(prints, "h long, part int, v binary")
-    spot = F.struct(_number(1).alias("place"), F.col("h").alias("lead"))
-    marks = _flagged(led, ["h"]).where("repeated").groupBy(_number(0).alias("t")).agg(F.collect_set(spot).alias("places"))
+    led = written(keyed.select("t", "text").mapInArrow(prints, "h long, t long, place long"))  # counted and joined, made once
+    marks = _repeated(led, ["h"], "t", most_sent).groupBy("t").agg(F.collect_set(F.struct("place", F.col("h").alias("lead"))).alias("places"))
     marks = checkpointed(marks.join(texts.select("t", "rep"), "t").select("rep", "places"))
 
     def hashed(spots: DataFrame, windows: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _pieces(batches, 1_000_000):
                 doc, place, lead, h, g = span_hashes(b.column(1), b.column(2), step, span, windows)
-                yield rows([h, g], b.column(0).to_numpy()[doc], place, lead)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(g), b.column(0).take(pa.array(doc)), pa.array(place), pa.array(lead)], names=["h", "g", "rep", "place", "lead"])
 
         n = spots.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
         sent = F.broadcast(spots) if n <= most_sent else spots
-        return long_.withColumnRenamed("doc_id", "rep").join(sent, "rep").select("rep", "text", "places").mapInArrow(run, "h long, g long, part int, v binary")
+        return long_.withColumnRenamed("doc_id", "rep").join(sent, "rep").select("rep", "text", "places").mapInArrow(run, "h long, g long, rep long, place long, lead long")
 
-    told = _flagged(hashed(marks, False), ["h", "g"])
-    told = checkpointed(told.select("h", "g", _number(0).alias("rep"), _number(1).alias("place"), _number(2).alias("lead"), "repeated"))
-    left = told.where("not repeated").select("rep", "place", "lead")
+    laid = written(hashed(marks, False))
+    told = written(_repeated(laid, ["h", "g"], "rep", most_sent))
+    left = laid.join(told.select("h", "g").distinct(), ["h", "g"], "left_anti").select("rep", "place", "lead")
     pair = F.explode(F.array(F.col("a"), F.col("b"))).alias("x")
-    known = told.where("repeated").groupBy("h", "g", "lead").agg(F.min(F.struct("rep", "place")).alias("a"), F.max(F.struct("rep", "place")).alias("b"))
+    known = told.groupBy("h", "g", "lead").agg(F.min(F.struct("rep", "place")).alias("a"), F.max(F.struct("rep", "place")).alias("b"))
     known = known.join(left.select("lead").distinct(), "lead", "left_semi").select(pair, "lead").select("x.rep", "x.place", "lead")
     rest = checkpointed(left.unionByName(known).groupBy("rep").agg(F.collect_list(F.struct("place", "lead")).alias("places")))
-    ends = _flagged(hashed(rest, True), ["h", "g"]).where("repeated").select(_number(0).alias("rep"), _number(1).alias("place"))
-    found = told.where("repeated").select("rep", "place").unionByName(ends)
+    ends = _repeated(hashed(rest, True).drop("lead"), ["h", "g"], "rep", most_sent)
+    found = told.select("rep", "place").unionByName(ends.select("rep", "place"))
     merged = found.groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places")).mapInArrow(_merge(span, step), "rep long, spans array<struct<start:int,stop:int>>")
     shared = texts.where("n = 1").join(merged, "rep").select("t", "u", "spans")
     copied = texts.where("n > 1").select("t", "u", "n")
@@ -209,7 +194,8 @@ def _merge(span: int, step: int):
             lists = b.column(1)
             place = lists.flatten().to_numpy(zero_copy_only=False)
             owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            start, stop = place // step, place // step + place % step + span
+            start, own = place // step, owner.astype(np.int64) << 40
+            stop = np.maximum.accumulate(own + start + place % step + span) - own
             new = np.ones(len(start), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (start[1:] >= stop[:-1])
             first = np.flatnonzero(new)
