@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tramloom.functions.workers import per_worker
 
@@ -25,6 +27,19 @@ LOOKALIKES = {
 LATIN_LOOKALIKES = {"ɡ": "g", "ɑ": "a", "ı": "i", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ƒ": "f", "ѡ": "w", "ʋ": "v", "Ɩ": "I", "ǀ": "l"}
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each (a longer text alone)."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        total = np.cumsum(size)
+        at = 0
+        while at < batch.num_rows:
+            base = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, base + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class Codes:
     """``cp``: code points of all texts one after another; ``start``, ``stop``: each text's part of them (NULL: empty)."""
 

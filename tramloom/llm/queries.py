@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tramloom.llm import gazetteer, leakage, lookalike, mixing, quality, spans
+from tramloom.plans import sql as Y
 from tramloom.sources.tables import table
 
 FORM_FIELDS = [("ocr_lines", "line_id", "text"), ("product_candidates", "candidate_id", "clean_text"), ("gazetteer_entries", "entry_id", "canonical_key")]
@@ -46,7 +47,7 @@ def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of words, lines and characters of each document."""
-    return quality.statistics(table(spark, d, "documents", ["doc_id", "text"]))
+    return quality.statistics(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "common_words", ["word"]))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +114,7 @@ SELECT doc_id, count(DISTINCT i + k)::INT AS shared_chars FROM w JOIN r USING (h
 s AS (SELECT doc_id, i, i >= coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 200 AS first FROM w JOIN r USING (h)), g AS (SELECT *, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s)
 SELECT doc_id, (min(i) - 1)::INT AS start, (max(i) + 199)::INT AS stop FROM g GROUP BY doc_id, k""",
     "p5_stats": f"""SELECT doc_id, length(text) AS n_chars, {_count('[\\p{L}\\p{N}]+')} AS n_words, round({_count('[\\p{L}\\p{N}]')} / greatest({_count('[\\p{L}\\p{N}]+')}, 1)::DOUBLE, 6) AS mean_word_length,
- {_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')} AS n_lines, round({_count('(?m)[.!?…:;][ \\t\\r\\f\\v]*$')} / greatest({_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')}, 1)::DOUBLE, 6) AS punctuated_lines, round({_count('[\\p{L}\\p{N}]')} / greatest(length(text), 1)::DOUBLE, 6) AS alnum_ratio,
- round({_count(quality.SYMBOL)} / greatest(length(text), 1)::DOUBLE, 6) AS symbol_ratio, round({_count(f'{quality.CJK}|{quality.KANA}|{quality.HANGUL}|{quality.EMOJI}|{quality.SYMBOL}')} / greatest(length(text), 1)::DOUBLE, 6) AS junk_ratio FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')""",
+ {_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')} AS n_lines, round({_count('(?m)[.!?…:;][ \\t\\r\\f\\v]*$')} / greatest({_count('(?m)^[^\\n]*[^ \\t\\n\\r\\f\\v][^\\n]*$')}, 1)::DOUBLE, 6) AS punctuated_lines,
+ round(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: list_contains(listed, x))) / greatest({_count('[\\p{L}\\p{N}]+')}, 1)::DOUBLE, 6) AS common_ratio, round({_count('[\\p{L}\\p{N}]')} / greatest(length(text), 1)::DOUBLE, 6) AS alnum_ratio,
+ round({_count(quality.SYMBOL)} / greatest(length(text), 1)::DOUBLE, 6) AS symbol_ratio, round({_count(f'{quality.CJK}|{quality.KANA}|{quality.HANGUL}|{quality.EMOJI}|{quality.SYMBOL}')} / greatest(length(text), 1)::DOUBLE, 6) AS junk_ratio FROM documents, (SELECT list(lower(word)) || list({Y.fold('lower(word)')}) AS listed FROM common_words WHERE word IS NOT NULL) WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')""",
 }

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tramloom.llm.codes import Codes, Rolling
+from tramloom.llm.codes import Codes, Rolling, pieces
 from tramloom.sources.tables import checkpointed, written
 
 #: So many stretches or hashes at most travel to all tasks; more are joined by a shuffle.
@@ -33,19 +33,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` bytes of text each (a longer text alone)."""
-    for batch in batches:
-        size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-        total = np.cumsum(size)
-        at = 0
-        while at < batch.num_rows:
-            base = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, base + most, "right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the least of each run of ``width`` numbers, the first of equal ones."""
     if len(h) < width:
@@ -141,7 +128,7 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task tells the stretches of a text once, however many copies it reads
-        for b in _pieces(batches):
+        for b in pieces(batches):
             ids = b.column(0).to_pylist()
             new = []
             for t in ids:
@@ -157,7 +144,7 @@ def shared_spans(docs: DataFrame, span: int = 200, gram: int = 100, most_sent: i
 
     def hashed(spots: DataFrame, windows: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _pieces(batches, 1_000_000):
+            for b in pieces(batches, 1_000_000):
                 doc, place, lead, h, g = span_hashes(b.column(1), b.column(2), step, span, windows)
                 yield pa.RecordBatch.from_arrays([_signed(h), _signed(g), b.column(0).take(pa.array(doc)), pa.array(place), pa.array(lead)], names=["h", "g", "rep", "place", "lead"])
 
