@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tramloom.llm import mixing
@@ -23,31 +25,73 @@ def test_shares(spark):
         assert abs(got[s].actual_share - w / 1.2) < 0.01 and got[s].share == round(w / 1.2, 6)
 
 
-@pytest.mark.parametrize("total", [None, 2000, 10**9])
+@pytest.mark.parametrize("total", [None, 2000, 10**7])
 def test_repeats_keep_to_their_caps(spark, total):
     t, rows = tokens(spark, {"a": 300, "b": 20, "c c": 100})
-    planned = mixing.plan(t, mix(spark), total)
-    used = mixing.repeats(t, planned).collect()
+    planned = mixing.plan(t, mix(spark), total, 64)
+    used = mixing.repeats(t, planned, 64).collect()
     caps = {"a": 1, "b": 4, "c_c": 2}
-    assert all(0 <= r.repeats <= caps[r.source] for r in used)
-    budget = {r.source: r.budget for r in planned.collect()}
+    assert all(0 <= r.repeats <= caps[r.source] for r in used) and len(used) == 420
+    p = {r.source: r for r in planned.collect()}
     for s in caps:
         got = sum(r.repeats * r.tokens for r in used if r.source == s)
-        assert budget[s] <= got < budget[s] + 40 or got == budget[s]
+        assert min(p[s].blocks * 64, p[s].tokens * p[s].max_repeats) <= got < p[s].blocks * 64 + 40
         at = sorted((r["at"], r.tokens) for r in used if r.source == s)
         assert all(x + n == y for (x, n), (y, _) in zip(at, at[1:])) and at[0][0] == 0
 
 
-def test_schedule_places_every_copy_once(spark):
-    t, _ = tokens(spark, {"a": 500, "b": 40, "c_c": 200})
-    used = {(r.doc_id, k) for r in mixing.repeats(t, mixing.plan(t, mix(spark))).collect() for k in range(r.repeats)}
-    rows = mixing.schedule(t, mix(spark), block=64, chunk=37).collect()
-    assert len(rows) == len(used) and {(r.doc_id, r["round"]) for r in rows} == used
-    by = {}
+def test_points_are_counted_without_drawing_them():
+    drawn = [i * mixing.GOLDEN % mixing.RING for i in range(2000)]
+    r = random.Random(1)
+    for _ in range(200):
+        n, (a, b) = r.randint(0, 2000), sorted((r.randint(0, mixing.RING), r.randint(0, mixing.RING)))
+        assert mixing.points_on(n, a, b) == sum(a <= x < b for x in drawn[:n])
+
+
+def check_schedule(spark, t, m, total, block):
+    """Every use that the plan counts is placed whole, every slot has a row, blocks are equal."""
+    planned = {r.source: r for r in mixing.plan(t, m, total, block).collect()}
+    sizes = {r.doc_id: r.tokens for r in t.collect()}
+    used = {(r.doc_id, k) for r in mixing.repeats(t, mixing.plan(t, m, total, block), block).collect() for k in range(r.repeats)}
+    rows = mixing.schedule(t, m, total, block).collect()
+    slots = next(iter(planned.values())).slots
+    assert {r.slot for r in rows} == set(range(slots))
+    placed, held = {}, {}
     for r in rows:
-        assert by.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
-    half = sorted(by)[: len(by) // 2]
-    assert abs(sum(by[s][0] == "a" for s in half) / len(half) - 0.5 / 1.2) < 0.06
+        assert (r.doc_id is None) == (r.block is None)
+        if r.doc_id is not None:
+            placed[r.doc_id, r["round"]] = placed.get((r.doc_id, r["round"]), 0) + r.stop_token - r.first_token
+            held[r.slot] = held.get(r.slot, 0) + r.stop_token - r.first_token
+    assert set(placed) == used and all(n == sizes[d] for (d, _), n in placed.items())
+    of = {r.slot: (r.source, r.block) for r in rows}
+    for s, p in planned.items():
+        mine = {b for x, b in of.values() if x == s and b is not None}
+        assert mine == set(range(p.blocks))
+    assert all(n == block for slot, n in held.items() if of[slot][1] < planned[of[slot][0]].blocks - 1)
+    return planned, of
+
+
+def test_schedule(spark):
+    t, _ = tokens(spark, {"a": 500, "b": 40, "c_c": 200})
+    _, of = check_schedule(spark, t, mix(spark), None, 64)
+    half = sorted(of)[: len(of) // 2]
+    assert abs(sum(of[s][0] == "a" for s in half) / len(half) - 0.5 / 1.2) < 0.06
+    whole = mixing.slot_table(mixing.plan(t, mix(spark), None, 64)).collect()
+    assert sorted(mixing.slot_table(mixing.plan(t, mix(spark), None, 64), chunk=7).collect()) == sorted(whole)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_schedule_of_many_small_sources(spark, seed):
+    r = random.Random(seed)
+    t, _ = tokens(spark, {f"s{i}": r.randint(1, 12) for i in range(30)})
+    m = mix(spark, [(f"s{i}", r.uniform(0.01, 1), r.randint(1, 5)) for i in range(30)])
+    check_schedule(spark, t, m, None, 16)
+    check_schedule(spark, t, m, 20_000, 16)
+
+
+def test_long_document_fills_slots_of_its_own(spark):
+    t = spark.createDataFrame([("x", "a", 1000), ("y", "a", 3), ("z", "b", 700)], "doc_id string, source string, tokens long")
+    check_schedule(spark, t, mix(spark, [("a", 0.5, 2), ("b", 0.5, 3)]), None, 10)
 
 
 def test_nulls_and_empty(spark):
@@ -69,6 +113,4 @@ def test_tokens(spark):
 @pytest.mark.parametrize("total, block", [(24000, 8), (10**6, 64), (700, 64)])
 def test_schedule_of_a_given_total_places_every_copy(spark, total, block):
     t, _ = tokens(spark, {"a": 500, "b": 40, "c_c": 200})
-    used = {(r.doc_id, k) for r in mixing.repeats(t, mixing.plan(t, mix(spark), total, block)).collect() for k in range(r.repeats)}
-    rows = mixing.schedule(t, mix(spark), total, block).collect()
-    assert len(rows) == len(used) and {(r.doc_id, r["round"]) for r in rows} == used
+    check_schedule(spark, t, mix(spark), total, block)

@@ -1,26 +1,50 @@
 """Mixing sources to target weights.
 
 Points of the golden-ratio sequence fall on the cumulated target shares, so that every stretch of slots holds nearly
-the wanted share of each source. Slots are ranked within their source, each source's documents are shuffled and laid
-end to end into blocks of equal tokens, and slot r of a source takes its block r. A source short of tokens starts
-over, at most ``max_repeats`` times.
+the wanted share of each source. A slot's rank among those of its source is its block: each source's documents are
+shuffled and laid end to end into blocks of equal tokens, and slot r of a source takes its block r. A source short of
+tokens starts over, at most ``max_repeats`` times.
 
-Ranks and running sums are taken in two levels (within a bucket, then over the buckets' totals), so that no task holds
-a whole source or the whole schedule.
+How many of the first n points fall on a stretch is known exactly without drawing them (a floor sum), so the plan is
+that of the schedule, and ranks need no shuffle. Running sums of tokens are taken in two levels, so that no task holds
+a whole source.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tramloom.llm.tokens import with_tokens
+from tramloom.sources.tables import written
 
 #: Slot n stands at (n * GOLDEN mod RING) / RING, with the golden ratio's fraction as an integer, so without rounding.
 RING = 1 << 62
 GOLDEN = (math.isqrt(5 * RING * RING) - RING) // 2
 MAX_TARGETS = 100_000
+#: Documents in one part of a source's running sum.
+PART = 100_000
+
+
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """Sum of (a * i + b) // m for i below n, by the steps of Euclid's algorithm."""
+    total = 0
+    while n > 0:
+        total += (a // m) * (n * (n - 1) // 2) + (b // m) * n
+        a, b = a % m, b % m
+        last = a * n + b
+        n, b = divmod(last, m)
+        m, a = a, m
+    return total
+
+
+def points_on(n: int, low: int, high: int) -> int:
+    """How many of the first ``n`` points lie from ``low`` to below ``high``."""
+    return floor_sum(n, RING, GOLDEN, -low) - floor_sum(n, RING, GOLDEN, -high)
 
 
 def source_name(c: Column) -> Column:
@@ -38,49 +62,61 @@ def targets(mix: DataFrame) -> DataFrame:
     )
 
 
+PLAN = "source string, target_share double, share double, max_repeats long, n_docs long, tokens long, slots long, blocks long, low long, high long"
+
+
 def plan(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None, block: int = 512) -> DataFrame:
-    """(source, share, max_repeats, n_docs, tokens, budget, blocks): what each source gives.
+    """(source, target_share, share, max_repeats, n_docs, tokens, slots, blocks, low, high): the schedule's number of slots
+    and of each source's blocks in them, and its stretch of the points.
 
     ``share`` is the target among the sources that have tokens, scaled to add up to one. Without ``total_tokens`` the
-    total is the largest for which every source reaches its share within its repeats. With it, a source whose repeats
-    don't suffice gives all it can. One row a target; sources without tokens give nothing, documents without a target
-    aren't used.
+    schedule ends before the first slot whose source has used up its repeats. With it, it has as many slots as the total
+    needs, and those of a used-up source stay empty. One row a target; sources without tokens give nothing, documents
+    without a target aren't used.
     """
-    have = tokens.where("tokens > 0").groupBy(source_name(F.col("source")).alias("source")).agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"))
     if mix.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    t = targets(mix).join(have, "source", "left").fillna(0, ["n_docs", "tokens"])
-    everything = Window.partitionBy()  # one row a source of the target table
-    weight = F.when((F.col("tokens") > 0) & (F.col("max_repeats") > 0), F.col("target_share")).otherwise(0.0)
-    t = t.withColumn("w", weight).withColumn("share", F.when(F.sum("w").over(everything) > 0, F.col("w") / F.sum("w").over(everything)).otherwise(0.0))
-    most = F.min(F.when(F.col("share") > 0, F.col("tokens") * F.col("max_repeats") / F.col("share"))).over(everything)
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(most, F.lit(0.0))
-    t = t.withColumn("budget", F.least(F.floor(total * F.col("share")), F.col("tokens") * F.col("max_repeats")).cast("long"))
-    return t.select("source", "target_share", "share", "max_repeats", "n_docs", "tokens", "budget", F.ceil(F.col("budget") / block).cast("long").alias("blocks"))
-
-
-def _running(df: DataFrame, group: str, value: str, order: list[str], buckets: int, bucket: Column) -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` over the rows of its group that come first by bucket, then ``order``."""
-    df = df.withColumn("__b", bucket)
-    sums = df.groupBy(group, "__b").agg(F.sum(value).alias("__s"))
-    w = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a group
-    starts = sums.select(group, "__b", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(starts, [group, "__b"]).withColumn("before", F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__b", "__start")
-
-
-def repeats(tokens: DataFrame, planned: DataFrame, seed: int = 11, buckets: int = 256) -> DataFrame:
+    have = tokens.where("tokens > 0").groupBy(source_name(F.col("source")).alias("source")).agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    rows = sorted(targets(mix).join(have, "source", "left").fillna(0, ["n_docs", "tokens"]).collect())  # a row a target
+    weights = [r.target_share if r.tokens and r.max_repeats else 0.0 for r in rows]
+    whole = sum(weights)
+    ends = [int(x / whole * RING) if whole else 0 for x in np.cumsum(weights)]
+    if whole:
+        last = max(i for i, w in enumerate(weights) if w)
+        ends[last:] = [RING] * (len(ends) - last)
+    stretches = list(zip([0, *ends[:-1]], ends))
+    most = [-(-r.tokens * r.max_repeats // block) for r in rows]
+    counts = lambda n: [points_on(n, a, b) for a, b in stretches]
+    if not whole:
+        slots = 0
+    elif total_tokens is not None:
+        slots = -(-total_tokens // block)
+    else:
+        slots, over = 0, sum(most) + 1  # the largest number of slots that no source is short of
+        while over - slots > 1:
+            half = (slots + over) // 2
+            fits = all(c <= m for c, m in zip(counts(half), most))
+            slots, over = (half, over) if fits else (slots, half)
+    blocks = [min(c, m) for c, m in zip(counts(slots), most)] if slots else [0] * len(rows)
+    out = [(r.source, r.target_share, w / whole if whole else 0.0, r.max_repeats, r.n_docs, r.tokens, slots, n, a, b) for r, w, n, (a, b) in zip(rows, weights, blocks, stretches)]
+    return tokens.sparkSession.createDataFrame(out, PLAN)
+
+
+def repeats(tokens: DataFrame, planned: DataFrame, block: int = 512, seed: int = 11) -> DataFrame:
     """(doc_id, source, tokens, at, repeats): where each document starts in its source's shuffled row of tokens and how
-    often it is used; documents that aren't used have 0. A document that the budget cuts is used once more, so that a
-    source exceeds its budget by less than one document."""
-    named = tokens.where("tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("tokens").alias("n"))
-    key = F.xxhash64("doc_id", F.lit(seed))
-    laid = _running(named.withColumn("__key", key), "source", "n", ["__key", "doc_id"], buckets, F.pmod(F.shiftrightunsigned("__key", 20), F.lit(buckets)))
-    t = F.broadcast(planned.where("budget > 0").select("source", "tokens", "budget", "max_repeats"))
-    rounds = F.floor(F.col("budget") / F.col("tokens"))
-    rest = F.col("budget") - rounds * F.col("tokens")
-    used = F.least(rounds + F.when(F.col("before") < rest, 1).otherwise(0), F.col("max_repeats"))
-    return laid.join(t, "source").select("doc_id", "source", F.col("n").alias("tokens"), F.col("before").cast("long").alias("at"), used.cast("long").alias("repeats"))
+    often it is used; documents that aren't used have 0. A use counts if it begins in one of the source's blocks; the one
+    that the last block cuts is used whole, so that a source exceeds its blocks by less than one document."""
+    t = F.broadcast(planned.where("blocks > 0").select("source", F.col("tokens").alias("all"), (F.col("blocks") * block).alias("budget"), "max_repeats", F.greatest(F.lit(16), F.ceil(F.col("n_docs") / PART)).alias("parts")))  # a row a target
+    named = tokens.where("tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), "tokens").join(t, "source")
+    laid = named.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod(F.shiftrightunsigned("key", 20), F.col("parts")))
+    sums = laid.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sums.select("source", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
+    laid = laid.join(starts, ["source", "part"]).withColumn("at", at.cast("long"))
+    used = F.least(F.greatest(F.ceil((F.col("budget") - F.col("at")) / F.col("all")), F.lit(0)), F.col("max_repeats"))
+    return laid.select("doc_id", "source", "tokens", "at", used.cast("long").alias("repeats"))
 
 
 def shares(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -92,34 +128,48 @@ def shares(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None) -
     return out.select("source", "target_share", F.round("share", 6).alias("share"), F.round(actual, 6).alias("actual_share"), "n_docs", "used_docs", "used_tokens", "most_repeats")
 
 
-def schedule(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None, block: int = 512, chunk: int = 100_000) -> DataFrame:
-    """(slot, source, block, doc_id, round): for each slot of ``block`` tokens its source, that source's block, and the
-    documents that begin in it. A document is used once for each round; a slot in a long document begins none and has
-    no row. The order of documents inside a block is that of their start.
-    """
+def slot_table(planned: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(slot, source, block) of every slot; ``block`` is NULL where the source is used up. Each chunk of slots is made by
+    itself: the ranks before it are a floor sum, those inside it a count."""
+    rows = planned.where("high > low").orderBy("low").collect()  # a row a target
+    spark = planned.sparkSession
+    slots = rows[0].slots if rows else 0
+    names, ends, low, blocks = [r.source for r in rows], np.array([r.high for r in rows], np.uint64), [r.low for r in rows], np.array([r.blocks for r in rows], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                slot = np.arange(c * chunk, min(slots, (c + 1) * chunk), dtype=np.int64)
+                at = np.searchsorted(ends, (slot.astype(np.uint64) * np.uint64(GOLDEN)) & np.uint64(RING - 1), "right")
+                first = np.array([points_on(c * chunk, a, int(e)) for a, e in zip(low, ends)], np.int64)
+                order = np.argsort(at, kind="stable")
+                run_start = np.searchsorted(at[order], np.arange(len(names)))
+                rank = np.empty(len(slot), np.int64)
+                rank[order] = np.arange(len(slot)) - run_start[at[order]]
+                rank += first[at]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(names, pa.string()).take(pa.array(at)), pa.array(rank, mask=rank >= blocks[at])], names=["slot", "source", "block"])
+
+    chunks = -(-slots // chunk)
+    tasks = max(1, min(chunks, 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, chunks, 1, tasks).mapInArrow(run, "slot long, source string, block long")
+
+
+def schedule(tokens: DataFrame, mix: DataFrame, total_tokens: int | None = None, block: int = 512) -> DataFrame:
+    """(slot, source, block, doc_id, round, first_token, stop_token): for each slot its source, that source's block, and the
+    stretches of documents that fill it, a row each. A document is used once for each round; the last block of a source
+    runs on to the end of its last document. An empty slot has one row with NULLs. The uses are those of ``repeats``."""
     planned = plan(tokens, mix, total_tokens, block)
-    rows = Window.partitionBy().orderBy("source")  # one row a target
-    edges = planned.where("blocks > 0").select("source", "blocks", F.floor(F.sum("share").over(rows.rowsBetween(Window.unboundedPreceding, 0)) * RING).cast("decimal(20,0)").alias("hi"), F.floor(F.coalesce(F.sum("share").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) * RING).cast("decimal(20,0)").alias("lo"), F.row_number().over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("k"), F.count("*").over(Window.partitionBy()).alias("m"))
-    # Among the first n points, those on a stretch stray from its share of n by 3 + 3.53 ln n at most (Kuipers and
-    # Niederreiter, theorem 2.3.4, for a continued fraction of ones), so each source has its blocks where
-    # n >= blocks / share + (5 + 3.53 ln n) / share. ``most`` is above the least such n: ln n <= ln c + n / c - 1 with c = 7.06 / share.
-    wide = planned.where("blocks > 0").agg(F.max(F.col("blocks") / F.col("share")).alias("even"), F.min("share").alias("least"))
-    most = 2 * (F.col("even") + (5 + 3.53 * F.greatest(F.log(7.06 / F.col("least")) - 1, F.lit(0.0))) / F.col("least"))
-    count = wide.select(F.ceil(F.col("even") + (5 + 3.53 * F.log(most)) / F.col("least")).cast("long").alias("slots"))
-    chunks = count.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("slots") / chunk).cast("long") - 1, F.lit(0)))).alias("__chunk"), "slots")
-    slots = chunks.repartition("__chunk").select("__chunk", "slots", F.explode(F.sequence(F.col("__chunk") * chunk, F.least(F.col("slots"), (F.col("__chunk") + 1) * chunk) - 1)).alias("slot")).where("slot >= 0 and slot < slots")
-    point = F.expr(f"cast(pmod(cast(slot as decimal(20,0)) * cast({GOLDEN} as decimal(20,0)), cast({RING} as decimal(20,0))) as decimal(20,0))")
-    drawn = slots.withColumn("point", point).join(F.broadcast(edges), (F.col("point") >= F.col("lo")) & ((F.col("point") < F.col("hi")) | (F.col("k") == F.col("m"))))
-    ranked = _running(drawn.select("slot", "__chunk", "source", "blocks", F.lit(1).alias("one")), "source", "one", ["slot"], 1 << 30, F.col("__chunk"))
-    taken = ranked.where("before < blocks").select("slot", "source", F.col("before").cast("long").alias("block"))
-    use = repeats(tokens, planned).where("repeats > 0").join(F.broadcast(planned.select("source", F.col("tokens").alias("all"))), "source")
-    copies = use.select("doc_id", "source", "at", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)).alias("round"))
-    placed = copies.select("doc_id", "source", "round", F.floor((F.col("round") * F.col("all") + F.col("at")) / block).cast("long").alias("block"))
-    return placed.join(taken, ["source", "block"]).select("slot", "source", "block", "doc_id", "round")
+    t = F.broadcast(planned.select("source", F.col("tokens").alias("all"), "blocks"))  # a row a target
+    use = repeats(tokens, planned, block).where("repeats > 0").join(t, "source")
+    copies = use.select("doc_id", "source", "tokens", "blocks", "at", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)).alias("round"))
+    placed = copies.withColumn("from", F.col("round") * F.col("all") + F.col("at"))
+    part = lambda c: F.least(F.expr(f"({c}) div {block}"), F.col("blocks") - 1)
+    pieces = placed.select("*", F.explode(F.sequence(part("from"), part("from + tokens - 1"))).alias("block"))
+    begin, end = F.col("block") * block - F.col("from"), (F.col("block") + 1) * block - F.col("from")
+    pieces = pieces.select("source", "block", "doc_id", "round", F.greatest(begin, F.lit(0)).alias("first_token"), F.when(F.col("block") == F.col("blocks") - 1, F.col("tokens")).otherwise(F.least(end, F.col("tokens"))).alias("stop_token"))
+    return slot_table(planned).join(pieces, ["source", "block"], "left").select("slot", "source", "block", "doc_id", "round", "first_token", "stop_token")
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Tokens of each document; written once (a checkpoint), since plan, repeats and schedule all read it."""
-    from tramloom.sources.tables import checkpointed
-
-    return checkpointed(with_tokens(docs, vocabulary))
+    """Tokens of each document; written once, since plan, repeats and schedule all read it."""
+    return written(with_tokens(docs, vocabulary))

@@ -62,7 +62,7 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Slots of the mix with the documents that begin in them."""
+    """Slots of the mix with the stretches of documents that fill them."""
     return mixing.schedule(_tokens(spark, d), table(spark, d, "mix_targets"))
 
 

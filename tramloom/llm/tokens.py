@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tramloom.functions.workers import per_worker
 
+#: Fixed value: how byte-level BPE splits a text before it merges, as published with the GPT-2 tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text is cut for the tokenizer at a word's start after so many characters; the pattern never joins words over a
 #: blank, so the count stays that of the whole text.
 PIECE = 20_000
@@ -27,12 +29,11 @@ def default_vocabulary() -> str:
 
 def _encoding(path: str):
     def build():
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     return per_worker("encoding_" + "".join(c if c.isalnum() else "_" for c in path), build)
 
