@@ -1,34 +1,37 @@
 """Visually identical text with different characters, brought to one form.
 
-Confusables skeleton: a text is decomposed, every character replaced by its prototype from a look-alike table, and
-composed again. Most texts are in their form already; a regular expression finds those inside the JVM, so only the
-others travel to Python.
+Confusables skeleton: a text is decomposed, every character replaced by its prototype from the public confusables table
+(``confusables.py``), and decomposed again; texts of equal skeleton look alike. The form of a text takes the same steps
+with the ordinary letter that a character looks like in place of its prototype, so that ordinary text stays as it is,
+and composes at the end. Most texts are in their form already; a regular expression finds those inside the JVM, so only
+the others travel to Python.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tramloom.functions.workers import per_worker
-from tramloom.llm.codes import LATIN_LOOKALIKES, LOOKALIKES
+from tramloom.llm import confusables
+from tramloom.llm.codes import LOOKALIKES
 
 #: A text of these characters only, without doubled blanks or blanks at its ends, is its own form.
-VIETNAMESE = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ"
-UNUSUAL = rf"[^ -~{VIETNAMESE}]|  |^ | $"
+UNUSUAL = rf"[^ -~{confusables.VIETNAMESE}]|  |^ | $"
 BLANK = r"^[\s\p{Z}\p{Cf}\p{Cc}]*$"
 
 #: Punctuation that looks like ASCII punctuation.
 PUNCTUATION = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "′": "'", "″": '"', "…": "...", "⁄": "/", "∕": "/"}
 
 
-class _Tables:
-    def __init__(self) -> None:
+class Tables:
+    """What ``form`` and ``skeleton`` look up, built once a worker from the prototypes."""
+
+    def __init__(self, proto: dict[str, str]) -> None:
         self.chars: dict[int, str | None] = {}
         for i in [*range(0x80, 0x3400), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200)]:
             ch = chr(i)
@@ -40,39 +43,59 @@ class _Tables:
             elif 0xFF01 <= i <= 0xFF5E or 0x1D400 <= i < 0x1D800:
                 self.chars[i] = unicodedata.normalize("NFKC", ch)
         self.chars |= {ord(a): b for a, b in PUNCTUATION.items()}
-        self.other = re.compile("[Ͱ-ϿЀ-ԯ԰-֏" + "".join(LATIN_LOOKALIKES) + "]")
-        self.latin = {ord(a): b for a, b in LATIN_LOOKALIKES.items()}
-        self.map = self.latin | {ord(a): b for a, b in LOOKALIKES.items()}
-        self.known = set(LOOKALIKES) | set(LATIN_LOOKALIKES)
+        latin, other = confusables.letters(proto)
+        self.latin = {ord(a): b for a, b in latin.items()}
+        self.whole = self.latin | {ord(a): b for a, b in LOOKALIKES.items()}
+        self.mixed = self.latin | {ord(a): b for a, b in other.items()}
+        self.trigger = frozenset(latin) | frozenset(other)
+        self.proto = {ord(a): b for a, b in proto.items()}
+        self.scripts: dict[str, str] = {}
+
+    def script(self, ch: str) -> str:
+        """The script of a letter that isn't Latin, else an empty text."""
+        if ch not in self.scripts:
+            name = unicodedata.name(ch, "").split(" ")[0] if ch.isalpha() else ""
+            self.scripts[ch] = "" if ord(ch) in self.latin or name == "LATIN" else name
+        return self.scripts[ch]
+
+
+def form(text: str, t: Tables) -> str:
+    """``text`` as it looks. In a word with a Latin letter, letters of other scripts become the Latin ones that they look
+    like, unless one of them looks like none. A word of another script alone keeps its letters, unless all of them have
+    the very shape of Latin ones and no other word of the text is truly of that script."""
+    out = unicodedata.normalize("NFC", text.translate(t.chars))
+    if t.trigger.isdisjoint(out):
+        return " ".join(out.split())
+    words = [unicodedata.normalize("NFD", w) for w in out.split()]
+    latin = [any("a" <= c.lower() <= "z" for c in w) for w in words]
+    maps = [t.mixed if x else t.whole for x in latin]
+    kinds = [({t.script(c) for c in w} - {""}, {t.script(c) for c in w if ord(c) not in m} - {""}) for w, m in zip(words, maps)]
+    true = set().union(*(own for _, own in kinds))
+    keep = [bool(own) or (bool(has) and not x and has <= true) for (has, own), x in zip(kinds, latin)]
+    return " ".join(unicodedata.normalize("NFC", w.translate(t.latin if k else m)) for w, k, m in zip(words, keep, maps))
 
 
-def _script(ch: str) -> str:
-    o = ord(ch)
-    return "G" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "C" if 0x400 <= o < 0x530 else "A" if 0x530 <= o < 0x590 else ""
+def skeleton(text: str, t: Tables) -> str:
+    """Prototypes of the decomposed characters of a text, decomposed; the text without characters of no width and with
+    single blanks."""
+    plain = " ".join(text.translate(t.chars).split())
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", plain).translate(t.proto))
 
 
-def form(text: str) -> str:
-    """``text`` as it looks; a word that holds a letter of another script without a Latin look-alike keeps its letters,
-    and so do words of that script's letters beside it that would all pass for Latin ones."""
-    t: _Tables = per_worker("lookalike_tables", _Tables)
-    out = unicodedata.normalize("NFC", text.translate(t.chars))
-    if t.other.search(out):
-        words = [unicodedata.normalize("NFD", w) for w in out.split()]
-        kinds = [({_script(c) for c in w} - {""}, {_script(c) for c in w if c not in t.known} - {""}) for w in words]
-        true = set().union(*(x for _, x in kinds))
-        done = []
-        for w, (has, own) in zip(words, kinds):
-            latin = any("a" <= c.lower() <= "z" for c in w)
-            keep = bool(own) or (bool(has) and not latin and has <= true)
-            done.append(unicodedata.normalize("NFC", w.translate(t.latin if keep else t.map)))
-        return " ".join(done)
-    return " ".join(out.split())
+def _by_text(spark: SparkSession, f):
+    held = spark.sparkContext.broadcast(confusables.prototypes(spark))  # one table of the Unicode standard
+
+    @pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = per_worker("lookalike_tables", lambda: Tables(held.value))
+        for s in batches:
+            yield s.map(lambda x: f(x, t), na_action="ignore")
 
+    return run
 
-@pandas_udf(T.StringType())
-def _forms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(form, na_action="ignore")
+
+def forms(c: Column, spark: SparkSession) -> Column:
+    return _by_text(spark, form)(c)
 
 
 def changed(df: DataFrame, row_id: str, column: str, src: str) -> DataFrame:
@@ -83,22 +106,24 @@ def changed(df: DataFrame, row_id: str, column: str, src: str) -> DataFrame:
     """
     text = F.col(f"`{column}`")
     odd = df.where(text.rlike(UNUSUAL) & ~text.rlike(BLANK)).select(F.col(f"`{row_id}`").cast("string").alias("row_id"), text.alias("__text"))
-    out = odd.withColumn("form", _forms("__text"))
+    out = odd.withColumn("form", forms(F.col("__text"), df.sparkSession))
     return out.where((F.col("form") != F.col("__text")) & (F.col("form") != "")).select(F.lit(src).alias("src"), "row_id", "form")
 
 
 def with_form(df: DataFrame, column: str, to: str = "form") -> DataFrame:
     """``df`` with the form of ``column``; NULL stays NULL. Texts in their form already skip Python."""
     text = F.col(f"`{column}`")
-    odd = df.where(text.rlike(UNUSUAL)).withColumn(to, _forms(text))
+    odd = df.where(text.rlike(UNUSUAL)).withColumn(to, forms(text, df.sparkSession))
     same = df.where(~text.rlike(UNUSUAL) | text.isNull()).withColumn(to, text)
     return same.unionByName(odd)
 
 
 def groups(df: DataFrame, column: str) -> DataFrame:
-    """(form, n_spellings, n_rows): texts that look alike, for forms with more than one spelling.
+    """(skeleton, n_spellings, n_rows): texts that look alike, for skeletons with more than one spelling.
 
-    Rows are counted by spelling first, so that a hot text is one row before the second count.
-    """
-    by = with_form(df.select(F.col(f"`{column}`").alias("__text")).where(F.col("__text").isNotNull()).groupBy("__text").agg(F.count("*").alias("n")), "__text")
-    return by.groupBy("form").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows")).where("n_spellings > 1")
+    Rows are counted by spelling first, so that a hot text is one row before the second count. NULL and blank texts are
+    in no group."""
+    text = F.col(f"`{column}`")
+    by = df.where(text.isNotNull() & ~text.rlike(BLANK)).groupBy(text.alias("__text")).agg(F.count("*").alias("n"))
+    by = by.withColumn("skeleton", _by_text(df.sparkSession, skeleton)("__text"))
+    return by.groupBy("skeleton").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows")).where("n_spellings > 1")
