@@ -82,13 +82,15 @@ def fold_table() -> np.ndarray:
     return per_worker("fold_table", build)
 
 
-def look_table() -> np.ndarray:
-    """Like ``fold_table``, with look-alike letters as the Latin letter they look like."""
+def look_table(letters: dict[str, str] | None = None) -> np.ndarray:
+    """Like ``fold_table``, with look-alike letters as the Latin letter they look like: those of ``letters`` (on a worker's
+    first call), else the fixed ones."""
 
     def build() -> np.ndarray:
         t = fold_table().copy()
-        for a, b in (LOOKALIKES | LATIN_LOOKALIKES).items():
-            t[ord(a)] = t[ord(b)]
+        for a, b in ((letters or {}) | LOOKALIKES | LATIN_LOOKALIKES).items():
+            if len(b) == 1:
+                t[ord(a)] = t[ord(b)]
         return t
 
     return per_worker("look_table", build)
