@@ -5,7 +5,7 @@ import unicodedata
 import pyarrow as pa
 import pytest
 
-from tramloom.llm.leakage import Items, LeakConfig, edit_distance, find_leaks, leaks
+from tramloom.llm.leakage import Items, LeakConfig, NearConfig, find_leaks, near, near_leaks
 
 
 def words(t):
@@ -58,22 +58,55 @@ def test_blocks_and_empty(spark):
     assert find_leaks(d, e.limit(0)).count() == 0 and find_leaks(d.limit(0), e).count() == 0
 
 
-def test_recall_with_edits():
-    r = random.Random(5)
-    cfg = LeakConfig(max_edits=1, recall=0.95)
-    assert len(cfg.tables()) > 3
-    texts = [[f"w{r.randrange(500)}" for _ in range(12)] for _ in range(400)]
-    changed = []
-    for t in texts:
-        u = list(t)
-        i = r.randrange(12)
-        u[i : i + r.choice([0, 1])] = ["new"]
-        changed.append(u)
-    items = Items(list(range(400)), [" ".join(t) for t in texts], cfg)
-    found = {tuple(p) for p in leaks(pa.array([" ".join(u) for u in changed]), items, cfg).tolist()}
-    near = [i for i, (t, u) in enumerate(zip(texts, changed)) if min(edit_distance(t, u[a : a + 12]) for a in range(len(u) - 11)) <= 1]
-    assert len(near) > 150 and sum((i, i) in found for i in near) >= 0.9 * len(near)
-
-
-def test_edit_distance():
-    assert edit_distance([1, 2, 3], [1, 3]) == 1 and edit_distance([], [1]) == 1 and edit_distance([1], [1]) == 0
+def least_edits(item, text):
+    """Fewest word edits between an item and any stretch of a text."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        old, row = row, [0] * (len(item) + 1)
+        for i, x in enumerate(item, 1):
+            row[i] = min(old[i] + 1, row[i - 1] + 1, old[i - 1] + (x != c))
+        best = min(best, row[-1])
+    return best
+
+
+def changed(r, w, edits):
+    u = list(w)
+    for _ in range(edits):
+        i, kind = r.randrange(len(u)), r.randrange(3)
+        u[i : i + (kind > 0)] = [] if kind == 1 else [f"new{r.randrange(99)}"]
+    return u
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_recall_with_edits(edits):
+    r = random.Random(edits)
+    cfg = NearConfig()
+    texts = [[f"w{min(r.randrange(400), r.randrange(400))}" for _ in range(r.randint(15, 30))] for _ in range(300)]
+    items = Items(list(range(300)), [" ".join(t) for t in texts], cfg)
+    other = lambda n: [f"w{r.randrange(400)}" for _ in range(n)]
+    docs = [other(20) + changed(r, t, edits) + other(20) for t in texts]
+    got = {(d, i): e for d, i, e in near(pa.array([" ".join(d) for d in docs]), items, cfg).tolist()}
+    true = {i: least_edits(t, d) for i, (t, d) in enumerate(zip(texts, docs))}
+    found = [(i, i) in got for i, e in true.items() if e <= 3]
+    assert len(found) >= 290 and sum(found) >= (0.9 if edits > 1 else 0.95) * len(found), sum(found) / len(found)
+    assert all(e == least_edits(texts[i], docs[d]) for (d, i), e in got.items())
+
+
+def test_near_leaks(spark):
+    r = random.Random(8)
+    docs, items = made(3)
+    item = dict(items)
+    docs += [(2000 + k, " ".join(["zz"] * 5 + changed(r, words(item[i]), 1) + ["yy"] * 5)) for k, i in enumerate(i for i, t in items if len(words(t)) >= 10)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, edits int")
+    e = spark.createDataFrame(items, "item_id long, text string")
+    want = {(a, i): n for a, t in docs if a != 902 for i, u in items if words(u) and (n := least_edits(words(u), words(t))) <= min(3, len(words(u)) // 5)}
+    for cfg in (NearConfig(), NearConfig(max_items=4)):
+        got = {(x.doc_id, x.item_id): x.edits for x in near_leaks(d, e, cfg).collect() if x.doc_id != 902}
+        assert set(got) <= set(want) and all(got[k] == want[k] for k in got if want[k] == 0) and len(got) >= 0.9 * len(want) > 10
+    assert near_leaks(d, e.limit(0)).count() == 0 and near_leaks(d.limit(0), e).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 14, 15, 17, 18, 100])
+def test_window_sizes(n):
+    assert n / 1.5 <= NearConfig().size(n) <= n

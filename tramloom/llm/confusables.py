@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 from tramloom.llm.codes import LATIN_LOOKALIKES, LOOKALIKES
 
-VIETNAMESE = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđĨĩŨũƠơƯư" + "".join(map(chr, range(0x1EA0, 0x1EFA)))
+_BELOW = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđĨĩŨũƠơƯư"
+VIETNAMESE = _BELOW + "".join(map(chr, range(0x1EA0, 0x1EFA)))
+VIETNAMESE_CLASS = _BELOW + "Ạ-ỹ"  # the same as part of a pattern
 _KEPT: dict[str, dict[str, str]] = {}
 
 

@@ -21,7 +21,7 @@ from tramloom.llm import confusables
 from tramloom.llm.codes import LOOKALIKES
 
 #: A text of these characters only, without doubled blanks or blanks at its ends, is its own form.
-UNUSUAL = rf"[^ -~{confusables.VIETNAMESE}]|  |^ | $"
+UNUSUAL = rf"[^ -~{confusables.VIETNAMESE_CLASS}]|  |^ | $"
 BLANK = r"^[\s\p{Z}\p{Cf}\p{Cc}]*$"
 
 #: Punctuation that looks like ASCII punctuation.

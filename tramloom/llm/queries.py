@@ -75,6 +75,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items", ["item_id", "text"]))
 
 
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation item with up to three words changed, left out or put in."""
+    return leakage.near_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items", ["item_id", "text"]))
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """How many documents hold each leaked item."""
     return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
@@ -91,7 +96,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_items, p7_plan, p7_shares, p7_schedule, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p4_found, p4_groups, p5_found, p5_kinds, p5_stats, p6_found, p6_near, p6_items, p7_plan, p7_shares, p7_schedule, p8_found, p8_spans)}
 # ---- SQL twins ----
 
 _FOLDED = "replace(lower(strip_accents(regexp_replace(nfc_normalize(text), '[\\p{Cf}]', '', 'g'))), 'đ', 'd')"
