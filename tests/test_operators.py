@@ -3,6 +3,7 @@
 import hashlib
 import random
 import unicodedata
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -69,9 +70,41 @@ def test_gazetteer(spark):
     assert [tuple(r) for r in Z.ambiguous_pairs(f, ratio=0.9).collect()] == [("sen", "vang", 4)]
 
 
+def plain_ratio(a, b):
+    return 100 * SequenceMatcher(None, a, b).ratio() if a.strip() and b.strip() else 0.0
+
+
 def test_similarity():
-    assert similarity.word_sets("b a", "a b") == 100 and similarity.best_part("kem", "x kem y") == 100 and similarity.block_ratio("", "a") == 0
-    assert 80 < similarity.sorted_words("kem danh rang", "rang danh kam") < 100
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abđ🙂e") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 5)))
+    a, b = [text() for _ in range(500)], [text() for _ in range(500)]
+    a += ["", " ", "x", "kem", "a" * 250, "ab" * 150, "z" * 40_000, "kem"]
+    b += ["a", "b", "x", "x kem y", "a" * 250, "ba" * 160, "z" * 30, "kem"]
+    assert np.allclose(similarity.ratios(a, b), [plain_ratio(x, y) for x, y in zip(a, b)])
+
+    def part(x, y):
+        if len(x) == len(y):
+            return plain_ratio(x, y)
+        x, y = sorted((x, y), key=len)
+        return max((plain_ratio(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1)), default=0.0) if x.strip() else 0.0
+
+    assert np.allclose(similarity.parts(a[:503], b[:503]), [part(x, y) for x, y in zip(a[:503], b[:503])])
+
+    def sets(x, y):
+        x, y = set(x.split()), set(y.split())
+        if not x or not y:
+            return 0.0
+        c, p, q = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+        p, q = f"{c} {p}".strip(), f"{c} {q}".strip()
+        return max(plain_ratio(c, p), plain_ratio(c, q), plain_ratio(p, q))
+
+    assert np.allclose(similarity.word_sets(a, b), [sets(x, y) for x, y in zip(a, b)])
+    best, kind = similarity.best_kinds(a[:503], b[:503], b[:503], a[:503])
+    for i, (x, y) in enumerate(zip(a[:503], b[:503])):
+        words = lambda t: " ".join(sorted(t.split()))
+        all_ = [min(cap, f(p, q)) for (name, cap), f in zip(similarity.CAPS.items(), [sets, part, lambda p, q: plain_ratio(words(p), words(q)), plain_ratio] * 2) for p, q in ([(y, x)] if name.startswith("folded") else [(x, y)])]
+        assert abs(best[i] - max(all_)) < 1e-9 and all_[kind[i]] >= max(all_) - 1e-9
+    assert similarity.ratios([], []).tolist() == similarity.parts([], []).tolist() == []
 
 
 def test_link(spark):
@@ -160,18 +193,16 @@ def test_incremental(spark, tmp_path):
     assert sorted((r.id, r.n) for r in spark.read.parquet(to).collect()) == [("a", 1), ("b", 2), ("c", 4)]
 
 
-def test_blocks_are_those_of_the_standard_library():
-    import random
-    from difflib import SequenceMatcher
-
-    from tramloom.functions import similarity as N
+def test_retrieval_by_postings_and_by_joins_is_the_same(spark):
+    from dataclasses import replace
 
-    r = random.Random(3)
-    for size in (12, 40, 260):
-        for _ in range(300):
-            a, b = ("".join(r.choices(r.choice(["ab", "abc ", "kem đánh răng"]), k=r.randrange(size))) for _ in "ab")
-            assert sum(n for _, _, n in N.blocks(a, b)) == sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
-            values = [f(x, y) for x, y in ((a, b), (b, a)) for f in (N.word_sets, N.best_part, N.sorted_words, N.block_ratio)]
-            scores = [min(v, c) for v, c in zip(values, N.CAPS.values())]
-            if a and b:
-                assert N.best_kind(a, b, b, a) == (max(scores), list(N.CAPS)[scores.index(max(scores))])
+    rows = [(str(i), n, n.lower(), n.lower().replace("à", "a"), sorted(n.lower().split()), sorted(n.lower().replace("à", "a").split()), f, v) for i, (n, f, v) in enumerate([("Trà Sen", 3, ["tra sem"]), ("Trà Xanh", 3, None), ("Trà Xanh Sen", None, []), ("Bún", 1, ["trà xanh", None, ""])])]
+    e = spark.createDataFrame(rows, "entry_id string, canonical_display string, canonical_key string, folded_key string, token_keys array<string>, folded_token_keys array<string>, frequency_prior int, surface_variants array<string>").withColumn("folded_surface_keys", F.lit(None).cast("array<string>"))
+    c = spark.createDataFrame([("Trà Xanh",), ("tra sem",), ("sen sen xanh",), ("khác",), (None,), ("",)], "clean_text string")
+    p = L.phrases(c, "clean_text")
+    for pool in (1, 2, 80):
+        cfg = L.LinkConfig(pool=pool)
+        got = sorted(tuple(r) for r in L.retrieve(p, e, cfg).collect())
+        assert got == sorted(tuple(r) for r in L.retrieve(p, e, replace(cfg, most_sent=1)).collect()) and got
+    assert {r.entry_id for r in L.retrieve(p, e, L.LinkConfig(pool=1)).where("key = 'trà xanh'").collect()} == {"1"}
+    assert L.retrieve(p, e.limit(0)).count() == 0 and L.retrieve(p.limit(0), e).count() == 0

@@ -1,136 +1,134 @@
-"""Text similarity from 0 to 100 as Arrow UDFs, since no builtin counts common blocks."""
+"""Text similarity from 0 to 100 as Arrow UDFs over whole batches of pairs, since no builtin counts common blocks."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-#: From this length of its second text on, ``SequenceMatcher`` leaves out frequent characters.
-AUTOJUNK = 200
-
-
-def blocks(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(start in ``a``, start in ``b``, length) of the common blocks that ``SequenceMatcher`` finds, in any order and
-    not joined: the longest one (of equals the first in ``a``, then in ``b``), then the same on either side of it."""
-    if len(b) >= AUTOJUNK:
-        return [tuple(x) for x in SequenceMatcher(None, a, b).get_matching_blocks()[:-1]]
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        part, n, at, i = b[blo:bhi], 0, alo, alo
-        while i + n < ahi:
-            if a[i : i + n + 1] in part:
-                n, at = n + 1, i
-            else:
-                i += 1
-        if n:
-            j = blo + part.find(a[at : at + n])
-            out.append((at, j, n))
-            if alo < at and blo < j:
-                todo.append((alo, at, blo, j))
-            if at + n < ahi and j + n < bhi:
-                todo.append((at + n, ahi, j + n, bhi))
+from tramloom.functions.blocks import AUTOJUNK, common_at, letters, ratios
+
+Texts = list[str]
+
+
+def parts(a: Texts, b: Texts, enough: np.ndarray | None = None) -> np.ndarray:
+    """Best ratio of each pair's shorter text with any stretch of the longer one of its length. A pair for which
+    ``enough`` can't be passed even if every letter that both texts have were in place isn't looked at."""
+    out = np.zeros(len(a))
+    swap = [len(x) > len(y) for x, y in zip(a, b)]
+    x, y = [q if s else p for p, q, s in zip(a, b, swap)], [p if s else q for p, q, s in zip(a, b, swap)]
+    (fx, sx, lx), (fy, sy, ly) = letters(x), letters(y)
+    at = np.array([bool(t.strip()) for t in x], bool)
+    if enough is not None:
+        at &= bags(a, b) * 100 > enough * np.maximum(lx, 1)
+    at = np.flatnonzero(at)
+    big = lx[at] >= AUTOJUNK
+    for i in at[big].tolist():
+        out[i] = ratios([x[i]] * int(ly[i] - lx[i] + 1), [y[i][k : k + len(x[i])] for k in range(ly[i] - lx[i] + 1)]).max()
+    at = at[~big]
+    n = ly[at] - lx[at] + 1
+    pair = np.repeat(at, n)
+    step = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    np.maximum.at(out, pair, 200.0 * common_at(fx, sx[pair], lx[pair], fy, sy[pair] + step, lx[pair]) / (2 * lx[pair]))
     return out
 
 
-def block_ratio(a: str, b: str) -> float:
-    """Share of both texts in common blocks; 0 if one is blank."""
-    if not a.strip() or not b.strip():
-        return 0.0
-    return 100.0 if a == b else 100.0 * (2.0 * sum(n for _, _, n in blocks(a, b)) / (len(a) + len(b)))
-
-
-def best_part(a: str, b: str, enough: float = 100.0) -> float:
-    """Best ``block_ratio`` of the shorter text with a stretch of the longer one of its length, aligned at a common block;
-    once ``enough`` is reached, no better stretch is looked for."""
-    short, long_ = sorted((a, b), key=len)
-    if not short.strip():
-        return 0.0
-    if len(short) == len(long_):
-        return block_ratio(a, b)
-    n, best = len(short), 0.0
-    last = len(long_) - n
-    for at in {last, *(min(max(0, j - i), last) for i, j, _ in blocks(short, long_))}:
-        best = max(best, block_ratio(short, long_[at : at + n]))
-        if best >= enough:
-            break
-    return best
-
+def bags(a: Texts, b: Texts) -> np.ndarray:
+    """Letters that both texts of a pair have, counted with repeats and whatever their order: no blocks hold more."""
+    kinds = {c: i for i, c in enumerate(sorted(set("".join(a)) | set("".join(b))))}
 
-@lru_cache(100_000)
-def _sorted(a: str) -> str:
-    return " ".join(sorted(a.split()))
+    def counts(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        rows = np.repeat(np.arange(len(number)), [len(t) for t in number])
+        cells = np.bincount(rows * len(kinds) + np.array([kinds[c] for t in number for c in t], np.int64), minlength=len(number) * len(kinds)) if len(rows) else np.zeros(len(number) * len(kinds), np.int64)
+        return cells.reshape(len(number), -1).astype(np.int16), which
 
-
-@lru_cache(100_000)
-def _set(a: str) -> frozenset[str]:
-    return frozenset(a.split())
+    (x, i), (y, j) = counts(a), counts(b)
+    out = np.zeros(len(a), np.int64)
+    for s in range(0, len(a), 4096):
+        out[s : s + 4096] = np.minimum(x[i[s : s + 4096]], y[j[s : s + 4096]]).sum(1)
+    return out
 
 
-def sorted_words(a: str, b: str) -> float:
-    return block_ratio(_sorted(a), _sorted(b))
+def sorted_words(a: Texts, b: Texts) -> np.ndarray:
+    """Ratio of the words of each text in order of the alphabet."""
+    key = lambda t: " ".join(sorted(t.split()))
+    return ratios([key(t) for t in a], [key(t) for t in b])
 
 
-def word_sets(a: str, b: str, enough: float = 100.0) -> float:
-    """Best ratio among the common words and the common words with either text's own; once ``enough`` is reached, the
-    last isn't worked out."""
-    x, y = _set(a), _set(b)
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    left = " ".join(filter(None, [both, " ".join(sorted(x - y))]))
-    right = " ".join(filter(None, [both, " ".join(sorted(y - x))]))
-    best = max(block_ratio(both, left), block_ratio(both, right)) if both else 0.0
-    return best if best >= enough else max(best, block_ratio(left, right))
+def word_sets(a: Texts, b: Texts) -> np.ndarray:
+    """The token set ratio. With the sorted common words C, and C followed by the rest of either text's words A and B, it is
+    the best ratio of (C, A), (C, B) and (A, B). C begins A and B, so the first two are known from the lengths alone."""
+    plain = [(frozenset(x.split()), frozenset(y.split())) for x, y in zip(a, b)]
+    full, mine, other = np.zeros(len(plain)), [], []
+    for i, (x, y) in enumerate(plain):
+        shared = sorted(x & y)
+        ends = [" ".join(shared + sorted(w - (x & y))) for w in (x, y)]
+        c = len(" ".join(shared))
+        if x and y:
+            full[i] = max((200.0 * c / (c + len(e)) for e in ends), default=0.0) if c else 0.0
+        mine.append(ends[0] if x and y else "")
+        other.append(ends[1] if x and y else "")
+    return np.maximum(full, ratios(mine, other))
 
 
 def _udf(f):
     @pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        return pd.Series(f([x or "" for x in a], [y or "" for y in b]), dtype="float64")
 
     return run
 
 
-ratio, partial_ratio, token_sort_ratio, token_set_ratio = _udf(block_ratio), _udf(best_part), _udf(sorted_words), _udf(word_sets)
+ratio, partial_ratio, token_sort_ratio, token_set_ratio = _udf(ratios), _udf(parts), _udf(sorted_words), _udf(word_sets)
 
 # The kinds of fuzzy score in the order in which ties are settled, and the most that each may give.
 CAPS = {"fuzzy_token_set": 96.0, "fuzzy_partial": 95.0, "fuzzy_token_sort": 94.0, "fuzzy_ratio": 94.0, "folded_token_set": 94.0, "folded_partial": 93.0, "folded_token_sort": 92.0, "folded_ratio": 92.0}
 SINGLE_TOKEN_CAP = 84.0
-_STEPS = [(kind, CAPS[kind], i >= 4, i % 4) for i, kind in enumerate(CAPS)]
 
 
-def best_kind(a: str, b: str, fa: str, fb: str) -> tuple[float, str]:
-    """The highest capped score and its kind, the first of equals. A kind is skipped where its cap, or for whole texts
-    the bound by their lengths, can't exceed the score so far; so are folded texts equal to the plain ones, whose caps
-    are no higher."""
-    best, found, same = -1.0, "", (a, b) == (fa, fb)
-    for kind, cap, folded, f in _STEPS:
-        if cap <= best or (folded and same):
-            continue
+def best_kinds(a: Texts, b: Texts, fa: Texts, fb: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The highest capped score of each pair and the number of its kind, the first of equals. A kind is worked out only
+    for the pairs where its cap and the letters that both texts have leave room above the score so far; folded texts
+    equal to the plain ones give no more than those."""
+    best, kind = np.full(len(a), -1.0), np.zeros(len(a), np.int64)
+    same = np.array([(x, y) == (p, q) for x, y, p, q in zip(a, b, fa, fb)], bool)
+    room: dict[bool, np.ndarray] = {}
+    for k, (name, cap) in enumerate(CAPS.items()):
+        folded = name.startswith("folded")
         x, y = (fa, fb) if folded else (a, b)
-        if f == 3 and x and y and 100.0 * (2.0 * min(len(x), len(y)) / (len(x) + len(y))) <= best:
+        if folded not in room:
+            room[folded] = 200.0 * bags(x, y) / np.maximum(1, [len(p) + len(q) for p, q in zip(x, y)])
+        open_ = (best < cap) & ~(same & folded)
+        if name.endswith("ratio") or name.endswith("sort"):
+            open_ &= room[folded] > best
+        at = np.flatnonzero(open_)
+        if not len(at):
             continue
-        value = min(cap, word_sets(x, y, cap) if f == 0 else best_part(x, y, cap) if f == 1 else sorted_words(x, y) if f == 2 else block_ratio(x, y))
-        if value > best:
-            best, found = value, kind
-    return best, found
+        p, q = [x[i] for i in at], [y[i] for i in at]
+        if name.endswith("set"):
+            value = word_sets(p, q)
+        elif name.endswith("partial"):
+            value = parts(p, q, best[at])
+        else:
+            value = sorted_words(p, q) if name.endswith("sort") else ratios(p, q)
+        value = np.minimum(value, cap)
+        more = value > best[at]
+        best[at[more]], kind[at[more]] = value[more], k
+    return best, kind
 
 
 @pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("match_type", T.StringType())]))
 def _fuzzy(key: pd.Series, other: pd.Series, folded: pd.Series, other_folded: pd.Series) -> pd.DataFrame:
-    out = []
-    for a, b, fa, fb in zip(key, other, folded, other_folded):
-        if not a or not b:
-            out.append((0.0, "no_score"))
-            continue
-        score, kind = best_kind(a, b, fa or "", fb or "")
-        out.append((round(min(score, SINGLE_TOKEN_CAP) if len(a.split()) == 1 else score, 4), kind))
-    return pd.DataFrame(out, columns=["score", "match_type"])
+    a, b, fa, fb = (list(s) for s in (key, other, folded, other_folded))
+    best, kind = best_kinds(a, b, fa, fb)
+    names = np.array(list(CAPS))
+    single = np.array([len(x.split()) == 1 for x in a], bool)
+    none = np.array([not x or not y for x, y in zip(a, b)], bool)
+    score = np.where(none, 0.0, np.where(single, np.minimum(best, SINGLE_TOKEN_CAP), best))
+    return pd.DataFrame({"score": np.round(score, 4), "match_type": np.where(none, "no_score", names[kind])})
 
 
 def fuzzy_score(key: Column, other: Column, folded: Column, other_folded: Column) -> Column:

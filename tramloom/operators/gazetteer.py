@@ -29,12 +29,20 @@ def token_index(e: DataFrame, key: str = "canonical_key") -> DataFrame:
     return t.groupBy("token").agg(F.array_sort(F.collect_set("entry_id")).alias("entry_ids"))
 
 
+def with_keys(entries: DataFrame) -> DataFrame:
+    """Entries with the keys of their surface variants."""
+    surfaces = F.coalesce("surface_variants", F.array().cast("array<string>"))
+    return entries.withColumn("surface_keys", F.transform(surfaces, lambda x: X.key(x, compose=False))).withColumn("folded_surface_keys", F.coalesce("folded_surface_keys", F.transform(surfaces, lambda x: X.fold_key(x))))
+
+
 def index_table(e: DataFrame) -> DataFrame:
-    """(kind, key, entry_id): exact, folded, surface and token keys as one exploded index."""
+    """(kind, key, entry_id): exact, folded, surface and token keys, plain and folded, as one exploded index."""
+    e = e if "surface_keys" in e.columns else with_keys(e)
+
     def of(kind: str, key) -> DataFrame:
         return e.select(F.lit(kind).alias("kind"), key.alias("key"), "entry_id").where("key is not null and key <> ''")
 
-    parts = [of("exact", F.col("canonical_key")), of("folded", F.col("folded_key")), of("token", F.explode_outer("token_keys")), of("folded_token", F.explode_outer("folded_token_keys")), of("folded_surface", F.explode_outer("folded_surface_keys"))]
+    parts = [of("exact", F.col("canonical_key")), of("folded", F.col("folded_key")), of("token", F.explode_outer("token_keys")), of("folded_token", F.explode_outer("folded_token_keys")), of("surface", F.explode_outer("surface_keys")), of("folded_surface", F.explode_outer("folded_surface_keys"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tramloom.functions import text as X
 from tramloom.functions.similarity import fuzzy_score
-from tramloom.operators.gazetteer import index_table
+from tramloom.operators.gazetteer import index_table, with_keys
 
 # Scores of the exact tiers, highest first.
 EXACT = {"exact": 100.0, "surface_exact": 99.0, "folded_exact": 98.0, "surface_folded": 97.0}
 HIGH_TRUST = tuple(EXACT)
+#: The six indexes and the field of an entry that each holds.
+KINDS = {"exact": "canonical_key", "folded": "folded_key", "surface": "surface_keys", "folded_surface": "folded_surface_keys", "token": "token_keys", "folded_token": "folded_token_keys"}
 
 
 @dataclass(frozen=True)
 class LinkConfig:
     """``pool``: entries scored for a phrase, the closest by index; ``threshold``, ``strong``: least score of a match and
-    of a strong one; ``top``: matches kept for the report."""
+    of a strong one; ``top``: matches kept for the report; ``most_sent``: entries that may travel to all tasks."""
 
     pool: int = 80
     threshold: float = 88.0
     strong: float = 94.0
     top: int = 5
+    most_sent: int = 50_000
 
 
 def phrases(candidates: DataFrame, column: str) -> DataFrame:
@@ -32,22 +38,80 @@ def phrases(candidates: DataFrame, column: str) -> DataFrame:
     return k.withColumn("folded_key", X.fold_key(F.col("key"))).withColumn("tokens", F.array_sort(F.array_distinct(F.split("key", " ")))).withColumn("folded_tokens", F.array_sort(F.array_distinct(F.split("folded_key", " "))))
 
 
-def with_keys(entries: DataFrame) -> DataFrame:
-    """Entries with the keys of their surface variants."""
-    surfaces = F.coalesce("surface_variants", F.array().cast("array<string>"))
-    return entries.withColumn("surface_keys", F.transform(surfaces, lambda x: X.key(x, compose=False))).withColumn("folded_surface_keys", F.coalesce("folded_surface_keys", F.transform(surfaces, lambda x: X.fold_key(x))))
-
-
 def retrieve(p: DataFrame, entries: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
-    """(key, entry_id, rank): up to ``cfg.pool`` entries of each phrase that share a key or a token, closest first.
-
-    Equi-joins on the exploded index; the pool's order is exact keys, shared tokens, frequency, then display."""
-    index = index_table(entries)
-    wanted = p.select("key", F.explode(F.array_union(F.array_union(F.array(F.struct(F.lit("exact").alias("kind"), F.col("key").alias("k")), F.struct(F.lit("folded").alias("kind"), F.col("folded_key").alias("k")), F.struct(F.lit("folded_surface").alias("kind"), F.col("folded_key").alias("k"))), F.transform("tokens", lambda t: F.struct(F.lit("token").alias("kind"), t.alias("k")))), F.transform("folded_tokens", lambda t: F.struct(F.lit("folded_token").alias("kind"), t.alias("k"))))).alias("w"))
-    hits = wanted.select(F.col("key"), F.col("w.kind").alias("kind"), F.col("w.k").alias("index_key")).join(index.withColumnRenamed("key", "index_key"), ["kind", "index_key"])
+    """(key, entry_id, shared, folded_shared, rank): up to ``cfg.pool`` entries of each phrase that share a key, a surface
+    or a token with it, plain or folded, closest first: by plain keys, folded keys, shared tokens, shared folded tokens,
+    frequency, then display.
+
+    A list of at most ``cfg.most_sent`` entries travels to the phrases as postings, and each phrase is ranked where it
+    is; a longer one is joined on the exploded index."""
+    listed = with_keys(entries).select("entry_id", "canonical_key", "folded_key", "surface_keys", "folded_surface_keys", "token_keys", "folded_token_keys", "frequency_prior", "canonical_display")
+    if listed.limit(cfg.most_sent + 1).count() <= cfg.most_sent:
+        return _retrieve_here(p, listed, cfg)
+    return _retrieve_by_joins(p, listed, cfg)
+
+
+class Postings:
+    """Entries of each key of each kind, entries in order of frequency and display."""
+
+    def __init__(self, rows: list):
+        low = float("-inf")
+        rows = sorted(rows, key=lambda r: r["entry_id"])
+        rows = sorted(rows, key=lambda r: (low if r["frequency_prior"] is None else r["frequency_prior"], r["canonical_display"] or ""), reverse=True)
+        self.ids = [r["entry_id"] for r in rows]
+        self.of: dict[str, dict[str, np.ndarray]] = {}
+        for kind, column in KINDS.items():
+            found: dict[str, list[int]] = {}
+            for i, r in enumerate(rows):
+                for k in {r[column]} if isinstance(r[column], str) else set(r[column] or ()):
+                    if k:
+                        found.setdefault(k, []).append(i)
+            self.of[kind] = {k: np.array(v, np.int64) for k, v in found.items()}
+
+    def ranked(self, wanted: dict[str, list[list[str]]], n: int, pool: int) -> tuple[np.ndarray, ...]:
+        """(phrase, entry, shared, folded shared, rank) of ``n`` phrases with the keys ``wanted`` by kind."""
+        m = len(self.ids)
+        cells = {kind: [i * m + e for i, ks in enumerate(wanted[kind]) for k in ks if (e := self.of[kind].get(k)) is not None] for kind in KINDS}
+        hits = {kind: np.concatenate([np.empty(0, np.int64), *c]) for kind, c in cells.items()}
+        cell, which = np.unique(np.concatenate(list(hits.values())), return_inverse=True)
+        ends = np.cumsum([0, *(len(h) for h in hits.values())])
+        count = {kind: np.bincount(which[a:b], minlength=len(cell)) for kind, a, b in zip(hits, ends, ends[1:])}
+        phrase, entry = cell // m, cell % m
+        plain, folded = 2 * count["exact"] + count["surface"], 2 * count["folded"] + count["folded_surface"]
+        order = np.lexsort((entry, -count["folded_token"], -count["token"], -folded, -plain, phrase))
+        first = np.searchsorted(phrase[order], np.arange(n))
+        rank = np.arange(len(order)) - first[phrase[order]] + 1
+        order, rank = order[rank <= pool], rank[rank <= pool]
+        return phrase[order], entry[order], count["token"][order], count["folded_token"][order], rank
+
+
+def _retrieve_here(p: DataFrame, listed: DataFrame, cfg: LinkConfig) -> DataFrame:
+    held = p.sparkSession.sparkContext.broadcast(Postings(listed.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                key, folded, tokens, folded_tokens = (c.to_pylist() for c in b.columns)
+                one = lambda x: [[k] for k in x]
+                wanted = {"exact": one(key), "folded": one(folded), "surface": one(key), "folded_surface": one(folded), "token": [set(t) for t in tokens], "folded_token": [set(t) for t in folded_tokens]}
+                phrase, entry, shared, folded_shared, rank = held.value.ranked(wanted, len(key), cfg.pool)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(phrase)), pa.array(held.value.ids, pa.string()).take(pa.array(entry)), pa.array(shared), pa.array(folded_shared), pa.array(rank.astype(np.int32))], names=["key", "entry_id", "shared", "folded_shared", "rank"])
+
+    return p.select("key", "folded_key", "tokens", "folded_tokens").mapInArrow(run, "key string, entry_id string, shared long, folded_shared long, rank int")
+
+
+def _retrieve_by_joins(p: DataFrame, listed: DataFrame, cfg: LinkConfig) -> DataFrame:
+    def want(kind: str, c: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), c.alias("k"))
+
+    keys = F.array(want("exact", F.col("key")), want("surface", F.col("key")), want("folded", F.col("folded_key")), want("folded_surface", F.col("folded_key")))
+    tokens = F.concat(F.transform("tokens", lambda t: want("token", t)), F.transform("folded_tokens", lambda t: want("folded_token", t)))
+    wanted = p.select("key", F.explode(F.array_distinct(F.concat(keys, tokens))).alias("w"))
+    hits = wanted.select("key", F.col("w.kind").alias("kind"), F.col("w.k").alias("index_key")).join(index_table(listed).withColumnRenamed("key", "index_key"), ["kind", "index_key"])
     n = lambda kind: F.sum((F.col("kind") == kind).cast("int"))
-    pool = hits.groupBy("key", "entry_id").agg((2 * n("exact") + n("folded_surface")).alias("plain"), (2 * n("folded") + n("folded_surface")).alias("folded"), n("token").alias("shared"), n("folded_token").alias("folded_shared"))
-    pool = pool.join(entries.select("entry_id", "frequency_prior", "canonical_display"), "entry_id")
+    pool = hits.groupBy("key", "entry_id").agg((2 * n("exact") + n("surface")).alias("plain"), (2 * n("folded") + n("folded_surface")).alias("folded"), n("token").alias("shared"), n("folded_token").alias("folded_shared"))
+    pool = pool.join(listed.select("entry_id", "frequency_prior", "canonical_display"), "entry_id")
     w = Window.partitionBy("key").orderBy(F.desc("plain"), F.desc("folded"), F.desc("shared"), F.desc("folded_shared"), F.desc("frequency_prior"), F.desc("canonical_display"), "entry_id")
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.pool).select("key", "entry_id", "shared", "folded_shared", "rank")
 
@@ -72,8 +136,9 @@ def score_pairs(pool: DataFrame, p: DataFrame, entries: DataFrame) -> DataFrame:
     pairs = pool.select("key", "entry_id").join(p, "key").join(e, "entry_id").withColumn("tier", exact_tier(F.col("key"), F.col("folded_key")))
     exact = pairs.where("tier is not null").withColumn("s", F.col("tier"))
     # scoring costs far more than a row's bytes tell, so the pairs are spread by number, not by size
-    cores = pool.sparkSession.sparkContext.defaultParallelism
-    fuzzy = pairs.where("tier is null").repartition(2 * cores, "key", "entry_id").withColumn("s", fuzzy_score(F.col("key"), F.col("e.canonical_key"), F.col("folded_key"), F.col("e.folded_key")))
+    spark = pool.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fuzzy = pairs.where("tier is null").repartition(parts, "key", "entry_id").withColumn("s", fuzzy_score(F.col("key"), F.col("e.canonical_key"), F.col("folded_key"), F.col("e.folded_key")))
     both = exact.unionByName(fuzzy)
     overlap = F.size(F.array_intersect("folded_tokens", "e.folded_token_keys"))
     return both.select("key", "entry_id", F.col("s.score").alias("score"), F.col("s.match_type").alias("match_type"), overlap.alias("folded_overlap"), F.round(overlap / F.greatest(F.size("e.folded_token_keys"), F.lit(1)), 4).alias("entry_coverage"), F.round(overlap / F.greatest(F.size("folded_tokens"), F.lit(1)), 4).alias("candidate_coverage"), F.col("e.canonical_display").alias("display"), F.col("e.frequency_prior").alias("prior"))

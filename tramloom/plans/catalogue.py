@@ -212,8 +212,9 @@ def token_index(spark: SparkSession, d: str) -> DataFrame:
     return Z.token_index(table(spark, d, "gazetteer_entries", ["entry_id", "folded_key"]), "folded_key").select("token", F.array_join("entry_ids", ",").alias("entry_ids"))
 
 
-_IDX = """SELECT DISTINCT kind, key, entry_id FROM (SELECT 'exact' AS kind, canonical_key AS key, entry_id FROM gazetteer_entries UNION ALL SELECT 'folded', folded_key, entry_id FROM gazetteer_entries
- UNION ALL SELECT 'token', unnest(token_keys), entry_id FROM gazetteer_entries UNION ALL SELECT 'folded_token', unnest(folded_token_keys), entry_id FROM gazetteer_entries UNION ALL SELECT 'folded_surface', unnest(folded_surface_keys), entry_id FROM gazetteer_entries) WHERE key IS NOT NULL AND key <> ''"""
+_IDX = f"""SELECT DISTINCT kind, key, entry_id FROM (SELECT 'exact' AS kind, canonical_key AS key, entry_id FROM gazetteer_entries UNION ALL SELECT 'folded', folded_key, entry_id FROM gazetteer_entries
+ UNION ALL SELECT 'token', unnest(token_keys), entry_id FROM gazetteer_entries UNION ALL SELECT 'folded_token', unnest(folded_token_keys), entry_id FROM gazetteer_entries UNION ALL SELECT 'folded_surface', unnest(folded_surface_keys), entry_id FROM gazetteer_entries
+ UNION ALL SELECT 'surface', {Y.key('s')}, entry_id FROM (SELECT entry_id, unnest(surface_variants) AS s FROM gazetteer_entries)) WHERE key IS NOT NULL AND key <> ''"""
 
 
 @query(_IDX)
@@ -290,8 +291,8 @@ def link_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT key, {Y.fold_key('key')} AS folded FROM {_PHR} WHERE key <> ''), i AS ({_IDX}),
-w AS (SELECT DISTINCT key, kind, k FROM (SELECT key, 'exact' AS kind, key AS k FROM p UNION ALL SELECT key, 'folded', folded FROM p UNION ALL SELECT key, 'folded_surface', folded FROM p UNION ALL SELECT key, 'token', unnest(string_split(key, ' ')) FROM p UNION ALL SELECT key, 'folded_token', unnest(string_split(folded, ' ')) FROM p)),
-h AS (SELECT w.key, i.entry_id, 2 * count(*) FILTER (w.kind = 'exact') + count(*) FILTER (w.kind = 'folded_surface') AS a, 2 * count(*) FILTER (w.kind = 'folded') + count(*) FILTER (w.kind = 'folded_surface') AS b, count(*) FILTER (w.kind = 'token') AS shared, count(*) FILTER (w.kind = 'folded_token') AS folded_shared FROM w JOIN i ON w.kind = i.kind AND w.k = i.key GROUP BY 1, 2),
+w AS (SELECT DISTINCT key, kind, k FROM (SELECT key, 'exact' AS kind, key AS k FROM p UNION ALL SELECT key, 'surface', key FROM p UNION ALL SELECT key, 'folded', folded FROM p UNION ALL SELECT key, 'folded_surface', folded FROM p UNION ALL SELECT key, 'token', unnest(string_split(key, ' ')) FROM p UNION ALL SELECT key, 'folded_token', unnest(string_split(folded, ' ')) FROM p)),
+h AS (SELECT w.key, i.entry_id, 2 * count(*) FILTER (w.kind = 'exact') + count(*) FILTER (w.kind = 'surface') AS a, 2 * count(*) FILTER (w.kind = 'folded') + count(*) FILTER (w.kind = 'folded_surface') AS b, count(*) FILTER (w.kind = 'token') AS shared, count(*) FILTER (w.kind = 'folded_token') AS folded_shared FROM w JOIN i ON w.kind = i.kind AND w.k = i.key GROUP BY 1, 2),
 r AS (SELECT h.*, row_number() OVER (PARTITION BY h.key ORDER BY a DESC, b DESC, shared DESC, folded_shared DESC, frequency_prior DESC, canonical_display DESC, h.entry_id) AS rank FROM h JOIN gazetteer_entries e USING (entry_id))
 SELECT key, entry_id, shared, folded_shared, rank::INT AS rank FROM r WHERE rank <= 80""")
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
