@@ -206,3 +206,14 @@ def test_retrieval_by_postings_and_by_joins_is_the_same(spark):
         assert got == sorted(tuple(r) for r in L.retrieve(p, e, replace(cfg, most_sent=1)).collect()) and got
     assert {r.entry_id for r in L.retrieve(p, e, L.LinkConfig(pool=1)).where("key = 'trà xanh'").collect()} == {"1"}
     assert L.retrieve(p, e.limit(0)).count() == 0 and L.retrieve(p.limit(0), e).count() == 0
+
+
+def test_settled_characters_are_composed_already():
+    import re
+
+    settled = re.compile("^[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), X.SETTLED) + "]$")
+    r = random.Random(6)
+    chars = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000 and settled.match(chr(i))]
+    assert len(chars) > 30_000 and "\u0301" not in chars and "ạ" in chars
+    assert all(unicodedata.is_normalized("NFC", c) for c in chars)
+    assert all(unicodedata.is_normalized("NFC", "".join(r.choices(chars, k=2000))) for _ in range(50))

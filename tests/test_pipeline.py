@@ -40,6 +40,11 @@ def test_predict(spark):
 def test_surface_mining(spark):
     labels = spark.createDataFrame([("ngon BUN GAO ME DEM 500 g", "Bún Gạo Mè Đen"), ("bún gạo mè đen", "Bún Gạo Mè Đen"), ("BUN GAO ME DEM", "Bún Gạo Mè Đen"), (None, "Bún Gạo Mè Đen"), ("khác", "Bún Gạo Mè Đen"), ("x", None)], "t string, n string")
     assert [tuple(r) for r in SV.mine(labels, entries(spark), "t", "n").collect()] == [("2", "BUN GAO ME DEM", 2)]
+    # a variant that shares no word with the name
+    e = spark.createDataFrame([("7", "pate gan")], "entry_id string, canonical_key string")
+    labels = spark.createDataFrame([("hộp patee gaan mới", "Pate Gan"), ("hộp patee gaan mới", "Pate Gan"), ("nước mắm", "Pate Gan")], "t string, n string")
+    assert [tuple(r) for r in SV.mine(labels, e, "t", "n").collect()] == [("7", "patee gaan", 2)]
+    assert SV.mine(labels.limit(0), e, "t", "n").count() == 0
 
 
 def test_variants(spark):

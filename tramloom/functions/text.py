@@ -44,9 +44,13 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+#: Characters that stay as they are in composed text whatever stands beside them, if no other character does.
+SETTLED = r"\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{1EA0}-\x{1EF9}\x{2010}-\x{2027}\x{20AB}\x{2600}-\x{27BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}"
+
+
 def nfc(c: Column) -> Column:
-    """``c`` with composed letters."""
-    return _nfc(c)
+    """``c`` with composed letters. Only texts with a character that may compose go to Python, the others as NULL."""
+    return F.coalesce(_nfc(F.when(c.rlike(f"[^{SETTLED}]"), c)), c)
 
 
 def empty(c: Column) -> Column:

@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tramloom.functions import text as X
-from tramloom.functions.similarity import ratio
+from tramloom.functions.blocks import ratios
+from tramloom.functions.similarity import bags
 from tramloom.operators import segments as S
 
 
+def _closest(least: float):
+    @pandas_udf("string")
+    def run(windows: pd.Series, keys: pd.Series, name: pd.Series) -> pd.Series:
+        """Of each row, the window whose key is most like the name's; then the longest, then the last by text."""
+        row = np.repeat(np.arange(len(name)), [len(w) for w in windows])
+        window, key = [x for w in windows for x in w], [x for k in keys for x in k]
+        other = [name.iloc[i] for i in row.tolist()]
+        # no two keys share more than their common letters, so what these don't reach isn't compared
+        bound = 2.0 * bags(key, other) / np.maximum(1, [len(x) + len(y) for x, y in zip(key, other)])
+        at = np.flatnonzero(bound >= least)
+        alike = ratios([key[i] for i in at], [other[i] for i in at]) / 100
+        best: dict[int, tuple[float, int, str]] = {}
+        for i, a in zip(at.tolist(), alike.tolist()):
+            if a >= least:
+                rank = (round(a, 9), len(window[i]), window[i])
+                best[row[i]] = max(best.get(row[i], rank), rank)
+        return pd.Series([best[i][2] if i in best else None for i in range(len(name))], dtype="object")
+
+    return run
+
+
 def mine(labels: DataFrame, entries: DataFrame, text: str, name: str, least: float = 0.72, keep: int = 40) -> DataFrame:
     """(entry_id, surface, n): how names are written in the texts that they label.
 
-    Of each labelled text, the window of two tokens fewer to four more than the name that is most alike, if it is alike
-    enough and has another key; windows that share no word with the name are left out before the comparison, since
-    they can't be alike enough. The ``keep`` commonest variants of each entry, then the longest, then by text.
+    Of each labelled text and name, all windows of two tokens fewer to four more than the name are compared with it by
+    their accent-free keys; the most alike one counts if it is alike enough and has another key than the name. The
+    ``keep`` commonest variants of each entry, a top-k report, then the longest, then by text.
+
+    Defined results: NULL and blank texts and names give nothing; repeated rows count each; an entry's key must be listed.
     """
-    named = S.product_surfaces(labels.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("__row"), X.light(F.col(text)).alias("__text"), X.safe_text(F.col(name)).alias("__name")), "__name")
+    named = S.product_surfaces(labels.where(F.col(text).isNotNull()).select(X.light(F.col(text)).alias("__text"), X.safe_text(F.col(name)).alias("__name")), "__name")
     named = named.withColumn("key", X.key(F.col("surface"))).join(entries.select("entry_id", F.col("canonical_key").alias("key")), "key")
-    words = F.size(F.split("key", " "))
-    tokens = named.withColumn("t", X.tokens(F.col("__text"))).withColumn("n", words)
+    # a text and name that come again are compared once
+    pairs = named.groupBy("entry_id", "key", "__text").agg(F.count("*").alias("rows"))
+    tokens = pairs.withColumn("t", X.tokens(F.col("__text"))).withColumn("n", F.size(F.split("key", " ")))
     spans = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.greatest(F.lit(1), F.col("n") + 4)), lambda w: F.when(F.size("t") >= w, F.transform(F.sequence(F.lit(1), F.size("t") - w + 1), lambda s: F.array_join(F.slice("t", s, w), " "))).otherwise(F.array().cast("array<string>"))))
-    windows = tokens.select("__row", "entry_id", "key", F.explode_outer(F.array_distinct(spans)).alias("surface")).where("surface is not null")
-    folded = X.fold_key(F.col("surface"))
-    windows = windows.withColumn("f", folded).withColumn("fk", X.fold_key(F.col("key"))).where(F.arrays_overlap(F.split("f", " "), F.split("fk", " ")))
-    scored = windows.withColumn("alike", ratio(F.col("f"), F.col("fk")) / 100).where(F.col("alike") >= least)
-    best = scored.groupBy("__row", "entry_id", "key").agg(F.max_by("surface", F.struct("alike", F.length("surface"), "surface")).alias("surface"))
-    counted = best.where(X.key(F.col("surface")) != F.col("key")).groupBy("entry_id", "surface").agg(F.count("*").alias("n"))
+    windows = tokens.select("entry_id", "key", "rows", F.array_distinct(spans).alias("w"))
+    folded = F.transform("w", lambda x: X.fold_key(x))
+    best = windows.select("entry_id", "key", "rows", _closest(least)(F.col("w"), folded, X.fold_key(F.col("key"))).alias("surface")).where("surface is not null")
+    counted = best.where(X.key(F.col("surface")) != F.col("key")).groupBy("entry_id", "surface").agg(F.sum("rows").alias("n"))
     w = Window.partitionBy("entry_id").orderBy(F.desc("n"), F.desc(F.length("surface")), F.desc("surface"))
     return counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")
