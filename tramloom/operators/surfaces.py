@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tramloom.functions import text as X
 from tramloom.functions.blocks import ratios
@@ -14,22 +15,26 @@ from tramloom.operators import segments as S
 
 
 def _closest(least: float):
-    @pandas_udf("string")
-    def run(windows: pd.Series, keys: pd.Series, name: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each row, the window whose key is most like the name's; then the longest, then the last by text."""
-        row = np.repeat(np.arange(len(name)), [len(w) for w in windows])
-        window, key = [x for w in windows for x in w], [x for k in keys for x in k]
-        other = [name.iloc[i] for i in row.tolist()]
-        # no two keys share more than their common letters, so what these don't reach isn't compared
-        bound = 2.0 * bags(key, other) / np.maximum(1, [len(x) + len(y) for x, y in zip(key, other)])
-        at = np.flatnonzero(bound >= least)
-        alike = ratios([key[i] for i in at], [other[i] for i in at]) / 100
-        best: dict[int, tuple[float, int, str]] = {}
-        for i, a in zip(at.tolist(), alike.tolist()):
-            if a >= least:
-                rank = (round(a, 9), len(window[i]), window[i])
-                best[row[i]] = max(best.get(row[i], rank), rank)
-        return pd.Series([best[i][2] if i in best else None for i in range(len(name))], dtype="object")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                windows, keys, name = (batch.column(i).to_pylist() for i in (3, 4, 5))
+                row = [i for i, w in enumerate(windows) for _ in w]
+                window, key = [x for w in windows for x in w], [x for k in keys for x in k]
+                other = [name[i] for i in row]
+                # no two keys share more than their common letters, so what these don't reach isn't compared
+                bound = 2.0 * bags(key, other) / np.maximum(1, [len(x) + len(y) for x, y in zip(key, other)])
+                near = np.flatnonzero(bound >= least)
+                alike = ratios([key[i] for i in near], [other[i] for i in near]) / 100
+                best: dict[int, tuple[float, int, str]] = {}
+                for i, a in zip(near.tolist(), alike.tolist()):
+                    if a >= least:
+                        rank = (round(a, 9), len(window[i]), window[i])
+                        best[row[i]] = max(best.get(row[i], rank), rank)
+                found = pa.array([best[i][2] if i in best else None for i in range(len(name))], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["entry_id", "key", "rows", "surface"])
 
     return run
 
@@ -51,7 +56,8 @@ def mine(labels: DataFrame, entries: DataFrame, text: str, name: str, least: flo
     spans = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.greatest(F.lit(1), F.col("n") + 4)), lambda w: F.when(F.size("t") >= w, F.transform(F.sequence(F.lit(1), F.size("t") - w + 1), lambda s: F.array_join(F.slice("t", s, w), " "))).otherwise(F.array().cast("array<string>"))))
     windows = tokens.select("entry_id", "key", "rows", F.array_distinct(spans).alias("w"))
     folded = F.transform("w", lambda x: X.fold_key(x))
-    best = windows.select("entry_id", "key", "rows", _closest(least)(F.col("w"), folded, X.fold_key(F.col("key"))).alias("surface")).where("surface is not null")
+    best = windows.select("entry_id", "key", "rows", "w", folded.alias("f"), X.fold_key(F.col("key")).alias("name"))
+    best = best.mapInArrow(_closest(least), "entry_id string, key string, rows long, surface string").where("surface is not null")
     counted = best.where(X.key(F.col("surface")) != F.col("key")).groupBy("entry_id", "surface").agg(F.sum("rows").alias("n"))
     w = Window.partitionBy("entry_id").orderBy(F.desc("n"), F.desc(F.length("surface")), F.desc("surface"))
     return counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")
