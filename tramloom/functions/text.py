@@ -76,6 +76,12 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def odd(c: Column, least: int = 1) -> Column:
+    """The next odd number from ``c`` or ``least``, whichever is larger."""
+    x = F.greatest(c.cast("int"), F.lit(least))
+    return x + F.when(x % 2 == 0, 1).otherwise(0)
+
+
 def rounded(c: Column, digits: int = 4) -> Column:
     """``c`` to ``digits`` places, without the noise of its last bits deciding a tie."""
     return F.round(F.round(c, 9), digits)

@@ -85,3 +85,15 @@ def ranked(df: DataFrame, by: str, order: list[Column], top: int | None = None)
     """``df`` with ``rank`` from 1 within ``by``; with ``top``, the first of them."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return out.where(F.col("rank") <= top) if top else out
+
+
+def ranked_by_evidence(df: DataFrame, by: str, top: int | None = None, least_tokens: int = 0) -> DataFrame:
+    """``df`` with ``rank``: by source, tokens up to eight, agreement of variants, structure, confidence and length, all
+    descending, ties by ``seq``; with ``top`` the first of each group that have ``least_tokens``."""
+    order = [F.desc(source_priority(F.col("source"))), F.desc(F.least(F.coalesce("token_count", F.lit(0)), F.lit(8))), F.desc(F.coalesce("agreement", F.lit(0.0))), F.desc(F.coalesce("structure_score", F.lit(0.0))), F.desc(F.coalesce("conf", F.lit(0.0))), F.desc(F.length(X.empty(F.col("clean_text")))), F.asc("seq")]
+    return ranked(df.where(F.col("token_count") >= least_tokens) if least_tokens else df, by, order, top)
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """(key, record): each row as one JSON record."""
+    return df.select(key, F.to_json(F.struct(*[c for c in df.columns])).alias("record"))

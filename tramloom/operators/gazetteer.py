@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tramloom.functions import text as X
 from tramloom.operators.segments import product_surfaces
@@ -91,6 +91,15 @@ def fillers(texts: DataFrame, has_product: str, text: str, protected: DataFrame,
     return d.orderBy(F.desc("df_without"), "ratio_with", F.desc("token")).limit(top).select("token", "df_without", "ratio_with")
 
 
+def with_manual(mined: DataFrame, manual: DataFrame, protected: DataFrame) -> DataFrame:
+    """(token): mined and manual fillers, without those that are too short, without letters, or protected."""
+    both = mined.select("token").unionByName(manual.select(F.lower("token").alias("token"))).distinct()
+    both = both.where((F.length("token") >= 2) & F.col("token").rlike(r"\p{L}"))
+    for key in (X.key, X.fold_key):
+        both = both.withColumn("__k", key(F.col("token"))).join(protected.select(F.col("token").alias("__k")).distinct(), "__k", "left_anti").drop("__k")
+    return both
+
+
 def add_aliases(e: DataFrame, aliases: DataFrame) -> DataFrame:
     """(alias, entry_id): the entry of each alias's canonical name by exact key, else the least id by folded key."""
     a = aliases.select("alias", X.key(F.col("canonical")).alias("k"), X.fold_key(F.col("canonical")).alias("f"))
@@ -109,3 +118,38 @@ def coverage(surfaces: DataFrame, e: DataFrame) -> DataFrame:
 def summary(e: DataFrame, top: int = 20) -> DataFrame:
     """The ``top`` entries by frequency, with their rank."""
     return e.orderBy(F.desc("frequency_prior"), "canonical_display").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency_prior"), "canonical_display"))).select("rank", "canonical_display", "frequency_prior")
+
+
+def build(labels: DataFrame, text: str, name: str, aliases: DataFrame | None = None, manual: DataFrame | None = None, least_df: int = 8, most_ratio: float = 0.02) -> dict[str, DataFrame]:
+    """A gazetteer from labels, as tables: ``entries`` with keys, token keys, anchors and mined surface variants, the
+    ``index``, ambiguous ``anchors`` and ``pairs``, ``fillers``, and one row of ``metadata``."""
+    from tramloom.operators import surfaces
+    from tramloom.sources.tables import written
+
+    named = labels.withColumn("__name", X.safe_text(F.col(name))).where(F.trim("__name") != "")
+    e = entries(named, "__name")
+    light = X.light(F.col("canonical_display"))
+    e = written(e.withColumn("token_keys", X.token_keys(light)).withColumn("folded_token_keys", X.folded_token_keys(light)).withColumn("brand_anchor", F.array_join(F.slice(F.transform(X.tokens(light), F.lower), 1, 2), " ")))
+    mined = surfaces.mine(labels, e, text, name).select("entry_id", "surface")
+    if aliases is not None:
+        mined = mined.unionByName(add_aliases(e, aliases).select("entry_id", F.col("alias").alias("surface")))
+    v = mined.groupBy("entry_id").agg(F.array_sort(F.collect_set("surface")).alias("surface_variants"))  # at most forty and the aliases
+    e = written(with_keys(e.join(v, "entry_id", "left").withColumn("folded_surface_keys", F.lit(None).cast("array<string>"))))
+    words = e.select(F.explode(F.concat("token_keys", "folded_token_keys", F.flatten(F.transform("surface_keys", lambda k: F.split(k, " "))))).alias("token")).distinct()
+    read = labels.where(F.trim(text) != "").select(F.col(text).alias("t"), (F.trim(X.safe_text(F.col(name))) != "").alias("p"))
+    fill = fillers(read, "p", "t", words, least_df, most_ratio, folded=True)
+    if manual is not None:
+        fill = with_manual(fill, manual, words)
+    facts = e.agg(F.count("*").alias("n_entries"), F.sum("frequency_prior").alias("n_surfaces"), F.sum(F.size("surface_keys")).alias("n_variants"))
+    return {"entries": e, "index": index_table(e), "anchors": shared_anchors(e), "pairs": ambiguous_pairs(e), "fillers": fill.select("token"), "metadata": facts}
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as parquet under ``path``, the metadata as one line of JSON."""
+    for k, df in tables.items():
+        (df.coalesce(1).write.mode("overwrite").json if k == "metadata" else df.write.mode("overwrite").parquet)(f"{path}/{k}")  # the metadata are one row
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What ``save`` wrote."""
+    return {k: spark.read.json(f"{path}/{k}") if k == "metadata" else spark.read.parquet(f"{path}/{k}") for k in ("entries", "index", "anchors", "pairs", "fillers", "metadata")}

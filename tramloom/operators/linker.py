@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tramloom.functions import text as X
 from tramloom.functions.similarity import fuzzy_score
+from tramloom.operators.candidates import source_priority
 from tramloom.operators.gazetteer import index_table, with_keys
 
 # Scores of the exact tiers, highest first.
@@ -174,3 +175,16 @@ def exact_links(docs: DataFrame, names: DataFrame, doc: str, text: str, name: st
     """(doc, key): lines of a text whose key is a listed name's. The smallest useful link: one equi-join on the key."""
     lines = docs.select(doc, F.explode(F.split(F.col(text), r"[\n]+")).alias("line")).select(doc, X.key(F.regexp_replace("line", r"^\s*(?:[-*•+✓]|\d+[.)])\s+", "")).alias("key")).where("key <> ''").distinct()
     return lines.join(names.select(X.key(F.col(name)).alias("key")).distinct(), "key", "left_semi")
+
+
+def in_order(links: DataFrame, image: str = "image_id") -> DataFrame:
+    """Links with ``place`` within their image: matched, strong, score and margin, then source, structure and confidence, all
+    descending, ties by phrase."""
+    w = Window.partitionBy(image).orderBy(F.desc("matched"), F.desc("is_strong"), F.desc("score"), F.desc("margin"), F.desc(source_priority(F.col("source"))), F.desc_nulls_last("structure_score"), F.desc_nulls_last("conf"), "clean_text")
+    return links.withColumn("place", F.row_number().over(w))
+
+
+def top_links(links: DataFrame, image_id: str, top: int = 30, only_matched: bool = False, image: str = "image_id") -> DataFrame:
+    """The first ``top`` links of one image, a report."""
+    one = in_order(links.where(F.col(image) == image_id), image)
+    return (one.where("matched") if only_matched else one).orderBy("place").limit(top)

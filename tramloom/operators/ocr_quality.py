@@ -74,3 +74,26 @@ def read_variants(lines: DataFrame, by: str, variant: str, text: str, conf: str,
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t"))))
     g = lines.where(F.col(text).isNotNull()).groupBy(by, F.col(variant).alias("variant"))
     return g.agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("text"), F.avg(F.when((F.col(conf) >= 0) & (F.col(conf) <= 1), F.col(conf))).alias("conf"), F.count("*").alias("boxes"))
+
+
+def plainly_bad(error: Column, text: Column, boxes: Column, conf: Column, least_chars: int = 4, least_conf: float = 0.35, least_boxes: int = 1) -> Column:
+    """A simpler test of a reading: an error, no text, too few boxes or letters, or little text of low confidence."""
+    t = X.strip(X.empty(text))
+    alnum = X.count(t, r"[\p{L}\p{N}]")
+    return (X.empty(error) != "") | (t == "") | (F.coalesce(boxes, F.lit(0)) < least_boxes) | (alnum < least_chars) | ((F.coalesce(conf, F.lit(0.0)) < least_conf) & (alnum < 20))
+
+
+def plain_score(text: Column, boxes: Column, conf: Column, bad: Column) -> Column:
+    """Score of a reading by the simpler test, from 0 to 1."""
+    alnum = X.count(X.empty(text), r"[\p{L}\p{N}]")
+    score = 0.65 * X.clamp(F.coalesce(conf, F.lit(0.0))) + 0.25 * F.least(alnum / 80, F.lit(1.0)) + 0.10 * F.least(F.coalesce(boxes, F.lit(0)) / 12, F.lit(1.0))
+    return X.rounded(F.when(bad, score * 0.65).otherwise(score))
+
+
+def keep_primary(readings: DataFrame, by: str, primary: str) -> DataFrame:
+    """(by, variant, reason, score): the primary variant unless it is bad, else the best score, ties by the variants' order.
+    ``readings`` has ``bad`` and ``score``."""
+    order = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in VARIANT_ORDER]), F.col("variant")), F.lit(99))
+    good = (F.col("variant") == primary) & ~F.col("bad")
+    w = Window.partitionBy(by).orderBy(F.desc(good), F.desc("score"), order)
+    return readings.withColumn("r", F.row_number().over(w)).where("r = 1").select(by, "variant", F.when(good, "primary").otherwise("best_score").alias("reason"), "score")

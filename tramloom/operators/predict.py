@@ -29,3 +29,24 @@ def submission(spine: DataFrame, decisions: DataFrame, texts: DataFrame, key: st
 def not_cached(ids: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Keys that the cache doesn't hold."""
     return ids.select(key).distinct().join(cache.select(key), key, "left_anti")
+
+
+TEXT_COLUMNS = ("ocr_text", "selected_text", "hard_text", "soft_text", "raw_text")
+
+
+def text_column(df: DataFrame) -> str:
+    """The first of the usual text columns that ``df`` has."""
+    have = [c for c in TEXT_COLUMNS if c in df.columns]
+    if not have:
+        raise ValueError(f"none of {', '.join(TEXT_COLUMNS)}")
+    return have[0]
+
+
+def product_frame(decisions: DataFrame, key: str) -> DataFrame:
+    """(key, product_name): the name where a decision emits one, else an empty text."""
+    return decisions.select(key, F.when(F.col("emit"), X.empty(F.col("product_name"))).otherwise("").alias("product_name"))
+
+
+def wanted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is asked for."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")

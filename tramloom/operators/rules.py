@@ -51,6 +51,43 @@ def rejected(c: Column, words: tuple[str, ...] = ()) -> Column:
     return (t == "") | t.isin(*words) if words else t == ""
 
 
+def of_group(rules: DataFrame, *groups: str) -> DataFrame:
+    """The rules of some groups; ``rules`` has a column ``grp``."""
+    return rules.where(F.col("grp").isin(*groups))
+
+
+def in_context(c: Column, positive: list[str], negative: list[str]) -> Column:
+    """Does a text hold one of the ``positive`` patterns and none of the ``negative`` ones? Patterns are on folded words."""
+    t = X.rule_text(c)
+    any_ = lambda ps: t.rlike("|".join(f"(?:{p})" for p in ps)) if ps else F.lit(False)
+    return any_(positive) & ~any_(negative)
+
+
+def keep_candidate(c: Column, full_text: Column, words: tuple[str, ...] = (), doubtful: dict[str, tuple[list[str], list[str]]] | None = None) -> Column:
+    """Is a candidate kept beside the text that it stands in? Not if it is blank or one of ``words``; one of ``doubtful`` only
+    in the context that its patterns (positive, negative) ask for. With a blank text all but blank candidates are kept."""
+    keep = ~rejected(c, words)
+    for word, (positive, negative) in (doubtful or {}).items():
+        keep = keep & ((X.rule_text(c) != word) | in_context(full_text, positive, negative))
+    return (X.rule_text(c) != "") & (keep | (X.rule_text(full_text) == ""))
+
+
+def resolve_with(found: DataFrame, extra: DataFrame, key: str, texts: DataFrame, column: str, generic: list[str] | None = None, words: tuple[str, ...] = (), least: int = 95) -> DataFrame:
+    """(key, rule, canonical, priority, score): the best of the rules' hits and of ``extra`` (key, canonical), which counts as
+    priority 80 and score 0.9 and falls out if it is one of ``words``. A text of ``generic`` patterns alone needs ``least``
+    priority."""
+    more = extra.where(~rejected(F.col("canonical"), words)).select(key, F.lit("candidate").alias("rule"), "canonical", F.lit(80).alias("priority"), F.lit(0.9).alias("score"))
+    best = resolve(found.select(key, "rule", "canonical", "priority", "score").unionByName(more), key)
+    topic = texts.select(key, in_context(F.col(column), generic or [], []).alias("__generic"))
+    return best.join(topic, key).where(~F.col("__generic") | (F.col("priority") >= least)).select(key, "rule", "canonical", "priority", "score")
+
+
+def aliases(rules: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """(alias, canonical): curated aliases, and the folded words of every rule's name where none is curated."""
+    own = rules.select(X.rule_text(F.col("canonical")).alias("alias"), "canonical").where("alias <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical"))
+    return own if curated is None else curated.select("alias", "canonical").unionByName(own.join(curated, "alias", "left_anti"))
+
+
 def lexicon_hits(texts: DataFrame, key: str, column: str, lexicon: list[str]) -> DataFrame:
     """(key, hits, n_hits): distinct folded phrases of a lexicon that occur in a text."""
     t = texts.select(key, X.rule_text(F.col(column)).alias("norm"))

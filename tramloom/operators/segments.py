@@ -95,9 +95,18 @@ def best_windows(lines: DataFrame, key: str, column: str, widths: tuple[int, int
     return lines.select(key, F.explode_outer(g).alias("g")).where("g is not null").select(key, "g.*")
 
 
-def assemble_lines(words: DataFrame, by: list[str], line: list[str], order: str, text: str, conf: str) -> DataFrame:
-    """Words of a reader as lines: text joined in ``order``, mean confidence, number of words.
+def assemble_lines(words: DataFrame, by: list[str], line: list[str], order: str, text: str, conf: str, least_conf: float = 0.0, box: str | None = None) -> DataFrame:
+    """Words of a reader as lines: text joined in ``order``, mean confidence, number of words, and with ``box`` the box around
+    all of them. Blank words and those below ``least_conf`` or 0 are left out.
 
     Each group is one line of a page, which bounds it."""
-    g = words.where((F.trim(F.col(text)) != "") & (F.col(conf) >= 0)).groupBy(*by, *line)
-    return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("text"), F.round(F.avg(conf), 6).alias("conf"), F.count("*").alias("n_words"))
+    g = words.where((F.trim(F.col(text)) != "") & (F.col(conf) >= max(0.0, least_conf))).groupBy(*by, *line)
+    around = [X.union_box(F.filter(F.collect_list(F.col(box)), lambda b: F.size(b) == 4)).alias("box")] if box else []
+    return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("text"), F.round(F.avg(conf), 6).alias("conf"), F.count("*").alias("n_words"), *around)
+
+
+def reading_order(items: DataFrame, by: list[str], box: str, seq: str) -> DataFrame:
+    """``items`` with ``line_num`` from 0: by top, then left edge of the box, items without one last, ties by ``seq``. A page
+    bounds the window."""
+    w = Window.partitionBy(*by).orderBy(F.col(box)[1].asc_nulls_last(), F.col(box)[0].asc_nulls_last(), seq)
+    return items.withColumn("line_num", F.row_number().over(w) - 1)

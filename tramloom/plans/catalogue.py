@@ -471,7 +471,7 @@ def junk_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_lines", ["line_id", "text"]).select("line_id", *[v.alias(k) for k, v in Q.junk_stats(F.col("text")).items()])
 
 
-def _readings(spark: SparkSession, d: str) -> DataFrame:
+def readings(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "ocr_lines", ["line_id", "image_id", "variant_name", "line_index", "text", "conf"])
     r = Q.read_variants(lines, "image_id", "variant_name", "text", "conf", ["line_index", "line_id"])
     r = r.withColumn("why", Q.reasons(F.lit(None).cast("string"), F.col("boxes"), F.col("text"), F.col("conf")))
@@ -487,13 +487,13 @@ _READ = f"""SELECT *, round(CAST(CASE WHEN st = '' THEN 0.0 ELSE least(greatest(
 
 @query(f"SELECT image_id, variant, array_to_string(why, '|') AS why, score, fatal FROM ({_READ})")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return _readings(spark, d).select("image_id", "variant", F.array_join("why", "|").alias("why"), "score", "fatal")
+    return readings(spark, d).select("image_id", "variant", F.array_join("why", "|").alias("why"), "score", "fatal")
 
 
 @query(f"""SELECT image_id, variant, CASE WHEN NOT fatal AND variant = 'hard_fallback' THEN 'hard_first_non_fatal' WHEN NOT fatal THEN 'best_non_fatal' ELSE 'best_overall' END AS reason, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY fatal, CASE WHEN NOT fatal THEN o ELSE 0 END, score DESC, o) AS k
  FROM (SELECT *, coalesce(list_position(['hard_fallback', 'raw_resized', 'soft_enhanced'], variant), 0) AS o FROM ({_READ}))) WHERE k = 1""")
 def variant_select(spark: SparkSession, d: str) -> DataFrame:
-    return Q.choose_variant(_readings(spark, d), "image_id")
+    return Q.choose_variant(readings(spark, d), "image_id")
 
 
 @query("""SELECT vec_id, round(list_avg(l), 4) AS mean_luma, round(list_stddev_pop(l), 4) AS std_luma, round(quantile_cont_05, 4) AS p05, round(quantile_cont_95, 4) AS p95, round(len(list_filter(l, lambda x: x < 25 OR x > 230)) / len(l)::DOUBLE, 6) AS near_binary_ratio
@@ -531,12 +531,6 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return M.audit_summary(table(spark, d, "events", ["event_type", "value"]), "event_type", "value")
 
 
-@query("""SELECT event_type, round(median, 6) AS median, round(p90, 6) AS p90, round(fail_rate, 6) AS fail_rate, round(over_rate, 6) AS over_rate, round(median + 0.5 * p90 + 2 * fail_rate + 1.5 * over_rate, 6) AS objective
- FROM (SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) AS p90, avg((value < 1)::INT) AS fail_rate, avg((value > 50)::INT) AS over_rate FROM events GROUP BY 1)""")
-def tuning_objective(spark: SparkSession, d: str) -> DataFrame:
-    return M.objective(table(spark, d, "events", ["event_type", "value"]), "event_type", "value", F.col("value") < 1, 50.0)
-
-
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source NULLS LAST LIMIT 20")
 def value_counts_topk(spark: SparkSession, d: str) -> DataFrame:
     return M.top_counts(table(spark, d, "documents", ["source"]), "source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tramloom.operators import nested, packed, rules, surfaces
-from tramloom.plans import catalogue, pipeline
+from tramloom.plans import audits, catalogue, pipeline  # noqa: F401  (audits registers its queries)
 from tramloom.sources.tables import table
 
 
