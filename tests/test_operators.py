@@ -126,14 +126,61 @@ def test_rules(spark):
     assert list(one(spark, U.rejected(F.lit("Xem Thêm"), words), U.rejected(F.lit("")), U.rejected(F.lit("kem"), words), U.rejected(F.lit("Xem Thêm")))) == [True, True, False, False]
 
 
+EVIDENCE = "id string, entry_id string, gate_score double, match_score double, margin double, match_type string, is_strong boolean, specific boolean, first_line int, item_count int, words array<string>, prior int"
+
+
 def test_gate(spark):
-    e = spark.createDataFrame([("d", "1", 0.9, 100.0, 10.0, "exact", True, 0, 1, ["a", "b"]), ("d", "2", 0.88, 99.0, 10.0, "exact", True, 1, 1, ["c"]), ("d", "3", 0.5, 100.0, 10.0, "exact", True, 2, 1, ["a"]), ("f", "4", 0.9, 100.0, 9.0, "exact", True, None, 2, ["x"]), ("g", "5", 0.9, 90.0, 4.0, "fuzzy_ratio", False, 0, 1, ["x"])], "id string, entry_id string, gate_score double, match_score double, margin double, match_type string, is_strong boolean, first_line int, item_count int, words array<string>")
-    assert {r.id: (r["mode"], r.chosen) for r in G.choose(e, "id").collect()} == {"d": ("multi", ["1", "2"]), "f": ("full", ["4"])}
-    assert {r.entry_id for r in G.drop_subsets(e, "id", "words", ["gate_score", "match_score"]).collect()} == {"1", "2", "4", "5"}
-    assert {r.id: r.n_close for r in G.ambiguous(e, "id", "words").collect()} == {"d": 1, "f": 0, "g": 0}
-    over = spark.createDataFrame([("g", "Rule")], "id string, canonical string")
-    got = {r.id: (r.emit, r.reason, r.chosen) for r in G.decide(e.unionByName(e.limit(0)), G.choose(e, "id"), over, "id").collect()}
-    assert got == {"d": (True, "multi", ["1", "2"]), "f": (True, "full", ["4"]), "g": (True, "rule", ["Rule"])}
+    strong = (100.0, 10.0, "exact", True, True)
+    rows = [
+        ("d", "1", 0.9, *strong, 0, 1, ["a", "b"], 5), ("d", "2", 0.88, *strong, 1, 1, ["c"], 5), ("d", "3", 0.8, *strong, 2, 1, ["a"], 5),  # two apart, one inside another
+        ("f", "4", 0.9, *strong, None, 2, ["x"], 1), ("f", "5", 0.95, *strong, 0, 1, ["y"], 1),  # of several items
+        ("g", "6", 0.9, 90.0, 4.0, "fuzzy_ratio", False, False, 0, 1, ["x"], 1),  # not qualified
+        ("h", "7", 0.5, 89.0, 0.0, "fuzzy_partial", False, False, 0, 2, ["p", "q", "r"], 1), ("h", "8", 0.8, *strong, 0, 1, ["p"], 1), ("h", "9", 0.8, *strong, 1, 1, ["q"], 1),  # its parts speak for it
+        ("i", "10", 0.5, 89.0, 0.0, "fuzzy_partial", False, False, 0, 2, ["p", "q", "r"], 1), ("i", "11", 0.8, *strong, 0, 1, ["p"], 1),  # one part doesn't
+        ("j", "12", 0.85, 95.0, 9.0, "fuzzy_partial", True, False, 0, 1, ["m"], 1),
+    ]
+    e = spark.createDataFrame(rows, EVIDENCE)
+    pool = spark.createDataFrame([("h", ["p", "q", "r"]), ("i", ["p", "q", "r"])], "id string, pool array<string>")
+    chosen = G.choose(e, "id", pool)
+    got = {r.id: (r["mode"], r.chosen, r.specific) for r in chosen.collect()}
+    assert got == {"d": ("multi", ["1", "2"], True), "f": ("full", ["4"], True), "h": ("full", ["7"], False), "i": ("single", ["11"], True), "j": ("single", ["12"], False)}
+    assert {r.entry_id for r in G.drop_subsets(e.where("id in ('d', 'f')"), "id", "words", ["gate_score", "match_score"]).collect()} == {"1", "2", "4", "5"}
+    assert {r.id: r.n_close for r in G.ambiguous(e.where("id in ('d', 'f', 'g')"), "id", "words").collect()} == {"d": 1, "f": 1, "g": 0}
+    docs = spark.createDataFrame([(x,) for x in "ddfghijklz"], "id string")
+    rules = spark.createDataFrame([("k", "Rule", 95), ("l", "Weak", 80), ("j", "Weak", 94)], "id string, canonical string, priority int")
+
+    def reasons(**more):
+        return {r.id: (r.emit, r.reason) for r in G.decide(docs, chosen, rules, "id", **more).collect()}
+
+    plain = {"d": (True, "multi"), "f": (True, "full"), "g": (False, "no_match"), "h": (True, "full"), "i": (True, "single"), "j": (True, "rule"), "k": (True, "rule"), "l": (False, "no_match"), "z": (False, "no_match")}
+    assert reasons() == plain
+    rules = rules.where("id <> 'j'")
+    told = spark.createDataFrame([("d", 9), ("h", 3), ("j", 2)], "id string, negative int")
+    assert reasons(contexts=told) == plain | {"h": (False, "negative_context"), "j": (False, "negative_context_low_margin")}
+    topic = spark.createDataFrame([("j",), ("d",), ("k",)], "id string")
+    assert reasons(generic=topic) == plain | {"j": (False, "generic_topic")}
+    assert [(r.id, r.canonical) for r in G.rescued(docs, chosen, rules, "id").collect()] == [("k", "Rule")]
+    assert G.choose(e.limit(0), "id", pool).count() == 0
+
+
+def test_gate_score_and_context(spark):
+    def score(agreement, available, positive=0, negative=0):
+        c = [100.0, 12.0, 1.0, "line", 1.0, agreement, available, 1.0, 5, 5, "exact", positive, negative]
+        return one(spark, G.gate_score(*[F.lit(x) for x in c]))[0]
+
+    assert score(1.0, 1) == score(None, None) == 0.90 and score(1.0, 2) == 0.95 and score(0.5, 3) == 0.925
+    assert score(0.0, 2, 3) == 0.95 and score(0.0, 2, 9) == 0.95 and score(0.0, 2, 0, 2) == 0.78 and score(0.0, 2, 0, 99) == 0.66
+    t = spark.createDataFrame([("a", "Công  ty ABC"), ("a", "công ty, ngon"), ("b", None), ("c", "kem")], "id string, t string")
+    assert {r.id: (r.negative, r.positive) for r in G.context(t, "id", ["t"], ["cong ty", "toa an"], ["ngon", "kem"]).collect()} == {"a": (1, 1), "b": (0, 0), "c": (0, 1)}
+    yes = lambda *c: one(spark, G.specific(*[F.lit(x) for x in c[:4]], F.array(*[F.lit(x) for x in c[4]]), ["pate", "gan"]))[0]
+    assert yes("exact", 0.0, 0, 0.0, ["x"]) and yes("fuzzy_ratio", 94.0, 2, 0.5, ["x"]) and yes("fuzzy_ratio", 88.0, 0, 0.0, ["pate", "gan"])
+    assert not yes("fuzzy_ratio", 94.0, 1, 0.9, ["pate"]) and not yes("fuzzy_ratio", 87.0, 0, 0.0, ["pate", "gan"])
+
+
+def test_leftovers_and_order(spark):
+    rows = [("a", 1, True, 0.8, True, 99.0, 5.0), ("a", 2, False, None, False, 40.0, 1.0), ("a", 3, True, 0.9, False, 90.0, 9.0)]
+    df = spark.createDataFrame(rows, "id string, seq int, matched boolean, gate_score double, is_strong boolean, score double, margin double")
+    assert {r.seq: r.place for r in G.leftovers(df, "id").collect()} == {3: 1, 1: 2, 2: 3}
 
 
 def test_final_names_and_metrics(spark):
@@ -217,3 +264,72 @@ def test_settled_characters_are_composed_already():
     assert len(chars) > 30_000 and "\u0301" not in chars and "ạ" in chars
     assert all(unicodedata.is_normalized("NFC", c) for c in chars)
     assert all(unicodedata.is_normalized("NFC", "".join(r.choices(chars, k=2000))) for _ in range(50))
+
+
+def test_quantiles_and_summaries(spark):
+    r = np.random.default_rng(7)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 500)) for v in r.integers(0, 40, n)] + [("d", None), (None, 3.0), ("e", 5.0), ("e", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: (x.q0, x.q1) for x in M.quantiles(df, "g", "v", [0.5, 0.9]).collect()}
+    want = {g: [v for k, v in rows if k == g and v is not None] for g in ("a", "b", "c", "e", None)}
+    assert set(got) == set(want) and all(np.allclose(got[g], np.percentile(v, [50, 90])) for g, v in want.items())
+    assert M.quantiles(df.limit(0), "g", "v", [0.5]).count() == 0
+    s = {x.g: x for x in M.audit_summary(df, "g", "v").collect()}
+    assert s["d"].n == 1 and s["d"].median is None and s[None].median == 3.0
+    links = spark.createDataFrame([("i", True, True, 99.0, 5.0), ("i", False, False, 40.0, None)], "image_id string, matched boolean, is_strong boolean, score double, margin double")
+    x = M.linking_summary(links).first()
+    assert (x.n, x.n_ids, x.matched, x.matched_rate, x.strong, x.mean_score, x.median_score, x.mean_margin) == (2, 1, 1, 0.5, 1, 69.5, 69.5, 5.0)
+    g = M.gating_summary(spark.createDataFrame([("i", True, 0.9), ("j", False, 0.1)], "image_id string, emit boolean, gate_score double")).first()
+    assert (g.n, g.emitted, g.mean_gate_score) == (2, 1, 0.9) and M.linking_summary(links.limit(0)).first().n == 0
+    board = M.objective(spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 9.0), ("y", None)], "c string, v double"), "c", "v", F.col("v") > 8, 5.0, F.col("v").isNull()).orderBy("place").collect()
+    assert [b.c for b in board] == ["x", "y"] and board[0].objective == round(1.5 + 0.5 * 1.9, 6) and board[1].objective == round(9 + 4.5 + 1 + 0.75 + 1.5, 6)
+
+
+def test_audit(spark):
+    readings = spark.createDataFrame([("a", "hard", "kem"), ("a", "soft", "kam"), ("b", "hard", None), ("z", "hard", "x")], "image_id string, variant string, text string")
+    labels = spark.createDataFrame([("a", "KEM"), ("b", "x")], "image_id string, ocr_text string")
+    got = {(r.image_id, r.variant): (r.cer, r.cer_lower, r.oracle) for r in M.audit_rows(readings, labels).collect()}
+    assert got == {("a", "hard"): (1.0, 0.0, True), ("a", "soft"): (1.0, 0.333333, False), ("b", "hard"): (1.0, 1.0, True)}
+
+
+def test_reading_order_and_lines(spark):
+    df = spark.createDataFrame([("p", 1, [5, 10, 2, 2], "b", 0.9), ("p", 2, [0, 10, 2, 2], "a", 0.5), ("p", 3, [9, 0, 1, 1], "c", 0.1), ("p", 4, None, "d", 0.9), ("p", 5, [0, 0], " ", 0.9)], "page string, seq int, box array<int>, t string, conf double")
+    assert {r.seq: r.line_num for r in S.reading_order(df, ["page"], "box", "seq").collect()} == {5: 0, 3: 1, 2: 2, 1: 3, 4: 4}
+    (x,) = S.assemble_lines(df, ["page"], [], "seq", "t", "conf", 0.4, "box").collect()
+    assert (x.text, x.n_words, x.box) == ("b a d", 3, [0, 10, 7, 2])
+
+
+def test_small_pieces(spark, tmp_path):
+    assert list(one(spark, X.odd(F.lit(4)), X.odd(F.lit(5)), X.odd(F.lit(0), 21))) == [5, 5, 21]
+    assert P.text_column(spark.createDataFrame([(1, "x")], "id int, raw_text string")) == "raw_text"
+    with pytest.raises(ValueError):
+        P.text_column(spark.range(1))
+    d = spark.createDataFrame([("a", True, "Kem"), ("b", False, "Kem"), ("c", True, None)], "id string, emit boolean, product_name string")
+    assert {tuple(r) for r in P.product_frame(d, "id").collect()} == {("a", "Kem"), ("b", ""), ("c", "")}
+    assert {r.id for r in P.wanted(d, spark.createDataFrame([("a",), ("a",), ("q",)], "id string"), "id").collect()} == {"a"}
+    (tmp_path / "ids.csv").write_text("image_id,x\nb,1\na,2\nc,3\n")
+    assert [r.image_id for r in files.read_ids(spark, [str(tmp_path / "none.csv"), str(tmp_path / "ids.csv")], 2).collect()] == ["b", "a"]
+    with pytest.raises(FileNotFoundError):
+        files.read_ids(spark, [str(tmp_path / "none.csv")])
+    files.write_audit(d, spark.createDataFrame([(3, 0.5)], "n int, rate double"), str(tmp_path / "audit"), "id")
+    assert [r.id for r in spark.read.option("header", True).csv(str(tmp_path / "audit")).collect()] == ["a", "b", "c"] and spark.read.json(str(tmp_path / "audit.summary.json")).first().n == 3
+    for _ in range(2):
+        files.write_new_configs(spark.createDataFrame([("x", 1), ("y", 2)], "config string, v int"), str(tmp_path / "configs"))
+    assert spark.read.parquet(str(tmp_path / "configs")).count() == 2
+    assert C.as_json(d.where("id = 'a'"), "id").first().record == '{"id":"a","emit":true,"product_name":"Kem"}'
+    keep = U.keep_candidate(F.col("c"), F.col("t"), ("xem",), {"cp": (["ngon"], ["cong ty"])})
+    rows = [("CP", "CP ngon", True), ("CP", "công ty CP ngon", False), ("cp", "x", False), ("cp", " ", True), ("", "x", False), ("xem", "x", False), ("kem", "x", True), (None, "x", False)]
+    assert [r.k for r in spark.createDataFrame([x[:2] for x in rows], "c string, t string").select(keep.alias("k")).collect()] == [x[2] for x in rows]
+
+
+def test_gazetteer_build_save_load(spark, tmp_path):
+    labels = spark.createDataFrame([("hộp patee gaan", "Pate Gan")] * 3 + [("nước mắm ngon ngon", "Nước Mắm + Pate Gan"), ("hạ giá hạ giá", None), ("", "Bún")], "ocr_text string, product_name string")
+    alias = spark.createDataFrame([("gan xay", "PATE GAN"), ("x", "không có")], "alias string, canonical string")
+    built = Z.build(labels, "ocr_text", "product_name", alias, spark.createDataFrame([("Freeship",), ("pate",), ("1",)], "token string"), least_df=1, most_ratio=0.5)
+    e = {r.canonical_key: r for r in built["entries"].collect()}
+    assert set(e) == {"pate gan", "nước mắm", "nước mắm pate gan", "bún"} and e["pate gan"].surface_variants == ["gan xay", "patee gaan"] and e["pate gan"].frequency_prior == 4
+    Z.save(built, str(tmp_path / "g"))
+    back = Z.load(spark, str(tmp_path / "g"))
+    assert {k: df.count() for k, df in back.items()} == {k: df.count() for k, df in built.items()} and back["metadata"].first().n_entries == 4
+    assert {r.token for r in back["fillers"].collect()} == {"hạ", "giá", "freeship"}
+    assert {r.kind for r in back["index"].collect()} == set(L.KINDS)

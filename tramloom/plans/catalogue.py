@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tramloom.functions import similarity, text as X
 from tramloom.operators import candidates as C, gate as G, gazetteer as Z, linker as L, metrics as M, ocr_quality as Q, predict as P, router as R, rules as U, segments as S
 from tramloom.plans import sql as Y
-from tramloom.sources.tables import table
+from tramloom.sources.tables import table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -352,33 +352,41 @@ def context_hits(spark: SparkSession, d: str) -> DataFrame:
 # ---- gate -------------------------------------------------------------------------------------------------------
 
 
+ANCHORS, AGAINST, FOR = ["kem", "sua", "tra", "bun", "snack"], ["tuyen dung", "khuyen mai", "giao hang"], ["thanh phan", "han dung", "bao quan"]
+
+
 def _linked(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates linked by their exact key, with a margin from their token count and the gate's score."""
-    c = table(spark, d, "product_candidates")
-    e = table(spark, d, "gazetteer_entries").select("entry_id", F.col("canonical_key").alias("normalized_key"), "frequency_prior", "item_count", "folded_token_keys")
-    j = c.join(e, "normalized_key")
-    margin = (F.col("token_count") * 2).cast("double")
-    kind = F.when(F.col("source") == "ngram", "fuzzy_partial").otherwise("exact")
-    score = F.when(F.col("source") == "ngram", 92.0).otherwise(100.0)
-    top = e.agg(F.max("frequency_prior").alias("most"))
-    j = j.join(F.broadcast(top)).withColumn("match_score", score).withColumn("margin", margin).withColumn("match_type", kind).withColumn("is_strong", F.col("match_score") >= 94)
-    g = G.gate_score(F.col("match_score"), F.col("margin"), F.col("structure_score"), F.col("source"), F.col("ocr_conf"), F.col("variant_support_count"), F.col("position_score"), F.col("frequency_prior"), F.col("most"), F.col("match_type"))
-    return j.withColumn("gate_score", g).withColumnRenamed("candidate_id", "seq")
-
-
-_LINKED = """SELECT seq, image_id, entry_id, source, line_index, match_score, margin, match_type, match_score >= 94 AS is_strong, item_count, folded_token_keys, round(CAST(least(greatest(0.42::DOUBLE * match_score / 100 + 0.14::DOUBLE * least(greatest(margin / 12, 0), 1) + 0.10::DOUBLE * coalesce(structure_score, 0.60) + 0.08::DOUBLE * CASE source WHEN 'line' THEN 1.0 WHEN 'whole_line' THEN 0.95 WHEN 'segment' THEN 0.85 WHEN 'ngram' THEN 0.70 ELSE 0.60 END::DOUBLE
- + 0.08::DOUBLE * CASE WHEN ocr_conf IS NULL THEN 0.65::DOUBLE WHEN ocr_conf <= 0 THEN 0.55::DOUBLE ELSE least(ocr_conf, 1) END + 0.05::DOUBLE * CASE WHEN coalesce(variant_support_count, 0) < 2 THEN 0 ELSE least(variant_support_count / 3.0::DOUBLE, 1) END
- + 0.04::DOUBLE * CASE WHEN position_score IS NULL OR position_score <= 0 THEN 0.50::DOUBLE ELSE least(position_score, 1) END + 0.04::DOUBLE * CASE WHEN frequency_prior > 0 THEN least(greatest(ln(1 + frequency_prior) / ln(1 + most), 0), 1) ELSE 0 END
- - CASE WHEN match_type = 'fuzzy_partial' THEN 0.04::DOUBLE ELSE 0 END - CASE WHEN margin < 3 AND match_type <> 'exact' THEN 0.06::DOUBLE ELSE 0 END, 0), 1) AS DECIMAL(18, 9)), 4)::DOUBLE AS gate_score
- FROM (SELECT c.*, c.candidate_id AS seq, e.entry_id, e.frequency_prior, e.item_count, e.folded_token_keys, (c.token_count * 2)::DOUBLE AS margin, CASE WHEN source = 'ngram' THEN 'fuzzy_partial' ELSE 'exact' END AS match_type, CASE WHEN source = 'ngram' THEN 92.0 ELSE 100.0 END::DOUBLE AS match_score, (SELECT max(frequency_prior) FROM gazetteer_entries) AS most
- FROM product_candidates c JOIN gazetteer_entries e ON c.normalized_key = e.canonical_key)"""
-_EVID = f"""SELECT image_id, entry_id, max(gate_score) AS gate_score, arg_max(match_score, (gate_score, -seq)) AS match_score, arg_max(margin, (gate_score, -seq)) AS margin, arg_max(match_type, (gate_score, -seq)) AS match_type, arg_max(is_strong, (gate_score, -seq)) AS is_strong, count(*) AS support, count(DISTINCT source) AS n_sources, min(line_index) AS first_line, any_value(item_count) AS item_count, any_value(folded_token_keys) AS words FROM ({_LINKED}) GROUP BY 1, 2"""
-_QUAL = "match_score >= 88 AND (match_type = 'exact' OR margin >= 5) AND (is_strong OR margin >= 8) AND gate_score >= CASE WHEN is_strong THEN 0.72 ELSE 0.82 END"
-
-
-@query(f"SELECT seq AS candidate_id, gate_score FROM ({_LINKED})")
+    """Candidates linked by the exact tiers, with margin, agreement of variants, context and the gate's score."""
+    c = table(spark, d, "product_candidates", ["candidate_id", "image_id", "variant_name", "source", "clean_text", "normalized_key", "line_index", "ocr_conf", "position_score", "structure_score"])
+    e = table(spark, d, "gazetteer_entries")
+    j = L.link(c, e, cfg=L.LinkConfig(fuzzy=False)).where("matched").withColumnsRenamed({"score": "match_score", "candidate_id": "seq"})
+    agree = C.agreement(c, "image_id", "normalized_key", "variant_name").select("image_id", "normalized_key", "agreement", "available")
+    j = j.join(agree, ["image_id", "normalized_key"], "left").join(G.context(c, "image_id", ["clean_text"], AGAINST, FOR), "image_id")
+    j = j.join(F.broadcast(e.agg(F.max("frequency_prior").alias("most")))).withColumn("words", F.array_distinct(F.split(X.fold_key(F.col("key")), " ")))  # one row
+    g = G.gate_score(F.col("match_score"), F.col("margin"), F.col("structure_score"), F.col("source"), F.col("ocr_conf"), F.col("agreement"), F.col("available"), F.col("position_score"), F.col("prior"), F.col("most"), F.col("match_type"), F.col("positive"), F.col("negative"))
+    own = G.specific(F.col("match_type"), F.col("match_score"), F.col("folded_overlap"), F.col("candidate_coverage"), F.col("words"), ANCHORS)
+    return j.withColumn("gate_score", g).withColumn("specific", own)
+
+
+_TIERS = f"""(WITH p AS (SELECT key, {Y.fold_key('key')} AS folded FROM {_PHR} WHERE key <> ''), e AS (SELECT *, coalesce(surface_variants, []) AS sv FROM gazetteer_entries),
+h AS (SELECT p.key, e.entry_id, 100.0 AS s FROM p JOIN e ON p.key = e.canonical_key UNION ALL SELECT p.key, x.entry_id, 99.0 FROM p JOIN (SELECT entry_id, {Y.key('v', compose=False)} AS k FROM (SELECT entry_id, unnest(sv) AS v FROM e)) x ON p.key = x.k
+ UNION ALL SELECT p.key, e.entry_id, 98.0 FROM p JOIN e ON p.folded = e.folded_key UNION ALL SELECT p.key, x.entry_id, 97.0 FROM p JOIN (SELECT entry_id, unnest(folded_surface_keys) AS k FROM e) x ON p.folded = x.k),
+b AS (SELECT key, entry_id, max(s)::DOUBLE AS score FROM h GROUP BY 1, 2), o AS (SELECT b.*, len(list_intersect(list_distinct(string_split(p.folded, ' ')), e.folded_token_keys)) AS ov, len(list_distinct(string_split(p.folded, ' '))) AS pn, len(e.folded_token_keys) AS en, e.frequency_prior, e.canonical_display FROM b JOIN p USING (key) JOIN e USING (entry_id)),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nxt FROM o WINDOW w AS (PARTITION BY key ORDER BY score DESC, ov DESC, round(ov / greatest(pn, 1)::DOUBLE, 4) DESC, round(ov / greatest(en, 1)::DOUBLE, 4) DESC, frequency_prior DESC, canonical_display DESC, entry_id))
+SELECT key, entry_id, score AS match_score, round(score - coalesce(nxt, 0), 4) AS margin, CASE score WHEN 100 THEN 'exact' WHEN 99 THEN 'surface_exact' WHEN 98 THEN 'folded_exact' ELSE 'surface_folded' END AS match_type, frequency_prior AS prior FROM r WHERE k = 1)"""
+_CTX = f"""(SELECT image_id, len(list_distinct(flatten(list(list_filter([{', '.join(Y.rx(x) for x in AGAINST)}], lambda q: contains(t, q)))))) AS negative, len(list_distinct(flatten(list(list_filter([{', '.join(Y.rx(x) for x in FOR)}], lambda q: contains(t, q)))))) AS positive FROM (SELECT image_id, {Y.rule_text('clean_text')} AS t FROM product_candidates) GROUP BY 1)"""
+_LINKED = f"""SELECT seq, image_id, entry_id, source, line_index, words, match_score, margin, match_type, match_score >= 94 AS is_strong, true AS specific, negative, round(CAST(least(greatest(0.42::DOUBLE * match_score / 100 + 0.14::DOUBLE * least(greatest(margin / 12, 0), 1) + 0.10::DOUBLE * coalesce(structure_score, 0.60) + 0.08::DOUBLE * CASE source WHEN 'line' THEN 1.0 WHEN 'whole_line' THEN 0.95 WHEN 'segment' THEN 0.85 WHEN 'ngram' THEN 0.70 ELSE 0.60 END::DOUBLE
+ + 0.08::DOUBLE * CASE WHEN ocr_conf IS NULL THEN 0.65::DOUBLE WHEN ocr_conf <= 0 THEN 0.55::DOUBLE ELSE least(ocr_conf, 1) END + 0.05::DOUBLE * CASE WHEN coalesce(available, 0) < 2 THEN 0 ELSE least(greatest(coalesce(agreement, 0), 0), 1) END
+ + 0.04::DOUBLE * CASE WHEN position_score IS NULL OR position_score <= 0 THEN 0.50::DOUBLE ELSE least(position_score, 1) END + 0.04::DOUBLE * CASE WHEN prior > 0 THEN least(greatest(ln(1 + prior) / ln(1 + most), 0), 1) ELSE 0 END
+ + 0.05::DOUBLE * least(positive / 3.0::DOUBLE, 1) - least(0.06::DOUBLE * negative, 0.24::DOUBLE), 0), 1) AS DECIMAL(18, 9)), 4)::DOUBLE AS gate_score
+ FROM (SELECT c.*, c.candidate_id AS seq, t.*, list_distinct(string_split({Y.fold_key('t.key')}, ' ')) AS words, a.agreement, a.available, x.negative, x.positive, (SELECT max(frequency_prior) FROM gazetteer_entries) AS most
+ FROM (SELECT *, {Y.key('clean_text')} AS ck FROM product_candidates) c JOIN {_TIERS} t ON c.ck = t.key LEFT JOIN ({SQL['variant_support']}) a ON c.image_id = a.image_id AND c.normalized_key = a.normalized_key JOIN {_CTX} x ON c.image_id = x.image_id)"""
+_EVID = f"""SELECT v.*, coalesce(item_count, 1) AS item_count, coalesce(folded_token_keys, []) AS words, coalesce(frequency_prior, 0) AS prior, match_score >= 88 AND (is_strong OR margin >= 8) AND gate_score >= CASE WHEN is_strong THEN 0.72 ELSE 0.82 END AS ok FROM (SELECT image_id, entry_id, max(gate_score) AS gate_score, arg_max(match_score, (gate_score, -seq)) AS match_score, arg_max(margin, (gate_score, -seq)) AS margin, arg_max(match_type, (gate_score, -seq)) AS match_type, arg_max(is_strong, (gate_score, -seq)) AS is_strong, count(*) AS support, count(DISTINCT source) AS n_sources, min(line_index) AS first_line, any_value(negative) AS negative FROM ({_LINKED}) GROUP BY 1, 2) v JOIN gazetteer_entries USING (entry_id)"""
+
+
+@query(f"SELECT seq AS candidate_id, entry_id, margin, match_type, gate_score FROM ({_LINKED})")
 def gate_score(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d).select(F.col("seq").alias("candidate_id"), "gate_score")
+    return _linked(spark, d).select(F.col("seq").alias("candidate_id"), "entry_id", "margin", "match_type", "gate_score")
 
 
 @query(f"SELECT image_id, entry_id, gate_score, match_type, support, n_sources, first_line FROM ({_EVID})")
@@ -387,45 +395,73 @@ def entry_evidence(spark: SparkSession, d: str) -> DataFrame:
     return e.select("image_id", "entry_id", "gate_score", "match_type", "support", "n_sources", "first_line")
 
 
-@query(f"SELECT image_id, entry_id FROM ({_EVID}) WHERE {_QUAL}")
+@query(f"SELECT image_id, entry_id FROM ({_EVID}) WHERE ok")
 def entry_qualify(spark: SparkSession, d: str) -> DataFrame:
     return G.evidence(_linked(spark, d), "image_id").where(G.qualifies()).select("image_id", "entry_id")
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "gazetteer_entries", ["entry_id", "item_count", "folded_token_keys", "canonical_display"])
-    return G.evidence(_linked(spark, d), "image_id").join(e, "entry_id")
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Evidence with the entries' facts, and the pool of words, of each image; the links are written once."""
+    linked = written(_linked(spark, d).select("image_id", "entry_id", "seq", "source", "line_index", "words", "gate_score", "match_score", "margin", "match_type", "is_strong", "specific"))
+    facts = table(spark, d, "gazetteer_entries").select("entry_id", F.coalesce("item_count", F.lit(1)).alias("item_count"), F.coalesce("folded_token_keys", F.array().cast("array<string>")).alias("words"), F.coalesce("frequency_prior", F.lit(0)).alias("prior"))
+    return G.evidence(linked, "image_id").join(facts, "entry_id"), G.token_pool(linked, "image_id", "words")
 
 
-_SINGLE = f"(SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY first_line NULLS LAST, gate_score DESC, entry_id) AS k FROM ({_EVID}) WHERE {_QUAL} AND item_count <= 1)"
-_FULL = f"(SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gate_score DESC, match_score DESC, entry_id) AS k FROM ({_EVID}) WHERE {_QUAL} AND item_count > 1)"
-_CHOSEN = f"""SELECT image_id, CASE WHEN f.entry_id IS NOT NULL THEN 'full' WHEN n > 1 THEN 'multi' ELSE 'single' END AS mode, coalesce(f.entry_id, ids) AS chosen FROM (SELECT image_id, entry_id FROM {_FULL} WHERE k = 1) f
- FULL JOIN (SELECT image_id, string_agg(entry_id, ',' ORDER BY k) AS ids, count(*) AS n FROM {_SINGLE} WHERE k <= 4 GROUP BY 1) s USING (image_id)"""
+_DEDUP = """SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.image_id = a.image_id AND b.k < a.k AND list_has_all(b.words, a.words))"""
+_CHOSEN = f"""(WITH v AS ({_EVID}), pool AS (SELECT image_id, list_distinct(flatten(list(words))) AS pool FROM ({_LINKED}) GROUP BY 1),
+f AS (SELECT v.*, len(list_intersect(v.words, pool)) / len(v.words)::DOUBLE AS cov, (SELECT count(*) FROM v a WHERE a.image_id = v.image_id AND a.ok AND a.entry_id <> v.entry_id AND len(a.words) > 0 AND list_has_all(v.words, a.words)) AS parts FROM v JOIN pool USING (image_id) WHERE item_count > 1 AND len(v.words) > 0),
+f1 AS (SELECT image_id, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cov DESC, len(words) DESC, match_score DESC, entry_id DESC) AS k FROM f WHERE ok OR (match_score >= 88 AND cov >= 0.7 AND parts >= 2)) WHERE k = 1),
+a AS (WITH s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY len(words) DESC, prior DESC, gate_score DESC, entry_id DESC) AS k FROM v WHERE ok AND item_count <= 1) {_DEDUP}),
+m AS (SELECT image_id, string_agg(entry_id, ',' ORDER BY k2) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY first_line NULLS LAST, gate_score DESC, entry_id) AS k2, count(*) OVER (PARTITION BY image_id) AS c FROM a) WHERE c > 1 AND k2 <= 4 GROUP BY 1),
+o AS (SELECT image_id, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gate_score DESC, match_score DESC, prior DESC, entry_id DESC) AS k3 FROM (WITH s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY len(words) DESC, prior DESC, gate_score DESC, entry_id DESC) AS k FROM v WHERE ok) {_DEDUP})) WHERE k3 = 1)
+SELECT i.image_id, CASE WHEN f1.entry_id IS NOT NULL THEN 'full' WHEN m.ids IS NOT NULL THEN 'multi' ELSE 'single' END AS mode, coalesce(f1.entry_id, m.ids, o.entry_id) AS chosen FROM (SELECT DISTINCT image_id FROM v) i LEFT JOIN f1 USING (image_id) LEFT JOIN m USING (image_id) LEFT JOIN o USING (image_id) WHERE coalesce(f1.entry_id, m.ids, o.entry_id) IS NOT NULL)"""
 
 
-@query(_CHOSEN)
+@query(f"SELECT * FROM {_CHOSEN}")
 def full_vs_compose(spark: SparkSession, d: str) -> DataFrame:
-    return G.choose(_evidence(spark, d), "image_id").select("image_id", "mode", F.array_join("chosen", ",").alias("chosen"))
+    e, pool = _evidence(spark, d)
+    return G.choose(e, "image_id", pool).select("image_id", "mode", F.array_join("chosen", ",").alias("chosen"))
 
 
-@query(f"SELECT a.image_id, a.entry_id FROM (SELECT *, row_number() OVER w AS r FROM ({_EVID}) WINDOW w AS (PARTITION BY image_id ORDER BY support DESC, gate_score DESC, entry_id DESC)) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER w AS r FROM ({_EVID}) WINDOW w AS (PARTITION BY image_id ORDER BY support DESC, gate_score DESC, entry_id DESC)) b WHERE b.image_id = a.image_id AND b.r < a.r AND list_has_all(b.words, a.words))")
+@query(f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY len(words) DESC, prior DESC, gate_score DESC, entry_id DESC) AS k FROM ({_EVID})) SELECT image_id, entry_id FROM ({_DEDUP})")
 def subset_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return G.drop_subsets(_evidence(spark, d), "image_id", "folded_token_keys", ["support", "gate_score", "entry_id"]).select("image_id", "entry_id")
+    e, _ = _evidence(spark, d)
+    return G.drop_subsets(e.withColumn("n", F.size("words")), "image_id", "words", ["n", "prior", "gate_score", "entry_id"]).select("image_id", "entry_id")
+
+
+@query(f"SELECT image_id, array_to_string(list_sort(list_distinct(flatten(list(words)))), ',') AS pool FROM ({_LINKED}) GROUP BY 1")
+def token_pool(spark: SparkSession, d: str) -> DataFrame:
+    return G.token_pool(_linked(spark, d), "image_id", "words").select("image_id", F.array_join(F.array_sort("pool"), ",").alias("pool"))
+
+
+@query(f"SELECT image_id, negative, positive FROM {_CTX}")
+def context_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return G.context(table(spark, d, "product_candidates", ["image_id", "clean_text"]), "image_id", ["clean_text"], AGAINST, FOR).select("image_id", F.col("negative").cast("long").alias("negative"), F.col("positive").cast("long").alias("positive"))
+
+
+_TEXTS = f"(SELECT image_id, norm FROM (SELECT image_id, trim(string_agg({Y.rule_text('text')}, ' ' ORDER BY variant_name, line_index NULLS FIRST, line_id)) AS norm FROM ocr_lines WHERE text IS NOT NULL GROUP BY 1) WHERE norm <> '')"
+_BEST = f"""(SELECT image_id, canonical, priority FROM (SELECT image_id, canonical, priority, row_number() OVER (PARTITION BY image_id ORDER BY priority DESC, score DESC, length(canonical) DESC, rule) AS k FROM {_TEXTS} t JOIN (VALUES {_VALUES}) r(rule, priority, score, canonical, seq, pattern) ON regexp_matches(norm, pattern)) WHERE k = 1)"""
+
+
+def _image_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The best rule's hit of each image, over all of its lines."""
+    lines = table(spark, d, "ocr_lines", ["image_id", "variant_name", "line_index", "line_id", "text"]).where("text is not null")
+    text = lines.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_name", "line_index", "line_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return U.resolve(U.hits(text, "image_id", "text", U.registry(spark, RULES)), "image_id")
 
 
-@query(f"""WITH o AS (SELECT image_id, min(canonical_display) AS override FROM ocr_lines l JOIN gazetteer_entries e ON {Y.key('l.text')} = e.canonical_key AND e.item_count > 1 GROUP BY 1)
-SELECT i.image_id, CASE WHEN override IS NOT NULL THEN 'rule' WHEN mode IS NOT NULL THEN mode ELSE 'no_match' END AS reason, coalesce(override, chosen, '') AS chosen FROM (SELECT DISTINCT image_id FROM ocr_lines) i LEFT JOIN o USING (image_id) LEFT JOIN ({_CHOSEN}) c USING (image_id)""")
+@query(f"""SELECT i.image_id, CASE WHEN b.priority >= 90 THEN 'rule' WHEN mode IS NOT NULL THEN mode ELSE 'no_match' END AS reason, CASE WHEN b.priority >= 90 THEN b.canonical ELSE coalesce(chosen, '') END AS chosen FROM (SELECT DISTINCT image_id FROM ocr_lines) i LEFT JOIN {_BEST} b USING (image_id) LEFT JOIN {_CHOSEN} c USING (image_id)""")
 def gate_decision(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "ocr_lines", ["image_id", "text"])
-    multi = table(spark, d, "gazetteer_entries").where("item_count > 1").select(F.col("canonical_key").alias("k"), F.col("canonical_display").alias("canonical"))
-    over = lines.select("image_id", X.key(F.col("text")).alias("k")).join(multi, "k").groupBy("image_id").agg(F.min("canonical").alias("canonical"))
-    out = G.decide(lines, G.choose(_evidence(spark, d), "image_id"), over, "image_id")
+    e, pool = _evidence(spark, d)
+    out = G.decide(table(spark, d, "ocr_lines", ["image_id"]), G.choose(e, "image_id", pool), _image_rules(spark, d), "image_id", G.context(table(spark, d, "product_candidates", ["image_id", "clean_text"]), "image_id", ["clean_text"], AGAINST, FOR))
     return out.select("image_id", "reason", F.array_join("chosen", ",").alias("chosen"))
 
 
-@query("SELECT DISTINCT image_id FROM ocr_lines WHERE image_id NOT IN (SELECT image_id FROM product_candidates WHERE image_id IS NOT NULL)")
+@query(f"SELECT image_id, canonical FROM {_BEST} WHERE priority >= 90 AND image_id NOT IN (SELECT image_id FROM {_CHOSEN})")
 def rescue_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return P.not_cached(table(spark, d, "ocr_lines", ["image_id"]), table(spark, d, "product_candidates", ["image_id"]), "image_id")
+    """Images without a chosen entry that a strong rule names."""
+    e, pool = _evidence(spark, d)
+    return G.rescued(table(spark, d, "ocr_lines", ["image_id"]), G.choose(e, "image_id", pool), _image_rules(spark, d), "image_id")
 
 
 @query("SELECT image_id FROM (SELECT DISTINCT image_id FROM train_labels) ANTI JOIN ocr_selections USING (image_id)")
@@ -440,12 +476,13 @@ def final_names(spark: SparkSession, d: str) -> DataFrame:
     return named.select("label_id", P.final_names(S.product_items(F.col("n"))).alias("final_name"))
 
 
-_SUB = f"""SELECT i.image_id, coalesce(t.ocr_text, '') AS ocr_text, coalesce(c.chosen, '') AS product_name FROM (SELECT DISTINCT image_id FROM train_labels) i LEFT JOIN (SELECT image_id, arg_max(ocr_text, (length(ocr_text), ocr_text)) AS ocr_text FROM train_labels WHERE ocr_text IS NOT NULL GROUP BY 1) t USING (image_id) LEFT JOIN ({_CHOSEN}) c USING (image_id)"""
+_SUB = f"""SELECT i.image_id, coalesce(t.ocr_text, '') AS ocr_text, coalesce(c.chosen, '') AS product_name FROM (SELECT DISTINCT image_id FROM train_labels) i LEFT JOIN (SELECT image_id, arg_max(ocr_text, (length(ocr_text), ocr_text)) AS ocr_text FROM train_labels WHERE ocr_text IS NOT NULL GROUP BY 1) t USING (image_id) LEFT JOIN {_CHOSEN} c USING (image_id)"""
 
 
 def _submission(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "train_labels", ["image_id", "ocr_text"])
-    chosen = G.choose(_evidence(spark, d), "image_id").select("image_id", F.array_join("chosen", ",").alias("product_name"))
+    e, pool = _evidence(spark, d)
+    chosen = G.choose(e, "image_id", pool).select("image_id", F.array_join("chosen", ",").alias("product_name"))
     return P.submission(labels, chosen, labels.where("ocr_text is not null"), "image_id")
 
 

@@ -59,26 +59,33 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     return best.withColumn("structure_score", C.structure_score(F.col("clean_text"), F.col("source"))).withColumn("token_count", F.size(X.tokens(F.col("clean_text"))))
 
 
-def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig(), fillers: DataFrame | None = None) -> DataFrame:
+def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig(), fillers: DataFrame | None = None, negative: list[str] | None = None, positive: list[str] | None = None, anchors: list[str] | None = None, generic: list[str] | None = None) -> DataFrame:
     """(image_id, emit, reason, product_name) of read lines: candidates without ``fillers``, links, evidence, gate, final
-    names."""
+    names. The lexicons of the gate are the caller's data; none is built in."""
     c = checkpointed(generate_candidates(lines, fillers))  # read by the distinct phrases and by the join with their matches
+    told = G.context(c, "image_id", ["clean_text"], negative or [], positive or []) if negative or positive else None
     linked = L.link(c, entries, "clean_text", link).where("matched")
     top = entries.agg(F.max("frequency_prior").alias("most"))
     linked = linked.join(F.broadcast(top)).withColumnRenamed("score", "match_score")  # one row
-    score = G.gate_score(F.col("match_score"), F.col("margin"), F.col("structure_score"), F.col("source"), F.col("conf"), F.col("support"), F.lit(None).cast("double"), F.col("prior"), F.col("most"), F.col("match_type"), gate)
-    evidence = G.evidence(linked.withColumn("gate_score", score), "image_id").join(entries.select("entry_id", F.coalesce("item_count", F.lit(1)).alias("item_count"), "folded_token_keys"), "entry_id")
-    # one small row an image and entry, behind all similarity scores; both ways of choosing read it
-    kept = checkpointed(G.drop_subsets(evidence, "image_id", "folded_token_keys", ["gate_score", "match_score", "entry_id"]))
-    chosen = G.choose(kept, "image_id", gate)
-    names = chosen.select("image_id", "mode", F.posexplode("chosen").alias("pos", "entry_id")).join(entries.select("entry_id", "canonical_display"), "entry_id")
-    names = names.groupBy("image_id", "mode").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical_display"))), lambda x: x["canonical_display"]).alias("chosen"))
-    if rules is not None:
-        text = lines.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "line_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
-        over = U.resolve(U.hits(text, "image_id", "text", rules), "image_id").where("priority >= 90").select("image_id", "canonical")
+    if told is not None:
+        linked = linked.join(told, "image_id", "left")
     else:
-        over = lines.select("image_id", F.lit(None).cast("string").alias("canonical")).limit(0)
-    out = G.decide(lines, names, over, "image_id")
+        linked = linked.withColumn("positive", F.lit(0)).withColumn("negative", F.lit(0))
+    words = F.array_distinct(F.split(X.fold_key(F.col("key")), " "))
+    score = G.gate_score(F.col("match_score"), F.col("margin"), F.col("structure_score"), F.col("source"), F.col("conf"), F.col("agreement"), F.col("available"), F.lit(None).cast("double"), F.col("prior"), F.col("most"), F.col("match_type"), F.col("positive"), F.col("negative"), gate)
+    own = G.specific(F.col("match_type"), F.col("match_score"), F.col("folded_overlap"), F.col("candidate_coverage"), F.col("words"), anchors or [])
+    # one row a matched phrase, behind all similarity scores; evidence and pool read it
+    linked = checkpointed(linked.withColumn("words", words).withColumn("gate_score", score).withColumn("specific", own).select("image_id", "entry_id", "seq", "source", "line_index", "words", "gate_score", "match_score", "margin", "match_type", "is_strong", "specific"))
+    facts = entries.select("entry_id", F.coalesce("item_count", F.lit(1)).alias("item_count"), F.coalesce("folded_token_keys", F.array().cast("array<string>")).alias("words"), F.coalesce("frequency_prior", F.lit(0)).alias("prior"))
+    chosen = G.choose(checkpointed(G.evidence(linked, "image_id").join(facts, "entry_id")), "image_id", G.token_pool(linked, "image_id", "words"), gate)
+    names = chosen.select("image_id", F.posexplode("chosen").alias("pos", "entry_id")).join(entries.select("entry_id", "canonical_display"), "entry_id")
+    names = names.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical_display"))), lambda x: x["canonical_display"]).alias("names"))
+    chosen = chosen.join(names, "image_id").drop("chosen").withColumnRenamed("names", "chosen")
+    text = lines.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "line_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    none = lines.select("image_id", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("int").alias("priority")).limit(0)
+    over = U.resolve(U.hits(text, "image_id", "text", rules), "image_id") if rules is not None else none
+    topic = text.where(U.in_context(F.col("text"), generic, [])).select("image_id") if generic else None
+    out = G.decide(lines, chosen, over, "image_id", told, topic, gate)
     return out.select("image_id", "emit", "reason", P.final_names(F.col("chosen")).alias("product_name"))
 
 
