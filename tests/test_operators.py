@@ -103,7 +103,17 @@ def test_similarity():
     for i, (x, y) in enumerate(zip(a[:503], b[:503])):
         words = lambda t: " ".join(sorted(t.split()))
         all_ = [min(cap, f(p, q)) for (name, cap), f in zip(similarity.CAPS.items(), [sets, part, lambda p, q: plain_ratio(words(p), words(q)), plain_ratio] * 2) for p, q in ([(y, x)] if name.startswith("folded") else [(x, y)])]
-        assert abs(best[i] - max(all_)) < 1e-9 and all_[kind[i]] >= max(all_) - 1e-9
+        assert abs(best[i] - max(all_)) < 1e-9 and (kind[i] == all_.index(max(all_)) or not x or not y)
+    few = [r.choice(a[:20]) for _ in range(800)]
+    other = [r.choice(b[:200]) for _ in few]
+    whole, kinds = similarity.best_kinds(few, other, few, other)
+    for top in (1, 2, 5):
+        part, part_kinds = similarity.best_kinds(few, other, few, other, top)
+        for x in set(few):
+            at = [i for i, y in enumerate(few) if y == x]
+            first = sorted(at, key=lambda i: -whole[i])[:top]
+            least = whole[first[-1]]
+            assert all(part[i] == whole[i] and part_kinds[i] == kinds[i] if whole[i] >= least else part[i] < least for i in at)
     assert similarity.ratios([], []).tolist() == similarity.parts([], []).tolist() == []
 
 

@@ -12,17 +12,13 @@ from tramloom.functions.blocks import AUTOJUNK, common_at, letters, ratios
 Texts = list[str]
 
 
-def parts(a: Texts, b: Texts, enough: np.ndarray | None = None) -> np.ndarray:
-    """Best ratio of each pair's shorter text with any stretch of the longer one of its length. A pair for which
-    ``enough`` can't be passed even if every letter that both texts have were in place isn't looked at."""
+def parts(a: Texts, b: Texts) -> np.ndarray:
+    """Best ratio of each pair's shorter text with any stretch of the longer one of its length."""
     out = np.zeros(len(a))
     swap = [len(x) > len(y) for x, y in zip(a, b)]
     x, y = [q if s else p for p, q, s in zip(a, b, swap)], [p if s else q for p, q, s in zip(a, b, swap)]
     (fx, sx, lx), (fy, sy, ly) = letters(x), letters(y)
-    at = np.array([bool(t.strip()) for t in x], bool)
-    if enough is not None:
-        at &= bags(a, b) * 100 > enough * np.maximum(lx, 1)
-    at = np.flatnonzero(at)
+    at = np.flatnonzero(np.array([bool(t.strip()) for t in x], bool))
     big = lx[at] >= AUTOJUNK
     for i in at[big].tolist():
         out[i] = ratios([x[i]] * int(ly[i] - lx[i] + 1), [y[i][k : k + len(x[i])] for k in range(ly[i] - lx[i] + 1)]).max()
@@ -89,21 +85,42 @@ CAPS = {"fuzzy_token_set": 96.0, "fuzzy_partial": 95.0, "fuzzy_token_sort": 94.0
 SINGLE_TOKEN_CAP = 84.0
 
 
-def best_kinds(a: Texts, b: Texts, fa: Texts, fb: Texts) -> tuple[np.ndarray, np.ndarray]:
+#: Cheap kinds come first; what they find often settles a pair before its stretches are compared.
+ORDER = [0, 4, 3, 7, 2, 6, 1, 5]
+
+
+def best_kinds(a: Texts, b: Texts, fa: Texts, fb: Texts, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The highest capped score of each pair and the number of its kind, the first of equals. A kind is worked out only
-    for the pairs where its cap and the letters that both texts have leave room above the score so far; folded texts
-    equal to the plain ones give no more than those."""
-    best, kind = np.full(len(a), -1.0), np.zeros(len(a), np.int64)
+    for the pairs where its cap and the letters that both texts have leave room for more; folded texts equal to the
+    plain ones give no more than those.
+
+    With ``top``, only the first ``top`` pairs of each text in ``a`` need their exact score: stretches aren't compared
+    where they can't lift a pair to the ``top``-th score found so far, and its score is then a lower bound below it."""
+    best, kind = np.full(len(a), -1.0), np.full(len(a), len(CAPS))
+    if not len(a):
+        return best, kind
+    names = list(CAPS)
     same = np.array([(x, y) == (p, q) for x, y, p, q in zip(a, b, fa, fb)], bool)
-    room: dict[bool, np.ndarray] = {}
-    for k, (name, cap) in enumerate(CAPS.items()):
-        folded = name.startswith("folded")
+    shared = {f: bags(x, y) for f, x, y in ((False, a, b), (True, fa, fb))}
+    sizes = {f: (np.array([len(t) for t in x]), np.array([len(t) for t in y])) for f, x, y in ((False, a, b), (True, fa, fb))}
+    number: dict[str, int] = {}
+    group = np.array([number.setdefault(t, len(number)) for t in a])
+    for k in ORDER:
+        name, cap = names[k], CAPS[names[k]]
+        folded = k >= 4
         x, y = (fa, fb) if folded else (a, b)
-        if folded not in room:
-            room[folded] = 200.0 * bags(x, y) / np.maximum(1, [len(p) + len(q) for p, q in zip(x, y)])
-        open_ = (best < cap) & ~(same & folded)
-        if name.endswith("ratio") or name.endswith("sort"):
-            open_ &= room[folded] > best
+        (m, n), bag = sizes[folded], shared[folded]
+        bound = np.full(len(a), cap)
+        if k % 4:
+            whole = np.minimum(m, n) if k % 4 == 1 else (m + n) / 2
+            bound = np.minimum(cap, 100.0 * bag / np.maximum(whole, 1) + 1e-9)
+        open_ = ((bound > best) | ((bound >= best) & (k < kind))) & ~(same & folded)
+        if top and k % 4 == 1:
+            ranked = np.lexsort((-best, group))
+            first = np.searchsorted(group[ranked], np.arange(len(number)))
+            count = np.bincount(group, minlength=len(number))
+            least = np.where(count >= top, best[ranked[np.minimum(first + top - 1, len(a) - 1)]], -1.0)
+            open_ &= bound >= least[group]
         at = np.flatnonzero(open_)
         if not len(at):
             continue
@@ -111,26 +128,33 @@ def best_kinds(a: Texts, b: Texts, fa: Texts, fb: Texts) -> tuple[np.ndarray, np
         if name.endswith("set"):
             value = word_sets(p, q)
         elif name.endswith("partial"):
-            value = parts(p, q, best[at])
+            value = parts(p, q)
         else:
             value = sorted_words(p, q) if name.endswith("sort") else ratios(p, q)
         value = np.minimum(value, cap)
-        more = value > best[at]
+        more = (value > best[at]) | ((value == best[at]) & (k < kind[at]))
         best[at[more]], kind[at[more]] = value[more], k
-    return best, kind
+    return best, np.minimum(kind, len(CAPS) - 1)
+
 
+SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("match_type", T.StringType())])
 
-@pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("match_type", T.StringType())]))
-def _fuzzy(key: pd.Series, other: pd.Series, folded: pd.Series, other_folded: pd.Series) -> pd.DataFrame:
-    a, b, fa, fb = (list(s) for s in (key, other, folded, other_folded))
-    best, kind = best_kinds(a, b, fa, fb)
-    names = np.array(list(CAPS))
-    single = np.array([len(x.split()) == 1 for x in a], bool)
-    none = np.array([not x or not y for x, y in zip(a, b)], bool)
-    score = np.where(none, 0.0, np.where(single, np.minimum(best, SINGLE_TOKEN_CAP), best))
-    return pd.DataFrame({"score": np.round(score, 4), "match_type": np.where(none, "no_score", names[kind])})
+
+def _fuzzy(top: int | None):
+    @pandas_udf(SCORED)
+    def run(key: pd.Series, other: pd.Series, folded: pd.Series, other_folded: pd.Series) -> pd.DataFrame:
+        a, b, fa, fb = (list(s) for s in (key, other, folded, other_folded))
+        best, kind = best_kinds(a, b, fa, fb, top)
+        names = np.array(list(CAPS))
+        single = np.array([len(x.split()) == 1 for x in a], bool)
+        none = np.array([not x or not y for x, y in zip(a, b)], bool)
+        score = np.where(none, 0.0, np.where(single, np.minimum(best, SINGLE_TOKEN_CAP), best))
+        return pd.DataFrame({"score": np.round(score, 4), "match_type": np.where(none, "no_score", names[kind])})
+
+    return run
 
 
-def fuzzy_score(key: Column, other: Column, folded: Column, other_folded: Column) -> Column:
-    """(score, match_type): the best capped similarity of two keys and of their folded forms."""
-    return _fuzzy(F.coalesce(key, F.lit("")), F.coalesce(other, F.lit("")), F.coalesce(folded, F.lit("")), F.coalesce(other_folded, F.lit("")))
+def fuzzy_score(key: Column, other: Column, folded: Column, other_folded: Column, top: int | None = None) -> Column:
+    """(score, match_type): the best capped similarity of two keys and of their folded forms. With ``top`` scores are exact
+    for the first ``top`` pairs of a key, and for others maybe lower bounds below those."""
+    return _fuzzy(top)(F.coalesce(key, F.lit("")), F.coalesce(other, F.lit("")), F.coalesce(folded, F.lit("")), F.coalesce(other_folded, F.lit("")))

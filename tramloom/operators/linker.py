@@ -132,16 +132,16 @@ def exact_tier(key: Column, folded: Column, entry: str = "e") -> Column:
     )
 
 
-def score_pairs(pool: DataFrame, p: DataFrame, entries: DataFrame, similar: bool = True) -> DataFrame:
+def score_pairs(pool: DataFrame, p: DataFrame, entries: DataFrame, similar: bool = True, top: int | None = None) -> DataFrame:
     """Scored pairs (key, entry_id, score, match_type, overlaps and coverages). Only pairs that no exact tier settles
-    go through the similarity UDF."""
+    go through the similarity UDF. With ``top`` the scores behind the first ``top`` of a phrase may be lower bounds."""
     e = with_keys(entries).select("entry_id", F.struct("canonical_key", "folded_key", "surface_keys", "folded_surface_keys", "folded_token_keys", "canonical_display", "frequency_prior").alias("e"))
     pairs = pool.select("key", "entry_id").join(p, "key").join(e, "entry_id").withColumn("tier", exact_tier(F.col("key"), F.col("folded_key")))
     exact = pairs.where("tier is not null").withColumn("s", F.col("tier"))
     # scoring costs far more than a row's bytes tell, so the pairs are spread by number, not by size
     spark = pool.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fuzzy = pairs.where("tier is null").repartition(parts, "key", "entry_id").withColumn("s", fuzzy_score(F.col("key"), F.col("e.canonical_key"), F.col("folded_key"), F.col("e.folded_key")))
+    fuzzy = pairs.where("tier is null").repartition(parts, "key").withColumn("s", fuzzy_score(F.col("key"), F.col("e.canonical_key"), F.col("folded_key"), F.col("e.folded_key"), top))
     both = exact.unionByName(fuzzy) if similar else exact
     overlap = F.size(F.array_intersect("folded_tokens", "e.folded_token_keys"))
     return both.select("key", "entry_id", F.col("s.score").alias("score"), F.col("s.match_type").alias("match_type"), overlap.alias("folded_overlap"), F.round(overlap / F.greatest(F.size("e.folded_token_keys"), F.lit(1)), 4).alias("entry_coverage"), F.round(overlap / F.greatest(F.size("folded_tokens"), F.lit(1)), 4).alias("candidate_coverage"), F.col("e.canonical_display").alias("display"), F.col("e.frequency_prior").alias("prior"))
@@ -167,7 +167,7 @@ def link(candidates: DataFrame, entries: DataFrame, column: str = "clean_text",
 
     Phrases are distinct before retrieval, and the matches come back by a left join on the key."""
     p = phrases(candidates, column)
-    m = best_match(score_pairs(retrieve(p, entries, cfg), p, entries, cfg.fuzzy), cfg)
+    m = best_match(score_pairs(retrieve(p, entries, cfg), p, entries, cfg.fuzzy, max(2, cfg.top)), cfg)
     keyed = candidates.withColumn("key", X.key(F.col(column)))
     out = keyed.join(m, "key", "left")
     return out.fillna({"matched": False, "is_strong": False, "score": 0.0, "second_score": 0.0, "margin": 0.0, "match_type": "no_candidates", "pool": 0})

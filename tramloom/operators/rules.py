@@ -40,8 +40,8 @@ def hits(texts: DataFrame, key: str, column: str, rules: DataFrame) -> DataFrame
 
 
 def resolve(found: DataFrame, key: str) -> DataFrame:
-    """The best hit of each text: by priority, score, length of the name, then rule."""
-    w = Window.partitionBy(key).orderBy(F.desc("priority"), F.desc("score"), F.desc(F.length("canonical")), "rule")
+    """The best hit of each text: by priority, score, length of the name, then rule and name."""
+    w = Window.partitionBy(key).orderBy(F.desc("priority"), F.desc("score"), F.desc(F.length("canonical")), "rule", "canonical")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 

@@ -89,7 +89,7 @@ def contextual_keep(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT doc_id, 'candidate' AS rule, key AS canonical, 80 AS priority, 0.9::DOUBLE AS score FROM ({K.SQL['link_exact']})),
-a AS (SELECT * FROM ({K.SQL['rule_hits']}) UNION ALL SELECT * FROM x), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, score DESC, length(canonical) DESC, rule) AS k FROM a)
+a AS (SELECT * FROM ({K.SQL['rule_hits']}) UNION ALL SELECT * FROM x), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, score DESC, length(canonical) DESC, rule, canonical) AS k FROM a)
 SELECT b.doc_id, rule, canonical, priority, score FROM b JOIN (SELECT doc_id, {Y.rule_text('text')} AS t FROM documents) USING (doc_id) WHERE k = 1 AND (priority >= 95 OR NOT {_any('t', GENERIC)})""")
 def rule_resolver(spark: SparkSession, d: str) -> DataFrame:
     """The best of the rules' hits and of the exact links of each document, generic topics only by strong rules."""

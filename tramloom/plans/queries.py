@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramloom.operators import nested, packed, rules, surfaces
+from tramloom.operators import linker, nested, packed, rules, surfaces
 from tramloom.plans import audits, catalogue, pipeline  # noqa: F401  (audits registers its queries)
 from tramloom.sources.tables import table
 
@@ -44,7 +44,7 @@ def generated_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def predicted_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of all images, from their read lines to the gate's decision."""
-    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, catalogue.RULES), fillers=_fillers(spark, d))
+    return pipeline.predict(pipeline.lines_of(spark, d), table(spark, d, "gazetteer_entries"), rules.registry(spark, catalogue.RULES), link=linker.LinkConfig(top=2), fillers=_fillers(spark, d))
 
 
 def surface_mining(spark: SparkSession, d: str) -> DataFrame:
