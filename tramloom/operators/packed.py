@@ -36,6 +36,12 @@ def _span_pattern() -> str:
 
 SPAN = _span_pattern()
 
+#: What every span begins with.
+OPENING = "[" + "".join(a for a, _ in QUOTES) + f"({OPEN}{CLOSE}]"
+
+#: What every delimiter holds.
+DIVIDING = r"[\r\n\t;；|｜•·、‣◦●,，+＋/／]"
+
 #: List marks and numbers before a value.
 LEADING = rf"^[{BLANK}]*(?:{MARKS}[{BLANK}]+|{MARKS}(?={OPEN}|$))+"
 
@@ -98,9 +104,11 @@ def with_values(df: DataFrame, column: str, to: str = "__values") -> DataFrame:
     df = df.withColumn("__null", F.coalesce((F.col("__text") == "") | F.lower("__text").isin(*NULL_WORDS), F.lit(True)))
     df = df.withColumn("__array", ~F.col("__null") & F.col("__text").rlike(r"^\[\s*(?:[\"'].*[\"']|(?i:none|null|nan))?\s*,?\s*\]$"))
     plain = ~F.col("__null") & ~F.col("__array")
-    df = df.withColumn("__spans", F.when(plain, F.regexp_extract_all("__text", F.lit(f"({SPAN})"), 1)))
+    # a span begins with one of these, so a field without them has none
+    df = df.withColumn("__spans", F.when(plain & F.col("__text").rlike(OPENING), F.regexp_extract_all("__text", F.lit(f"({SPAN})"), 1)))
     df = df.withColumn("__held", F.when(F.size("__spans") > 0, _hold(F.split("__text", SPAN), F.col("__spans"))).when(plain, F.col("__text")))
-    df = df.withColumn("__pieces", F.transform(F.split("__held", DELIMITER), lambda p: _strip(F.regexp_replace(p, LEADING, ""))))
+    cut = F.when(F.col("__held").rlike(DIVIDING), F.split("__held", DELIMITER)).otherwise(F.array("__held"))
+    df = df.withColumn("__pieces", F.transform(cut, lambda p: _strip(F.regexp_replace(p, LEADING, ""))))
     df = df.withColumn("__pieces", F.when(F.size("__spans") > 0, F.transform("__pieces", lambda p: F.when(p.contains(OPEN), _strip(_restore(p, F.col("__spans")))).otherwise(p))).otherwise(F.col("__pieces")))
     df = df.withColumn("__items", F.when(F.col("__array"), _array_items(F.col("__text"))).otherwise(F.transform("__pieces", _unquote)))
     values = F.filter(F.transform("__items", _strip), lambda x: x.isNotNull() & (x != ""))
