@@ -95,14 +95,15 @@ def _repeated(occ: DataFrame, keys: list[str], doc: str, most_sent: int) -> Data
     """Rows of ``occ`` whose keys occur in more than one document.
 
     The count combines before its shuffle. Repeated keys travel to the rows while there are at most ``most_sent``; beyond,
-    the rows are joined to them, those of a hot key (more than a thousandth of all rows) in as many parts as the session
+    the rows are joined to them, those of a hot key (more than a thousandth of them) in as many parts as the session
     has shuffle partitions.
     """
     counted = checkpointed(occ.groupBy(*keys).agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*keys, "n"))
-    if counted.count() <= most_sent:
+    size, rows = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size <= most_sent:
         return occ.join(F.broadcast(counted.select(*keys)), keys, "left_semi")
     parts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(counted.where(F.col("n") > occ.count() / 1000).select(*keys, F.lit(True).alias("hot")))  # fewer than 1000
+    hot = F.broadcast(counted.where(F.col("n") > rows / 1000).select(*keys, F.lit(True).alias("hot")))  # fewer than 1000
     split = lambda df, part: df.join(hot, keys, "left").withColumn("part", F.explode(F.when(F.col("hot"), part).otherwise(F.array(F.lit(0)))))
     own = split(occ, F.array(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int")))
     return own.join(split(counted, F.sequence(F.lit(0), F.lit(parts - 1))).select(*keys, "part"), [*keys, "part"], "left_semi").drop("hot", "part")
