@@ -19,36 +19,39 @@ CELLS, PAIRS = 1_000_000, 100_000
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters of all texts one after another, where each begins, and its length."""
     length = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = flat.astype(np.int16 if flat.max(initial=0) < 1 << 15 else np.int32)  # half the bytes for most scripts
     return flat, np.cumsum(length) - length, length
 
 
 def _padded(flat: np.ndarray, start: np.ndarray, length: np.ndarray, pad: int) -> np.ndarray:
     """A column a piece, a row a place; ``pad`` behind its end."""
     place = np.arange(int(length.max(initial=0)))[:, None]
-    return np.where(place < length, flat[np.minimum(start + place, len(flat) - 1)], np.int32(pad))
+    return np.where(place < length, flat[np.minimum(start + place, len(flat) - 1)], flat.dtype.type(pad))
 
 
 def longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, start in a, start in b) of the longest common stretch of each column."""
     wide, n = b.shape
-    run, new = np.zeros((wide + 1, n), np.int32), np.zeros((wide + 1, n), np.int32)
+    bits, kind = (7, np.int16) if len(a) < 127 else (16, np.int32)
+    base = 1 << bits
+    run, new = np.zeros((wide + 1, n), kind), np.zeros((wide + 1, n), kind)
     # of each place in b the best so far: its length, then how early it starts in a
-    best, code = np.zeros((wide, n), np.int32), np.empty((wide, n), np.int32)
+    best, code = np.zeros((wide, n), kind), np.empty((wide, n), kind)
     equal = np.empty((wide, n), bool)
     for i in range(len(a)):
         np.equal(b, a[i], out=equal)
         np.add(run[:-1], 1, out=new[1:])
         np.multiply(new[1:], equal, out=new[1:])
         run, new = new, run
-        np.multiply(run[1:], 65537, out=code)
-        code += 65534 - i
+        np.multiply(run[1:], kind(base + 1), out=code)
+        code += kind(base - 2 - i)
         np.maximum(best, code, out=best)
     j = best.argmax(0)
     top = best[j, np.arange(n)]
-    length = top >> 16
-    first = 65535 - (top & 65535)
-    return np.where(length > 0, length, 0), first, j + 1 - length
+    length = (top >> bits).astype(np.int64)
+    first = (base - 1) - (top & kind(base - 1)).astype(np.int64)
+    return length, first, j + 1 - length
 
 
 def common_at(fa: np.ndarray, sa: np.ndarray, la: np.ndarray, fb: np.ndarray, sb: np.ndarray, lb: np.ndarray) -> np.ndarray:
