@@ -171,3 +171,13 @@ def gazetteer_build(spark: SparkSession, d: str) -> DataFrame:
     """The entries of a gazetteer built from all labels, with their mined surface variants."""
     e = Z.build(table(spark, d, "train_labels", ["ocr_text", "product_name"]), "ocr_text", "product_name")["entries"]
     return e.select("entry_id", "canonical_key", "canonical_display", "frequency_prior", F.array_join("surface_variants", "|").alias("variants"))
+
+
+_N = f"nfc_normalize({_S})"
+_OUTPUT = Y.strip(Y.sub(Y.sub(Y.sub("x", r"\r\n?", "\n"), r"\s*\+\s*", " + "), X.SPACES, " "))
+_DISPLAY = Y.strip(Y.sub(Y.sub(f"lower({Y.fold('x')})", rf"[^{X.LETTERS}\s+]", " "), X.SPACES, " "))
+K.SQL["final_names"] = f"""WITH i AS (SELECT label_id, list_filter(list_transform(regexp_split_to_array(regexp_replace({_N}, '\\s+', ' ', 'g'), '\\s+\\+\\s+'), lambda x: {_OUTPUT}), lambda x: x <> '') AS items FROM train_labels),
+e AS (SELECT label_id, k, items[k] AS name, items[k] AS x FROM i, unnest(range(1, len(items) + 1)) AS u(k)), d AS (SELECT label_id, k, name, {_DISPLAY} AS key FROM e),
+c AS (SELECT label_id, {_DISPLAY} AS key FROM (SELECT label_id, unnest(regexp_split_to_array(name, '\\s+\\+\\s+')) AS x FROM d WHERE contains(name, ' + '))),
+f AS (SELECT *, row_number() OVER (PARTITION BY label_id, key ORDER BY k) AS r FROM d), o AS (SELECT label_id, string_agg(name, ' + ' ORDER BY k) AS n FROM f WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.label_id = f.label_id AND c.key = f.key) GROUP BY 1)
+SELECT i.label_id, coalesce(n, '') AS final_name FROM i LEFT JOIN o USING (label_id)"""
