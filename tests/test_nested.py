@@ -1,5 +1,6 @@
 import json
 
+from tramloom.operators import nested
 from tramloom.operators.nested import CHILDREN, child_keys, child_table
 
 REPORT = {"is_bad": True, "score": 0.5, "reasons": ["a", None, "b"], "text_stats": {"text_length": 3, "alnum_ratio": 0.5}, "n_boxes": "2"}
@@ -55,3 +56,11 @@ def test_child_tables(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "selection_id long, record_json string")
     assert child_keys(df).count() == 0 and all(child_table(df, c).count() == 0 for c in CHILDREN)
+
+
+def test_boxes_are_numbers_or_points(spark):
+    from pyspark.sql import functions as F
+
+    rows = ["[1, 2, 3, 4]", "[[5, 9], [1, 2], [7.9, 3]]", " [ [1, 2] ]", "[[1], null, [2, 3]]", "[]", "x", None, "[[]]"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(rows)], "i int, b string").select("i", nested.typed(F.col("b"), "box").alias("b"))
+    assert {r.i: r.b for r in df.collect()} == {0: [1, 2, 3, 4], 1: [1, 2, 6, 7], 2: [1, 2, 0, 0], 3: [2, 3, 0, 0], 4: [], 5: None, 6: None, 7: None}

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tramloom.functions import text as X
+
 #: Scalars are read as text, since exporter versions differ in their types; ``typed`` casts them at the end.
 STATS = "struct<text_length:string,alnum_chars:string,alpha_chars:string,digit_chars:string,space_chars:string,cjk_chars:string,kana_chars:string,hangul_chars:string,emoji_chars:string,symbol_chars:string,junk_chars:string,alnum_ratio:string,cjk_ratio:string,emoji_ratio:string,symbol_ratio:string,junk_ratio:string>"
 REPORT = f"struct<variant_name:string,is_bad:string,score:string,avg_conf:string,n_boxes:string,n_chars:string,n_alnum:string,error:string,reasons:array<string>,text_stats:{STATS}>"
@@ -154,13 +156,19 @@ def child_table(df: DataFrame, child: str, key: str = "selection_id", column: st
 
 
 def typed(c: Column, name: str) -> Column:
-    """``c`` cast to the type of the field ``name``."""
+    """``c`` cast to the type of the field ``name``. A box is (x, y, w, h): four numbers as they are, or the box around a list
+    of points."""
     if name in LONG:
         return c.try_cast("double").try_cast("bigint")
     if name in DOUBLE:
         return c.try_cast("double")
     if name == "is_bad":
         return F.lower(F.trim(c)).isin("1", "true", "yes", "y", "t")
-    if name in ("box", "image_shape"):
+    if name == "box":
+        flat = F.transform(F.from_json(c, "array<double>"), lambda x: x.cast("int"))
+        points = F.filter(F.from_json(c, "array<array<double>>"), lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull())
+        around = F.when(F.size(points) > 0, F.transform(X.box_of(points), lambda x: x.cast("int")))
+        return F.when(c.rlike(r"^\s*\[\s*\["), around).otherwise(flat)
+    if name == "image_shape":
         return F.from_json(c, "array<int>")
     return c

@@ -97,3 +97,6 @@ def _fields(v: str, kind: str) -> str:
 
 SQL["p3_text_stats"] = f"WITH {_RECORDS}, rep AS (SELECT * FROM {_by_variant('reports')}) SELECT selection_id, variant_name, 0::INT AS pos, {_fields('s', nested.STATS.rstrip('>'))} FROM (SELECT *, v -> '$.text_stats' AS s FROM rep) WHERE json_type(s) = 'OBJECT'"
 SQL["p3_reports"] = f"WITH {_RECORDS}, rep AS (SELECT * FROM {_by_variant('reports')}) SELECT selection_id, variant_name, 0::INT AS pos, {_fields('v', 'struct<is_bad:string,score:string,avg_conf:string,n_boxes:string,n_chars:string,n_alnum:string,error:string')} FROM rep"
+_BOX = """CASE WHEN json_type(b) <> 'ARRAY' THEN NULL WHEN json_type(b -> 0) = 'ARRAY' THEN (SELECT [trunc(min(p[1]))::INT, trunc(min(p[2]))::INT, trunc(max(p[1]) - min(p[1]))::INT, trunc(max(p[2]) - min(p[2]))::INT]::VARCHAR FROM (SELECT unnest(from_json(b, '[["DOUBLE"]]')) AS p))
+ ELSE list_transform(from_json(b, '["DOUBLE"]'), lambda x: trunc(x)::INT)::VARCHAR END"""
+SQL["p3_lines"] = f"WITH {_RECORDS}, res AS (SELECT * FROM {_by_variant('results')}) SELECT selection_id, variant_name, pos::INT AS pos, {_fields('e', 'struct<text:string,conf:string,block_num:string,par_num:string,line_num:string')}, {_BOX} AS box FROM (SELECT *, e -> '$.box' AS b FROM {_elements('res', 'lines')})"
