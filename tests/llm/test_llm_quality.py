@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from tramloom.llm.lines import Lines
-from tramloom.llm.quality import KINDS, QualityConfig, fit, hashes_of, kinds, seed_model, statistics, viterbi
+from tramloom.llm.quality import KINDS, QualityConfig, fit, hashes_of, kinds, model_of, seed_model, statistics, viterbi
 
 COMMON = ["và", "là", "của", "có", "cho", "thì", "the", "and", "is", "with", "was", "for", "nên", "khi", "với", "mà", "này"]
 PROSE = "Nước mắm này có vị mặn và thơm, nên cả nhà dùng với cơm nóng.\nKhi trời lạnh thì bún là món của mẹ."
@@ -81,3 +81,23 @@ def test_fit_reads_a_bounded_sample_and_needs_none(spark):
     m = fit(df, hashes_of(COMMON), cfg)
     assert np.allclose(np.exp(m.move).sum(1), 1) and all(np.abs(v).max() <= cfg.most for v in m.odds.values())
     assert np.allclose(np.exp(fit(df.limit(0), hashes_of(COMMON), cfg).move), np.exp(seed_model(cfg).move))
+
+
+def test_fit_counts_the_lines_of_all_documents(spark):
+    cfg = QualityConfig()
+    rows = [(i, f"{PROSE} {i}") for i in range(3000)] + [(i, f"- một\n- hai\n- {i}") for i in range(400)] + [(0, f"{PROSE} again")] * 50 + [(1, None), (2, " \n"), (3, "")]
+    moves = np.zeros((4, 4))
+    moves[0, 0], moves[1, 1] = 3000 + 50, 2 * 400  # of lines that the seed model calls prose and list
+    for parts in (1, 7):
+        m = fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), hashes_of(COMMON))
+        assert np.allclose(m.move, model_of(moves.ravel(), {}, cfg).move, rtol=0, atol=1e-12)
+
+
+def test_kinds_label_by_a_model_of_all_documents(spark):
+    """The lines of the one long document change the label of another."""
+    words = spark.createDataFrame([(w,) for w in COMMON], "word string")
+    rows = [("long", "- một hai ba bốn\n" * 3000 + "0"), ("probe", "- và là của có")] + [(str(n), f"{PROSE} {n}") for n in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got, want, without = ({tuple(r) for r in kinds(d, words, QualityConfig(learnt=1.0, **c)).collect()} for d, c in ((df, {}), (df, {"fit_docs": len(rows)}), (df.where("doc_id <> 'long'"), {"fit_docs": len(rows)})))
+    assert len(got) == len(rows) and got == want
+    assert {r for r in got if r[0] == "probe"} != {r for r in without if r[0] == "probe"}

@@ -1,11 +1,12 @@
 """Per-document text quality: statistics of words, lines and characters, and what kind of text a document is.
 
 Each line is labelled prose, list, table or junk by a hidden Markov model over line statistics. A seed model adds log
-odds for what a line's layout, words and damage speak for. It labels the lines of a bounded sample; from those labels
+odds for what a line's layout, words and damage speak for. It labels the lines of all documents; from those labels
 the emissions of mean word length, symbol ratio, share of common words, number of words and final punctuation and the
 moves between labels are estimated, and seed and estimates together label all documents: neighbouring lines tend to
 share a label, and the best path over a document's lines is found for all documents of a batch at once. The labels'
-shares of the text then tell the kind.
+shares of the text then tell the kind. What a line's text says is read once and written as a number a line, since the
+seed model and the estimated one both label it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tramloom.functions import text as X
 from tramloom.llm.codes import pieces
 from tramloom.llm.lines import Lines, word_hash
+from tramloom.sources.tables import written
 
 KINDS = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
@@ -28,17 +31,20 @@ PROSE, LIST, TABLE, JUNK = range(4)
 #: Bounds of the bins of each estimated emission.
 BINS = {"word_length": [1.5, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0, 8.0], "symbols": [0.001, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5], "common": [0.001, 0.03, 0.06, 0.12, 0.2, 0.3], "words": [0.5, 1.5, 3.5, 6.5, 9.5, 14.5, 24.5], "ended": [0.5]}
 
+#: Bits of a line's facts; above them four bits of each statistic's bin.
+FACTS = ("bad", "poor", "sound", "wordy", "flowing", "some", "sentence", "mark", "tags", "inline", "short", "head", "ruled", "laid", "barred", "many", "two", "near")
+
 
 @dataclass(frozen=True)
 class QualityConfig:
     """``stay``: chance in the seed model that a line has the label of the line before it; ``weights``: its log odds;
-    ``fit_docs``: documents of the sample on which the emissions are estimated, at most about so many; ``learnt``, ``most``:
-    weight and bound of an estimated log odds."""
+    ``fit_docs``: None, and the emissions are estimated on all documents; a caller who wants a sample gives about how many
+    documents it holds; ``learnt``, ``most``: weight and bound of an estimated log odds."""
 
     stay: float = 0.85
     common_high: float = 0.12
     common_low: float = 0.06
-    fit_docs: int = 2000
+    fit_docs: int | None = None
     learnt: float = 0.2
     most: float = 2.0
     weights: dict[str, float] = field(default_factory=lambda: {"common": 3.0, "some": 1.2, "none": 1.5, "sentence": 2.5, "mark": 3.0, "inline": 5.0, "tags": 6.0, "short": 1.5, "head": 1.0, "cells": 5.0, "two": 2.5, "rule": 6.0, "bad": 7.0, "poor": 3.5})
@@ -58,34 +64,49 @@ def seed_model(cfg: QualityConfig) -> Model:
     return Model(move, {})
 
 
-def bins_of(x: Lines) -> dict[str, np.ndarray]:
-    """Bin of each line by statistic."""
-    values = {"word_length": x.word_length, "symbols": x.symbols, "common": x.known / np.maximum(x.words, 1), "words": x.words, "ended": x.ended.astype(float)}
-    return {k: np.searchsorted(BINS[k], v, "right") for k, v in values.items()}
-
-
-def line_scores(x: Lines, model: Model, cfg: QualityConfig) -> np.ndarray:
-    """Log odds of each label for each line."""
-    w, s = cfg.weights, np.zeros((x.n, 4))
+def line_facts(x: Lines, cfg: QualityConfig) -> np.ndarray:
+    """What each line's layout, words and damage are, as the bits of ``FACTS``, and its bins."""
+    facts = np.zeros(x.n, np.uint64)
     if not x.n:
-        return s
+        return facts
     share = x.known / np.maximum(x.words, 1)
     flowing = (x.known >= 2) & (share >= cfg.common_high)
-    s[:, JUNK] += np.where(x.bad >= 0.5, w["bad"], np.where(x.bad >= 0.28, w["poor"], -w["none"]))
-    sound = x.bad < 0.9  # else its blanks and bars are no layout
-    s[:, PROSE] += np.where(sound & (x.words >= 4), np.where(flowing, w["common"], np.where(share >= cfg.common_low, w["some"], -w["none"])), 0.0)
-    s[:, PROSE] += np.where(sound & x.sentence & ~x.marked, w["sentence"], 0.0)
-    inline = (x.items >= 4) & (x.words <= 4 * x.items) & (share < cfg.common_high)
-    for when, weight in ((x.marked, "mark"), ((x.tokens >= 2) & x.tags, "tags"), (inline, "inline"), ((x.words <= 9) & ~flowing, "short"), ((x.words <= 5) & x.heading, "head")):
-        s[:, LIST] += np.where(sound & when, w[weight], 0.0)
     ruled = x.rule & (x.bars > 0)
-    s[:, TABLE] += np.where(sound & ruled, w["rule"], 0.0)
-    laid = sound & ~ruled & (~flowing | (x.tabs > 0) | ((x.cells >= 3) & (x.bars > 0)))
-    barred = (x.tabs > 0) | (x.bars > 0)
     many = (x.cells >= 3) & (x.words <= 7 * x.cells)
-    s[:, TABLE] += np.where(laid & many, w["cells"] + 2.0 * barred, np.where(laid & ~many & (x.cells == 2) & (x.words <= 14), w["two"] + 1.0 * barred, 0.0))
-    s[:, TABLE] += np.where(laid & (x.near >= 3), w["cells"] + 2.0, 0.0)
-    for name, at in bins_of(x).items() if model.odds else ():
+    is_ = {
+        "bad": x.bad >= 0.5, "poor": x.bad >= 0.28, "sound": x.bad < 0.9,  # else its blanks and bars are no layout
+        "wordy": x.words >= 4, "flowing": flowing, "some": share >= cfg.common_low, "sentence": x.sentence & ~x.marked,
+        "mark": x.marked, "tags": (x.tokens >= 2) & x.tags, "inline": (x.items >= 4) & (x.words <= 4 * x.items) & (share < cfg.common_high), "short": (x.words <= 9) & ~flowing, "head": (x.words <= 5) & x.heading,
+        "ruled": ruled, "laid": ~ruled & (~flowing | (x.tabs > 0) | ((x.cells >= 3) & (x.bars > 0))), "barred": (x.tabs > 0) | (x.bars > 0), "many": many, "two": ~many & (x.cells == 2) & (x.words <= 14), "near": x.near >= 3,
+    }
+    for i, name in enumerate(FACTS):
+        facts |= is_[name].astype(np.uint64) << np.uint64(i)
+    values = {"word_length": x.word_length, "symbols": x.symbols, "common": share, "words": x.words, "ended": x.ended.astype(float)}
+    for i, (name, bounds) in enumerate(BINS.items()):
+        facts |= np.searchsorted(bounds, values[name], "right").astype(np.uint64) << np.uint64(len(FACTS) + 4 * i)
+    return facts
+
+
+def bins_of(facts: np.ndarray) -> dict[str, np.ndarray]:
+    """Bin of each line by statistic."""
+    return {k: (facts >> np.uint64(len(FACTS) + 4 * i) & np.uint64(15)).astype(np.int64) for i, k in enumerate(BINS)}
+
+
+def line_scores(facts: np.ndarray, model: Model, cfg: QualityConfig) -> np.ndarray:
+    """Log odds of each label for each line."""
+    w, s = cfg.weights, np.zeros((len(facts), 4))
+    has = {name: (facts & np.uint64(1 << i)) != 0 for i, name in enumerate(FACTS)}
+    sound = has["sound"]
+    s[:, JUNK] += np.where(has["bad"], w["bad"], np.where(has["poor"], w["poor"], -w["none"]))
+    s[:, PROSE] += np.where(sound & has["wordy"], np.where(has["flowing"], w["common"], np.where(has["some"], w["some"], -w["none"])), 0.0)
+    s[:, PROSE] += np.where(sound & has["sentence"], w["sentence"], 0.0)
+    for name in ("mark", "tags", "inline", "short", "head"):
+        s[:, LIST] += np.where(sound & has[name], w[name], 0.0)
+    s[:, TABLE] += np.where(sound & has["ruled"], w["rule"], 0.0)
+    laid, barred = sound & has["laid"], has["barred"]
+    s[:, TABLE] += np.where(laid & has["many"], w["cells"] + 2.0 * barred, np.where(laid & has["two"], w["two"] + 1.0 * barred, 0.0))
+    s[:, TABLE] += np.where(laid & has["near"], w["cells"] + 2.0, 0.0)
+    for name, at in bins_of(facts).items() if model.odds else ():
         s += cfg.learnt * model.odds[name][:, at].T
     return s
 
@@ -123,18 +144,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarr
     return labels
 
 
-def labelled(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], model: Model, cfg: QualityConfig) -> tuple[Lines, np.ndarray]:
-    """The lines of the texts and their labels."""
-    x = Lines(texts, *common)
-    return x, viterbi(line_scores(x, model, cfg), x.first, model.move)
+def labelled(facts: np.ndarray, first: np.ndarray, model: Model, cfg: QualityConfig) -> np.ndarray:
+    """The labels of the lines; ``first[d]`` .. ``first[d+1]`` are document d's."""
+    return viterbi(line_scores(facts, model, cfg), first, model.move)
 
 
-def label_shares(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], model: Model, cfg: QualityConfig) -> np.ndarray:
-    """Share of each label in each text, by characters that aren't blank; zeros for NULL and blank texts."""
-    x, labels = labelled(texts, common, model, cfg)
-    if not x.n:
-        return np.zeros((x.n_texts, 4))
-    shares = np.bincount(x.doc * 4 + labels, weights=x.dense, minlength=4 * x.n_texts).reshape(-1, 4)
+def label_shares(facts: np.ndarray, dense: np.ndarray, first: np.ndarray, model: Model, cfg: QualityConfig) -> np.ndarray:
+    """Share of each label in each text, by ``dense``, the characters of its lines that aren't blank."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    shares = np.bincount(doc * 4 + labelled(facts, first, model, cfg), weights=dense, minlength=4 * n).reshape(-1, 4)
     return shares / shares.sum(1, keepdims=True).clip(1)
 
 
@@ -147,15 +166,42 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.replace("đ", "d")) if not unicodedata.combining(c))
 
 
-def line_counts(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], cfg: QualityConfig) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The numbers of each document's lines as one binary value."""
+    offsets = first.astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all documents' lines, and where each document's begin."""
+    first = np.zeros(len(column) + 1, np.int64)
+    np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), out=first[1:])
+    return np.frombuffer(b"".join(column.to_pylist()), kind), first // np.dtype(kind).itemsize
+
+
+def line_table(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], cfg: QualityConfig) -> DataFrame:
+    """(doc_id, facts, dense): of each document with a line that isn't blank, the facts of those lines and how many of
+    their characters aren't blank, as numbers one after another."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("facts", T.BinaryType()), T.StructField("dense", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 2_000_000):
+            x = Lines(b.column(1), *held.value)
+            if x.n:
+                out = pa.RecordBatch.from_arrays([b.column(0), packed(line_facts(x, cfg), x.first), packed(x.dense.astype(np.int32), x.first)], names=schema.names)
+                yield out.filter(pa.array(np.diff(x.first) > 0))
+
+    return docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", "text").mapInArrow(run, schema)
+
+
+def line_counts(facts: np.ndarray, first: np.ndarray, cfg: QualityConfig) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Moves between labels of neighbouring lines, and lines by label and bin, as the seed model labels them."""
-    model = seed_model(cfg)
-    x, labels = labelled(texts, common, model, cfg)
-    if not x.n:
-        return np.zeros(16), {k: np.zeros(4 * (len(b) + 1)) for k, b in BINS.items()}
-    near = x.doc[1:] == x.doc[:-1]
-    moves = np.bincount(labels[:-1][near].astype(np.int64) * 4 + labels[1:][near], minlength=16)
-    return moves, {k: np.bincount(labels.astype(np.int64) * (len(BINS[k]) + 1) + b, minlength=4 * (len(BINS[k]) + 1)) for k, b in bins_of(x).items()}
+    labels = labelled(facts, first, seed_model(cfg), cfg).astype(np.int64)
+    near = np.ones(max(len(labels) - 1, 0), bool)
+    near[first[(first > 0) & (first < len(labels))] - 1] = False
+    moves = np.bincount(labels[:-1][near] * 4 + labels[1:][near], minlength=16)
+    return moves, {k: np.bincount(labels * (len(BINS[k]) + 1) + b, minlength=4 * (len(BINS[k]) + 1)) for k, b in bins_of(facts).items()}
 
 
 def model_of(moves: np.ndarray, counts: dict[str, np.ndarray], cfg: QualityConfig) -> Model:
@@ -170,21 +216,26 @@ def model_of(moves: np.ndarray, counts: dict[str, np.ndarray], cfg: QualityConfi
 
 
 def fit(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], cfg: QualityConfig = QualityConfig()) -> Model:
-    """The model estimated on a sample of about ``cfg.fit_docs`` documents (all, if there are fewer), drawn by a hash of
-    the text so that neither order nor partitions matter. Only counts reach the driver."""
-    total = docs.count()
-    drawn = docs.where(F.col("text").isNotNull()).select("text")
-    if total > cfg.fit_docs:
-        drawn = drawn.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * cfg.fit_docs / total))
+    """The model estimated on all documents. Where ``cfg.fit_docs`` asks for it, on a sample of about so many (all, if there
+    are fewer), drawn by a hash of the text so that neither order nor partitions matter."""
+    total = docs.count() if cfg.fit_docs is not None else 0
+    if cfg.fit_docs is not None and total > cfg.fit_docs:
+        docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * cfg.fit_docs / total))
+    return fit_lines(line_table(docs, common, cfg), cfg)
+
+
+def fit_lines(lines: DataFrame, cfg: QualityConfig = QualityConfig()) -> Model:
+    """The model estimated on all rows of a ``line_table``. Only counts, whole numbers, reach the driver, so that neither
+    order nor partitions matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["t", "text"]) for b in batches):
-            moves, counts = line_counts(b.column(1), common, cfg)
+        for b in pieces(pa.RecordBatch.from_arrays([b.column(0), b.column(0)], names=["f", "facts"]) for b in batches):
+            moves, counts = line_counts(*unpacked(b.column(1), np.uint64), cfg)
             rows = [("", i, int(n)) for i, n in enumerate(moves) if n] + [(k, i, int(n)) for k, c in counts.items() for i, n in enumerate(c) if n]
-            yield pa.RecordBatch.from_arrays([pa.array(x) if rows else pa.array([], t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.int64(), pa.int64()))], names=["k", "i", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["k", "i", "n"])
 
     moves, counts = np.zeros(16), {k: np.zeros(4 * (len(b) + 1)) for k, b in BINS.items()}
-    for r in drawn.mapInArrow(run, "k string, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # a row a label and bin
+    for r in lines.select("facts").mapInArrow(run, "k string, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # a row a label and bin
         (counts[r.k] if r.k else moves)[r.i] = r.n
     return model_of(moves, counts, cfg)
 
@@ -193,26 +244,28 @@ def kinds(docs: DataFrame, common_words: DataFrame, cfg: QualityConfig = Quality
     """(doc_id, prose, list, table, junk, kind): shares of the labels in each text, and the label of the largest share.
 
     ``common_words`` is a list of function words; its size is checked against ``max_words`` before it travels to the
-    tasks. The model is fitted on a bounded sample; all documents are labelled, and nothing is shuffled.
+    tasks. The model is fitted on all documents and labels all documents: their lines are written once, 12 bytes each
+    before compression, and read by both. Only the counts of the fit are shuffled.
 
     Defined results: NULL and blank texts give no row; equal shares go to the first of prose, list, table, junk; very
-    long texts are read whole; repeated rows each give theirs; other columns don't matter.
+    long texts are read whole; repeated rows each count and each give theirs; other columns don't matter.
     """
     rows = [r[0] for r in common_words.where("word is not null").select(F.lower("word")).distinct().limit(max_words + 1).collect()]
     if len(rows) > max_words:
         raise ValueError(f"more than {max_words} common words: not a list of function words")
     common = hashes_of(sorted(rows))
-    held = docs.sparkSession.sparkContext.broadcast((common, fit(docs, common, cfg)))
+    lines = written(line_table(docs, common, cfg))
+    model = fit_lines(lines, cfg) if cfg.fit_docs is None else fit(docs, common, cfg)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, T.DoubleType()) for k in KINDS), T.StructField("kind", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2_000_000):
-            shares = label_shares(b.column(1), *held.value, cfg)
+        for b in pieces(batches):
+            facts, first = unpacked(b.column(1), np.uint64)
+            shares = label_shares(facts, unpacked(b.column(2), np.int32)[0], first, model, cfg)
             kind = pa.array(KINDS).take(pa.array(shares.argmax(1)))
-            out = pa.RecordBatch.from_arrays([b.column(0), *(pa.array(shares[:, k]) for k in range(4)), kind], names=schema.names)
-            yield out.filter(pa.array(shares.sum(1) > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(shares[:, k]) for k in range(4)), kind], names=schema.names)
 
-    return docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", "text").mapInArrow(run, schema)
+    return lines.mapInArrow(run, schema)
 
 
 # Character classes of the statistics.
