@@ -26,7 +26,7 @@ def sent_tables(df):
     return found
 
 
-EXACT = ["entry_qualify"]
+EXACT = ["entry_qualify", "gate_decision"]
 
 
 @pytest.mark.parametrize("name", EXACT)
