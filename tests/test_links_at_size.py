@@ -26,7 +26,7 @@ def sent_tables(df):
     return found
 
 
-EXACT = ["entry_qualify", "gate_decision", "rescue_anti_join", "submission", "token_pool", "validate_submission", "entry_evidence", "full_vs_compose", "gate_score"]
+EXACT = ["entry_qualify", "gate_decision", "rescue_anti_join", "submission", "token_pool", "validate_submission", "entry_evidence", "full_vs_compose", "gate_score", "subset_dedupe"]
 
 
 @pytest.mark.parametrize("name", EXACT)
