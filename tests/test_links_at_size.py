@@ -85,7 +85,7 @@ def test_top_scores(spark):
         assert (k[first & ~none] == kind[first & ~none]).all()
 
 
-@pytest.mark.parametrize("name", ["link_best", "linking_summary"])
+@pytest.mark.parametrize("name", ["link_best", "linking_summary", "links_in_order"])
 def test_fuzzy_links_build_no_pairs(spark, small, monkeypatch, name):
     def none(*args, **kwargs):
         raise AssertionError("pairs were built")
