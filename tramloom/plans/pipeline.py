@@ -30,7 +30,9 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     segments, and n-grams across line breaks; filtered, scored, one row for each key of an image.
 
     The only wide steps are by image: the window over a variant's lines and the two aggregates."""
-    base = lines.withColumn("text", X.light(F.col("text"))).where("text <> ''").withColumn("__fillers", F.array().cast("array<string>"))
+    base = lines.select(*[c for c in lines.columns if c != "text"], X.once(X.light(F.col("text"))).alias("text")).where("text <> ''")
+    # one shuffle of the lines serves all kinds of candidates, which read the light text instead of making it anew
+    base = base.repartition("image_id").withColumn("__fillers", F.array().cast("array<string>"))
     if fillers is not None:
         words = F.broadcast(fillers.agg(F.collect_set("token").alias("__fillers")))  # one row; the miner keeps 300 words
         base = base.drop("__fillers").crossJoin(words)
@@ -46,17 +48,21 @@ def generate_candidates(lines: DataFrame, fillers: DataFrame | None = None, cfg:
     cross = S.cross_line_ngrams(stripped.select("image_id", "variant", "line_index", "text"), ["image_id", "variant"], cfg.cross_low, cfg.cross_high, cfg.cross_tokens)
     cross = cross.select("image_id", "variant", F.lit("ngram").alias("source"), "line_index", F.col("text").alias("clean_text"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("array<int>").alias("box"))
     every = whole.unionByName(segments).unionByName(grams).unionByName(cross)
-    kept = every.where(C.filter_reason(F.col("clean_text"), most_tokens=cfg.line_tokens).isNull() & ~U.rejected(F.col("clean_text")))
-    kept = kept.withColumn("normalized_key", X.key(F.col("clean_text"))).where("normalized_key <> ''")
+    kept = every.select("*", X.once(C.measures(F.col("clean_text"))).alias("m")).where(C.reason_of(F.col("m"), most_tokens=cfg.line_tokens).isNull())
+    # a phrase with a plain letter or digit has rule text
+    kept = kept.where(F.col("clean_text").rlike("[0-9A-Za-z]") | ~U.rejected(F.col("clean_text")))
+    kept = kept.select("*", X.once(X.key(F.col("clean_text"))).alias("normalized_key")).where("normalized_key <> ''")
     # the order of equal candidates: line, source, variant, text
-    kept = kept.withColumn("n", F.size(X.tokens(F.col("clean_text")))).withColumn("seq", F.xxhash64("line_index", "source", "variant", "clean_text"))
+    kept = kept.withColumn("n", F.col("m.n")).withColumn("seq", F.xxhash64("line_index", "source", "variant", "clean_text"))
+    kept = kept.withColumn("structure_score", C.structure_of(F.col("m"), F.col("source"))).drop("m")
     rank = F.struct(C.source_priority(F.col("source")), F.least("n", F.lit(8)), F.coalesce("conf", F.lit(0.0)), F.length("clean_text"), -F.col("seq"))
-    row = F.max_by(F.struct("variant", "source", "line_index", "clean_text", "conf", "box", "seq"), rank)
-    best = kept.groupBy("image_id", "normalized_key").agg(row.alias("row"), F.count_distinct("variant").alias("support")).select("image_id", "normalized_key", "row.*", "support")
+    row = F.max_by(F.struct("variant", "source", "line_index", "clean_text", "conf", "box", "seq", "structure_score", F.col("n").alias("token_count")), rank)
+    # few rows of an image share a key, so nothing is combined before the shuffle; an image has a handful of variants
+    best = kept.repartition("image_id").groupBy("image_id", "normalized_key").agg(row.alias("row"), F.size(F.collect_set("variant")).cast("long").alias("support")).select("image_id", "normalized_key", "row.*", "support")
     read = base.groupBy("image_id").agg(F.count_distinct("variant").alias("available"))
     share = F.when(F.col("available") >= 2, F.round(F.col("support") / F.col("available"), 4)).otherwise(0.0)
     best = best.join(read, "image_id").withColumn("agreement", share)
-    return best.withColumn("structure_score", C.structure_score(F.col("clean_text"), F.col("source"))).withColumn("token_count", F.size(X.tokens(F.col("clean_text"))))
+    return best.select(*[c for c in best.columns if c not in ("structure_score", "token_count")], "structure_score", "token_count")
 
 
 def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None, link: L.LinkConfig = L.LinkConfig(), gate: G.GateConfig = G.GateConfig(), fillers: DataFrame | None = None, negative: list[str] | None = None, positive: list[str] | None = None, anchors: list[str] | None = None, generic: list[str] | None = None) -> DataFrame:
