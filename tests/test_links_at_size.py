@@ -92,3 +92,11 @@ def test_fuzzy_links_build_no_pairs(spark, small, monkeypatch, name):
 
     monkeypatch.setattr(L, "retrieve", none)
     assert not [x for x in sent_tables(core.QUERIES[name](spark, small), aggregated=False) if "clean_text" in x or x == "MapInArrow"]
+
+
+def test_only_matched(spark, small):
+    c, e = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("product_candidates", "gazetteer_entries"))
+    p = L.phrases(c, "clean_text").where("crc32(key) % 2 = 0")
+    for top in (2, 5):
+        got = sorted(map(str, L.matches(p, e, L.LinkConfig(top=top, only_matched=True)).collect()))
+        assert got == sorted(map(str, L.matches(p, e, L.LinkConfig(top=top)).where("matched").collect())) and len(got) > 100

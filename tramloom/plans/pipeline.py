@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,7 +70,7 @@ def predict(lines: DataFrame, entries: DataFrame, rules: DataFrame | None = None
     names. The lexicons of the gate are the caller's data; none is built in."""
     c = checkpointed(generate_candidates(lines, fillers))  # read by the distinct phrases and by the join with their matches
     told = G.context(c, "image_id", ["clean_text"], negative or [], positive or []) if negative or positive else None
-    linked = L.link(c, entries, "clean_text", link).where("matched")
+    linked = L.link(c, entries, "clean_text", replace(link, only_matched=True)).where("matched")
     top = entries.agg(F.max("frequency_prior").alias("most"))
     linked = linked.join(F.broadcast(top)).withColumnRenamed("score", "match_score")  # one row
     if told is not None:
